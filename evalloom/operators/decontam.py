@@ -1,7 +1,9 @@
 """Contamination of a training corpus by evaluation texts: n-gram tables, overlap, statistics and cleaning."""
 
-from __future__ import annotations
+import re
+import string
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -120,21 +122,22 @@ SPANS = T.ArrayType(
 )
 
 
-@F.pandas_udf(SPANS)
-def word_spans(texts):
+@F.arrow_udf(SPANS)
+def word_spans(texts: pa.Array) -> pa.Array:
     """Normalised words of each text with their character offsets ``[start, stop)`` in the original."""
-    import re
-    import string
-
-    import pandas as pd
-
     drop = str.maketrans("", "", string.punctuation)
-
-    def spans(text):
-        found = ((m.group().lower().translate(drop), m.start(), m.end()) for m in re.finditer(r"\S+", text or ""))
-        return [{"word": w, "start": a, "stop": b} for w, a, b in found if w]
-
-    return pd.Series([spans(t) for t in texts])
+    word, start, stop, offsets = [], [], [], [0]
+    for text in texts.to_pylist():
+        for m in re.finditer(r"\S+", text or ""):
+            bare = m.group().lower().translate(drop)
+            if bare:
+                word.append(bare)
+                start.append(m.start())
+                stop.append(m.end())
+        offsets.append(len(word))
+    fields = [pa.array(word, pa.string()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())]
+    rows = pa.StructArray.from_arrays(fields, ["word", "start", "stop"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
 
 
 def ngram_spans(docs: DataFrame, n: int = NGRAM, text: str = "text", key: str = "doc_id") -> DataFrame:

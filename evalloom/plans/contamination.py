@@ -95,10 +95,13 @@ def sorted_bucket_rows(t):
     return dc.sorted_buckets(dc.ngram_postings(t.documents, N)).select("doc_id", "ngram")
 
 
-@query("frequent_ngrams", "DEC-6", f"""with {TRAIN}
-select ngram, count(distinct doc_id) n_docs from train group by ngram having count(distinct doc_id) > 10""")
+PAIRS = q.ngram_rows("pairs", "documents", "doc_id", q.normal_words("text"), 3)
+
+
+@query("frequent_ngrams", "DEC-6 AGG-33", f"""with {PAIRS}
+select ngram, count(distinct doc_id) n_docs from pairs group by ngram having count(distinct doc_id) > 10""")
 def frequent_ngrams(t):
-    return dc.frequent_ngrams(t.documents, N)
+    return dc.frequent_ngrams(t.documents, 3)
 
 
 @query("eval_lookup", "DEC-7", f"""with {EVAL}

@@ -76,6 +76,7 @@ def main():
     args = argparse.ArgumentParser()
     args.add_argument("-d", default="/root/testdata/sf0.01")
     args.add_argument("-v", action="store_true")
+    args.add_argument("-f", help="module of the queries")
     args.add_argument("names", nargs="*")
     args = args.parse_args()
     spark = local_session("8")
@@ -83,6 +84,8 @@ def main():
     con = connect(args.d)
     failed = []
     for name, entry in catalog.load().items():
+        if args.f and not entry.build.__module__.endswith("." + args.f):
+            continue
         if args.names and not any(name.startswith(p) for p in args.names):
             continue
         start = time.time()
