@@ -131,33 +131,33 @@ def variable_chains(t):
     )
 
 
-@query("common_word_lists", "GEN-8 TOP-2", r"""with parts as (select p_size, list(p_partkey::varchar order by p_partkey) v
-  from part group by p_size)
-select p_size::bigint p_size, array_to_string(list_transform(v[1:3], lambda x: 'w' || x), ' ') outputs,
+@query("common_word_lists", "GEN-8 TOP-2", r"""with parts as (select p_partkey // 40 p_list, list(p_partkey::varchar order by p_partkey) v
+  from part group by 1)
+select p_list, array_to_string(list_transform(v[1:3], lambda x: 'w' || x), ' ') outputs,
   (len(v) + 15)::bigint n_words, 6::bigint top_count from parts""")
 def common_word_lists(t):
-    lists = t.part.groupBy("p_size").agg(F.array_sort(F.collect_list("p_partkey")).alias("v"))
+    lists = t.part.groupBy(F.floor(F.col("p_partkey") / 40).alias("p_list")).agg(F.array_sort(F.collect_list("p_partkey")).alias("v"))
     named = F.transform("v", lambda x: F.concat(F.lit("w"), x.cast("string")))
-    rows = g.common_word_rows(lists, "p_size", named, 3, 6, 1)
-    listed = rows.select("p_size", "outputs", F.regexp_extract_all("input", F.lit(r"\. (\w+)"), F.lit(1)).alias("w"))
-    counted = listed.select("p_size", F.explode("w").alias("word")).groupBy("p_size", "word").agg(F.count("*").alias("c"))
-    top = counted.groupBy("p_size").agg(F.max("c").alias("top_count"), F.sum("c").alias("n_words"))
-    return rows.join(top, "p_size").select(
-        F.col("p_size").cast("long").alias("p_size"), F.array_join("outputs", " ").alias("outputs"), "n_words", "top_count"
+    rows = g.common_word_rows(lists, "p_list", named, 3, 6, 1)
+    listed = rows.select("p_list", "outputs", F.regexp_extract_all("input", F.lit(r"\. (\w+)"), F.lit(1)).alias("w"))
+    counted = listed.select("p_list", F.explode("w").alias("word")).groupBy("p_list", "word").agg(F.count("*").alias("c"))
+    top = counted.groupBy("p_list").agg(F.max("c").alias("top_count"), F.sum("c").alias("n_words"))
+    return rows.join(top, "p_list").select(
+        "p_list", F.array_join("outputs", " ").alias("outputs"), "n_words", "top_count"
     )
 
 
-@query("coded_word_texts", "GEN-9 TOP-2", """with parts as (select p_size, list(p_partkey order by p_partkey) v from part
-  group by p_size)
-select p_size::bigint p_size, array_to_string([('w' || x::varchar) for x in v[2:4]], ' ') outputs,
+@query("coded_word_texts", "GEN-9 TOP-2", """with parts as (select p_partkey // 40 p_list, list(p_partkey order by p_partkey) v from part
+  group by 1)
+select p_list, array_to_string([('w' || x::varchar) for x in v[2:4]], ' ') outputs,
   list_sum([floor(500 * pow(i::double, -2.0::double) / 1.6449340668482264::double)::bigint for i in range(1, len(v) + 1)])::bigint n_words
 from parts""")
 def coded_word_texts(t):
-    lists = t.part.groupBy("p_size").agg(F.array_sort(F.collect_list("p_partkey")).alias("v"))
+    lists = t.part.groupBy(F.floor(F.col("p_partkey") / 40).alias("p_list")).agg(F.array_sort(F.collect_list("p_partkey")).alias("v"))
     named = F.transform("v", lambda x: F.concat(F.lit("w"), x.cast("string")))
-    rows = g.coded_text_rows(lists, "p_size", named, 500)
+    rows = g.coded_text_rows(lists, "p_list", named, 500)
     return rows.select(
-        F.col("p_size").cast("long").alias("p_size"), F.array_join("outputs", " ").alias("outputs"),
+        "p_list", F.array_join("outputs", " ").alias("outputs"),
         F.size(words("input")).cast("long").alias("n_words"),
     )
 
