@@ -40,6 +40,23 @@ def semi_join_sized(left: DataFrame, keys: DataFrame, on: str, spread: Column, m
     )
 
 
+def lookup_sized(left: DataFrame, table: DataFrame, on: list[str], spread: Column, how: str = "inner",
+                 max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join ``left`` to ``table``, which has one row per ``on``.
+
+    The table is broadcast only after a count; a larger one is joined with salted keys, so that a key held by a third of
+    ``left`` is spread over ``SALTS`` tasks.
+    """
+    if fits_broadcast(table, max_rows):
+        return left.join(F.broadcast(table), on, how)
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return (
+        left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+        .join(salted, [*on, "_salt"], how)
+        .drop("_salt")
+    )
+
+
 def chunk_starts(df: DataFrame, group: list[str], order: str, amount: Column, width: int = CHUNK) -> DataFrame:
     """Exclusive running total of ``amount`` per (group, chunk of ``order``): rows ``group..., _chunk, _start``.
 

@@ -288,16 +288,14 @@ def bio_entities(t):
     return entities.where(F.size("e") > 0).select("l_orderkey", F.array_join("e", " $$ ").alias("entities"))
 
 
-NAMED = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+NAMED = (("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", "\u00a0"))
 
 
-@query("unescaped_pages", "DOC-21", f"""select page_id, md5({chain('html', NAMED)}) digest from pages
-where not regexp_matches({chain('html', (('&lt;', ''), ('&gt;', ''), ('&quot;', ''), ('&#39;', ''), ('&nbsp;', ''), ('&amp;', '')))}, '&[#a-zA-Z]')
-  and not regexp_matches(html, '&amp;[#a-zA-Z]')""")
+@query("unescaped_pages", "DOC-21", f"""select page_id, length(x)::bigint n_chars, md5(x) digest from (
+  select page_id, regexp_replace({chain('html', NAMED)}, '&amp;?', '&', 'g') x from pages)""")
 def unescaped_pages(t):
-    gone = F.regexp_replace("html", "&(lt|gt|quot|#39|nbsp|amp);", "")
-    plain = ~F.regexp_like(gone, F.lit("&[#a-zA-Z]")) & ~F.regexp_like("html", F.lit("&amp;[#a-zA-Z]"))
-    return t.pages.where(plain).select("page_id", F.md5(d.html_unescaped("html")).alias("digest"))
+    text = t.pages.select("page_id", d.html_unescaped("html").alias("x"))
+    return text.select("page_id", F.length("x").cast("long").alias("n_chars"), F.md5("x").alias("digest"))
 
 
 @query("repaired_encoding", "DOC-21", "select doc_id, md5(text) digest from documents")
@@ -315,34 +313,37 @@ def terminated_answers(t):
     return t.part.select("p_partkey", F.array_join(d.with_sentinel(d.terminated_answers(raw)), "|").alias("answers"))
 
 
-@query("zipped_fields", "DOC-23", """select l_orderkey, count(*) n, sum(l_partkey * l_linenumber)::bigint crossed
-from lineitem group by l_orderkey""")
+@query("zipped_fields", "DOC-23", """select doc_id, len(w)::bigint n, list_sum(list_transform(w, lambda x, i: length(x) * i))::bigint crossed
+from (select doc_id, string_split(text, ' ') w from documents)""")
 def zipped_fields(t):
-    row = F.struct("l_linenumber", "l_partkey", "l_suppkey")
-    arrays = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("r")).select(
-        "l_orderkey", F.col("r.l_linenumber").alias("line"), F.col("r.l_partkey").alias("part")
-    )
-    zipped = arrays.select("l_orderkey", F.arrays_zip("line", "part").alias("z"))
-    crossed = F.aggregate("z", F.lit(0).cast("long"), lambda a, x: a + x["line"] * x["part"])
-    return zipped.select("l_orderkey", F.size("z").cast("long").alias("n"), crossed.alias("crossed"))
+    parts = F.split("text", " ")
+    arrays = t.documents.select("doc_id", parts.alias("w")).select("doc_id", "w", F.sequence(F.lit(1), F.size("w")).alias("i"))
+    zipped = arrays.select("doc_id", F.arrays_zip("w", "i").alias("z"))
+    crossed = F.aggregate("z", F.lit(0).cast("long"), lambda a, x: a + F.length(x["w"]) * x["i"])
+    return zipped.select("doc_id", F.size("z").cast("long").alias("n"), crossed.alias("crossed"))
 
 
-@query("flattened_answers", "DOC-24", """select l_orderkey, l_linenumber::bigint line, l_partkey, l_suppkey, 'bool' kind,
-  case when l_returnflag = 'A' then 'yes' else 'no' end answer from lineitem where l_linestatus = 'O' and
-  (l_returnflag = 'A' or (l_returnflag = 'N' and l_linenumber > 3))""")
+@query("flattened_answers", "DOC-24", """select l_orderkey, l_linenumber::bigint line, l_partkey, l_suppkey, q, answer from (
+  select *, 'flag' q, case when l_returnflag = 'A' then 'yes' else 'no' end answer from lineitem
+    where l_linestatus = 'O' and (l_returnflag = 'A' or (l_returnflag = 'N' and l_linenumber > 3))
+  union all select *, 'cheap', case when l_discount > 0.05 then 'yes' else 'no' end from lineitem)""")
 def flattened_answers(t):
     flag, line = F.col("l_returnflag"), F.col("l_linenumber")
-    kind = d.answer_kind(
+    none = F.array().cast("array<string>")
+    blob = d.answer_kind(
         F.col("l_linestatus") != "O", flag == "A", F.when(flag == "R", "free").otherwise(""),
-        F.when(line <= 3, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")),
+        F.when(line <= 3, F.array(F.lit("a"), F.lit("b"))).otherwise(none),
+    )
+    other = d.answer_kind(F.lit(False), F.col("l_discount") > 0.05, F.lit(""), none)
+    papers = t.lineitem.select(
+        "l_orderkey", line.cast("long").alias("line"), "l_partkey", "l_suppkey",
+        F.array(F.lit("flag"), F.lit("cheap")).alias("questions"), F.array(F.array(blob), F.array(other)).alias("answers"),
     )
-    paper = t.lineitem.groupBy("l_orderkey").agg(
-        F.collect_list(F.struct(line.cast("long").alias("line"), "l_partkey", "l_suppkey", kind.alias("k"))).alias("qas")
+    per_question = papers.select("*", F.explode(F.arrays_zip("questions", "answers")).alias("qa"))
+    per_answer = per_question.select("*", F.col("qa.questions").alias("q"), F.explode("qa.answers").alias("a"))
+    return per_answer.where("a.kind = 'bool'").select(
+        "l_orderkey", "line", "l_partkey", "l_suppkey", "q", F.col("a.answer").alias("answer")
     )
-    flat = paper.select("l_orderkey", F.explode("qas").alias("x"))
-    return flat.select(
-        "l_orderkey", "x.line", "x.l_partkey", "x.l_suppkey", F.col("x.k.kind").alias("kind"), F.col("x.k.answer").alias("answer")
-    ).where("kind = 'bool'")
 
 
 @query("assembled_choices", "DOC-25", f"""with c as (select p_partkey, unnest([p_brand, p_type, p_name, 'right ' || p_size::varchar]) x,
