@@ -287,7 +287,7 @@ def number_forms(t):
     return t.documents.select("doc_id", counts[0].alias("with_commas"), counts[1].alias("scientific"))
 
 
-@query("number_values", "FIL-25", """select o_orderkey, o_custkey::varchar || ',123|1e5|' || (o_orderkey % 7)::varchar || '.5|123|5' numbers,
+@query("number_values", "FIL-25", """select o_orderkey, case when o_custkey < 1000 then o_custkey::varchar || ',123|' else '' end || '1e5|' || (o_orderkey % 7)::varchar || '.5|123|5' numbers,
   round((o_custkey * 1000 + 123)::double, 2) as value from orders""")
 def number_values(t):
     said = text("between ", F.col("o_orderkey") % 7, ".5 and ", F.col("o_custkey"), ",123 or 1e5")
