@@ -26,7 +26,7 @@ shots as (select eval_id, shot, doc_id from probes join p using (pos))"""
 
 def sampled(t, n, seed):
     evals = t.documents.select(F.col("doc_id").alias("eval_id"), "text")
-    return fs.random_shots(t.documents.select("doc_id", "text"), evals, n, seed, "doc_id", "eval_id", "text")
+    return fs.SAMPLERS["default"](t.documents.select("doc_id", "text"), evals, n, seed, "doc_id", "eval_id", "text")
 
 
 @query("random_shots", "FS-1", f"with {shots_sql(1234, 5)} select eval_id, shot::bigint shot, doc_id from shots")
@@ -87,7 +87,7 @@ def fewshot_contexts(t):
     return out.select("eval_id", F.md5("context").alias("digest"))
 
 
-@query("seeded_samples", "FS-6", " union all ".join(
+@query("seeded_samples", "FS-6 UDF-6", " union all ".join(
     f"select * from (with {shots_sql(s, 2)} select {s}::bigint seed, eval_id, shot::bigint shot, doc_id from shots)" for s in (0, 1)))
 def seeded_samples(t):
     runs = [sampled(t, 2, s).select(fs.seeded(s), "eval_id", F.col("shot").cast("long").alias("shot"), "doc_id") for s in (0, 1)]

@@ -24,7 +24,6 @@ def r6(c, name):
     return F.round(c, 6).alias(name)
 
 
-P, R = F.col("p"), F.col("r")
 PARTS = "split_part(p, '.', 1)"
 
 
@@ -60,21 +59,21 @@ TOKENS = f"(select conv_id, turn, {q.words(q.qa_normal('p'))} a, {q.words(q.qa_n
 @query("token_f1", "SC-22", f"""select conv_id, turn, round({f1_sql('a', 'b')}, 6) f1, round(greatest({f1_sql('a', 'b')}, {f1_sql('a', 'c')}), 6) best_f1
 from (select *, {q.words(q.qa_normal("split_part(p, '.', 2)"))} c from {TOKENS})""")
 def token_f1(t):
-    golds = F.array(R, F.split_part("p", F.lit("."), F.lit(2)))
-    return pairs(t).select(*KEY, r6(ts.qa_f1(P, R), "f1"), r6(ts.best(golds, lambda g: ts.qa_f1(P, g)), "best_f1"))
+    golds = F.array(F.col("r"), F.split_part("p", F.lit("."), F.lit(2)))
+    return pairs(t).select(*KEY, r6(ts.qa_f1(F.col("p"), F.col("r")), "f1"), r6(ts.best(golds, lambda g: ts.qa_f1(F.col("p"), g)), "best_f1"))
 
 
 @query("char_f1", "SC-23", f"select conv_id, turn, round({f1_sql('a', 'b')}, 6) f1 from (select conv_id, turn, string_split(p, '') a, string_split(r, '') b from {PAIRS})")
 def char_f1(t):
-    return pairs(t).select(*KEY, r6(ts.char_f1(P, R), "f1"))
+    return pairs(t).select(*KEY, r6(ts.char_f1(F.col("p"), F.col("r")), "f1"))
 
 
 @query("leave_one_out", "SC-24", f"""select conv_id, turn, round((greatest(y, z) + greatest(x, z) + greatest(x, y)) / 3, 6) f1 from (
   select conv_id, turn, {f1_sql('a', 'b')} x, {f1_sql('a', 'c')} y, {f1_sql('a', 'd')} z from (
     select *, {q.words(q.qa_normal("split_part(p, '.', 2)"))} c, {q.words(q.qa_normal("split_part(r, '.', 1)"))} d from {TOKENS}))""")
 def leave_one_out(t):
-    golds = F.array(R, F.split_part("p", F.lit("."), F.lit(2)), F.split_part("r", F.lit("."), F.lit(1)))
-    return pairs(t).select(*KEY, r6(ts.leave_one_out(golds, lambda g: ts.qa_f1(P, g)), "f1"))
+    golds = F.array(F.col("r"), F.split_part("p", F.lit("."), F.lit(2)), F.split_part("r", F.lit("."), F.lit(1)))
+    return pairs(t).select(*KEY, r6(ts.leave_one_out(golds, lambda g: ts.qa_f1(F.col("p"), g)), "f1"))
 
 
 def span_sql(x: str) -> str:
@@ -86,20 +85,20 @@ def span_sql(x: str) -> str:
   2.0::double * s / (len(a) + len(b)) end, 2) f1 from (select *, len(list_intersect(a, b)) s from (
   select conv_id, turn, {span_sql('p')} a, {span_sql('r')} b from {PAIRS}))""")
 def span_alignment(t):
-    one, gold = F.array(P), F.array(R)
+    one, gold = F.array(F.col("p")), F.array(F.col("r"))
     return pairs(t).select(*KEY, ts.spans_exact(one, gold).alias("em"), ts.spans_f1(one, gold).alias("f1"))
 
 
 @query("multi_span_alignment", "SC-25")
 def multi_span_alignment(t):
     split = lambda c: F.filter(F.split(c, r"\."), lambda x: F.trim(x) != "")
-    return pairs(t).select(*KEY, r6(ts.spans_f1(split(P), split(R)), "f1"))
+    return pairs(t).select(*KEY, r6(ts.spans_f1(split(F.col("p")), split(F.col("r"))), "f1"))
 
 
 @query("set_f1", "SC-26", f"""select conv_id, turn, round(case when s > 0 then 2.0::double * s / (len(a) + len(b)) else 0 end, 6) f1 from (
   select *, len(list_intersect(a, b)) s from (select conv_id, turn, list_distinct({q.words('p')}) a, list_distinct({q.words('r')}) b from {PAIRS}))""")
 def set_f1(t):
-    return pairs(t).select(*KEY, r6(ts.set_f1(words(P), words(R)), "f1"))
+    return pairs(t).select(*KEY, r6(ts.set_f1(words(F.col("p")), words(F.col("r"))), "f1"))
 
 
 @query("number_hits", "SC-27", """select doc_id, round(case when len(n) > 0 then len(list_filter(n, lambda x: x = '1')) / len(n) else 0 end, 6) hit,
@@ -131,7 +130,7 @@ def code_edit_similarity(t):
 
 @query("code_similarity", "SC-29")
 def code_similarity(t):
-    return pairs(t).select(*KEY, r6(ts.code_similarity(P, R), "score"))
+    return pairs(t).select(*KEY, r6(ts.code_similarity(F.col("p"), F.col("r")), "score"))
 
 
 @query("contained_strings", "SC-30", f"""select conv_id, turn, (contains(lower(p), 'the') or contains(lower(p), lower(w)))::int::double as any_hit,
@@ -139,13 +138,13 @@ def code_similarity(t):
   round(greatest(contains(lower(p), 'the')::int, contains(lower(r), lower(w))::int)::double / 2, 6) part
 from (select *, coalesce({q.words('r')}[2], 'zz') w from {PAIRS})""")
 def contained_strings(t):
-    w = F.coalesce(F.get(words(R), F.lit(1)), F.lit("zz"))
+    w = F.coalesce(F.get(words(F.col("r")), F.lit(1)), F.lit("zz"))
     d = pairs(t).select(*KEY, "p", "r", w.alias("w"))
     refs = F.array(F.lit("THE"), F.col("w"))
     lists = F.array(F.array(F.lit("THE")), F.array(F.col("w")))
     return d.select(
-        *KEY, ts.contains_any(P, refs).alias("any_hit"), r6(ts.match_all(F.array(P), F.array(refs)), "share"),
-        r6(ts.match_part(F.array(P, R), lists), "part"),
+        *KEY, ts.contains_any(F.col("p"), refs).alias("any_hit"), r6(ts.match_all(F.array(F.col("p")), F.array(refs)), "share"),
+        r6(ts.match_part(F.array(F.col("p"), F.col("r")), lists), "part"),
     )
 
 
@@ -156,12 +155,12 @@ BIGRAMS = "[{0}[i] || ' ' || {0}[i + 1] for i in range(1, len({0}))]"
 @query("rouge_n", "SC-31", f"""select conv_id, turn, round({f1_sql('a', 'b')}, 6) rouge1, round({f1_sql('c', 'd')}, 6) rouge2 from (
   select *, {BIGRAMS.format('a')} c, {BIGRAMS.format('b')} d from {ROUGE})""")
 def rouge_n(t):
-    return pairs(t).select(*KEY, r6(ts.rouge_n(P, R, 1), "rouge1"), r6(ts.rouge_n(P, R, 2), "rouge2"))
+    return pairs(t).select(*KEY, r6(ts.rouge_n(F.col("p"), F.col("r"), 1), "rouge1"), r6(ts.rouge_n(F.col("p"), F.col("r"), 2), "rouge2"))
 
 
 @query("rouge_l", "SC-32")
 def rouge_l(t):
-    return pairs(t).select(*KEY, r6(ts.rouge_l(P, R), "rouge_l"), r6(ts.rouge_lsum(P, R), "rouge_lsum"))
+    return pairs(t).select(*KEY, r6(ts.rouge_l(F.col("p"), F.col("r")), "rouge_l"), r6(ts.rouge_lsum(F.col("p"), F.col("r")), "rouge_lsum"))
 
 
 BLEU_TOKENS = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{q.SPACE_CLASS[1:-1]}]"
@@ -180,7 +179,7 @@ BLEU_ROWS = f"""(select conv_id, turn, a, b, {', '.join(f"{q.overlap(gram_list('
   {' + '.join(f"ln(c{n} + {int(n > 1)} + 2.2250738585072014e-308) - ln(greatest(len(a) - {n - 1}, 0) + {int(n > 1)} + 2.2250738585072014e-308)" for n in range(1, 5))}) / 4
   + least(0, 1 - (len(b) + 1)::double / (len(a) + 1))), 6) bleu from {BLEU_ROWS}""")
 def sentence_bleu(t):
-    return pairs(t).select(*KEY, r6(ts.sentence_bleu(ts.bleu_stats(P, F.array(R))), "bleu"))
+    return pairs(t).select(*KEY, r6(ts.sentence_bleu(ts.bleu_stats(F.col("p"), F.array(F.col("r")))), "bleu"))
 
 
 @query("true_false_scores", "SC-34", f"""select conv_id, turn, round(x, 6) as best_true, round(x - y, 6) diff, (x > y)::int::bigint acc from (
@@ -189,8 +188,8 @@ def sentence_bleu(t):
 def true_false_scores(t):
     false = F.array(F.split_part("p", F.lit("."), F.lit(2)), F.lit("x and, the"))
     false_scores = F.transform(F.array(words(ts.qa_normal(F.get(false, F.lit(0)))), F.array(F.lit("the"))),
-                               lambda g: ts.token_f1(words(ts.qa_normal(P)), g))
-    family = ts.true_false_family(F.array(ts.qa_f1(P, R)), false_scores)
+                               lambda g: ts.token_f1(words(ts.qa_normal(F.col("p"))), g))
+    family = ts.true_false_family(F.array(ts.qa_f1(F.col("p"), F.col("r"))), false_scores)
     return pairs(t).select(*KEY, family.alias("f")).select(
         *KEY, r6(F.col("f.max"), "best_true"), r6(F.col("f.diff"), "diff"), F.col("f.acc").cast("long").alias("acc")
     )
@@ -270,7 +269,7 @@ def language_scores(t):
 from (select conv_id, turn, [length(x) % 5 for x in string_split(p, ' ')] a, [length(x) % 5 for x in string_split(r, ' ')] b from {0})""".format(PAIRS))
 def tag_accuracy(t):
     tags = lambda c: F.transform(F.split(c, " "), lambda w: F.length(w) % 5)
-    return pairs(t).select(*KEY, r6(ts.tag_accuracy(tags(R), tags(P)), "acc"))
+    return pairs(t).select(*KEY, r6(ts.tag_accuracy(tags(F.col("r")), tags(F.col("p"))), "acc"))
 
 
 @query("referent_matches", "SC-42", """select p_partkey, (p_partkey % 3 <> 1)::int::double as same from part""")
@@ -334,7 +333,7 @@ def math_equality(t):
 @query("guarded_scores", "SC-47", f"""select conv_id, turn, round(case when length(p) < 400 or length(r) < 100 then 'nan'::double
   when f = 0 then 1e-5 else f end, 6) score from (select conv_id, turn, p, r, {f1_sql('a', 'b')} f from {TOKENS})""")
 def guarded_scores(t):
-    score = F.when((F.length(P) < 400) | (F.length(R) < 100), F.lit(ts.NAN)).otherwise(ts.guarded(ts.qa_f1(P, R), P, R, 100))
+    score = F.when((F.length(F.col("p")) < 400) | (F.length(F.col("r")) < 100), F.lit(ts.NAN)).otherwise(ts.guarded(ts.qa_f1(F.col("p"), F.col("r")), F.col("p"), F.col("r"), 100))
     return pairs(t).select(*KEY, r6(score, "score"))
 
 
@@ -342,7 +341,7 @@ def guarded_scores(t):
   select conv_id, turn, {f1_sql('a', 'b')} x, {f1_sql('a', 'd')} y from (
     select *, {q.words(q.qa_normal("split_part(r, '.', 1)"))} d from {TOKENS}))""")
 def best_and_mean(t):
-    scores = F.array(ts.qa_f1(P, R), ts.qa_f1(P, F.split_part("r", F.lit("."), F.lit(1))), F.lit(ts.NAN))
+    scores = F.array(ts.qa_f1(F.col("p"), F.col("r")), ts.qa_f1(F.col("p"), F.split_part("r", F.lit("."), F.lit(1))), F.lit(ts.NAN))
     return pairs(t).select(*KEY, ts.best_and_mean(scores).alias("b")).select(*KEY, r6(F.col("b.best"), "best"), r6(F.col("b.mean"), "mean"))
 
 
