@@ -54,8 +54,8 @@ def strip_chars(c: Column | str, chars: str) -> Column:
 
 
 def words(c: Column | str) -> Column:
-    """White-space separated words."""
-    return F.regexp_extract_all(col(c), F.lit(WORD), F.lit(0))
+    """White-space separated words (splitting is about three times as fast as extracting them)."""
+    return F.array_remove(F.split(col(c), f"{SPACE}+"), "")
 
 
 def squeeze(c: Column | str) -> Column:

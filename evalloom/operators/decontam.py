@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from evalloom.functions.text import let, ngrams, normal_words
 from evalloom.operators.scale import BROADCAST_ROWS, fits_broadcast, semi_join_sized
+from evalloom.session import cut_lineage
 
 NGRAM = 13
 BUCKETS = 500
@@ -64,6 +65,8 @@ def frequent_ngrams(docs: DataFrame, n: int = NGRAM, more_than: int = MAX_DOCUME
         postings.select(F.xxhash64("ngram").alias("k1")).groupBy("k1").agg(F.count("*").alias("_c"))
         .where(F.col("_c") > more_than)
     )
+    # kept as a table: it is counted before it is broadcast, and the first pass over the corpus should run once
+    likely = cut_lineage(likely.select("k1"))
     candidates = semi_join_sized(postings.withColumn("k1", F.xxhash64("ngram")), likely, "k1", F.col(key))
     return (
         candidates.groupBy("ngram").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > more_than)
@@ -78,23 +81,22 @@ def eval_lookup(evals: DataFrame, n: int = NGRAM, text: str = "text",
 
 def matched_postings(docs: DataFrame, ngram_set: DataFrame, n: int = NGRAM, text: str = "text",
                      keys: list[str] | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Occurrences in ``docs`` of the n-grams in ``ngram_set``: ``keys..., pos, ngram``."""
+    """Distinct n-grams of each document that are in ``ngram_set``: ``keys..., ngram``."""
     keys = keys or ["doc_id"]
-    return semi_join_sized(
-        ngram_postings(docs, n, text, keys), ngram_set, "ngram", F.struct(*keys, F.col("pos")), max_rows
-    )
+    return semi_join_sized(distinct_postings(docs, n, text, keys), ngram_set, "ngram", F.struct(*keys), max_rows)
 
 
 def train_overlap(train: DataFrame, evals: DataFrame, n: int = NGRAM, keys: tuple[str, ...] = ("task", "set", "item_id"),
-                  exclude: DataFrame | None = None) -> DataFrame:
+                  max_documents: int | None = None, key: str = "doc_id") -> DataFrame:
     """Contaminated evaluation items with the number of their distinct n-grams seen in training.
 
-    ``exclude`` holds n-grams too frequent to count as evidence.
+    One pass over the training text: only n-grams of the evaluation side survive it, counted by document. With
+    ``max_documents``, n-grams of more training documents are too frequent to be evidence.
     """
     lookup = eval_lookup(evals, n, keys=keys)
-    if exclude is not None:
-        lookup = semi_join_sized(lookup, exclude, "ngram", F.struct(*keys), anti=True)
-    seen = matched_postings(train, lookup, n).select("ngram").distinct()
+    seen = matched_postings(train, lookup, n, keys=[key]).groupBy("ngram").agg(F.count("*").alias("n_docs"))
+    if max_documents is not None:
+        seen = seen.where(F.col("n_docs") <= max_documents)
     return lookup.join(seen, "ngram", "left_semi").groupBy(*keys).agg(F.count("*").alias("n_matched"))
 
 
