@@ -118,49 +118,36 @@ def overlap_statistics(train: DataFrame, evals: DataFrame, n: int = NGRAM) -> Da
     )
 
 
-SPANS = T.ArrayType(
-    T.StructType([T.StructField("word", T.StringType()), T.StructField("start", T.IntegerType()),
-                  T.StructField("stop", T.IntegerType())])
-)
-
-
-@F.arrow_udf(SPANS)
-def word_spans(texts: pa.Array) -> pa.Array:
-    """Normalised words of each text with their character offsets ``[start, stop)`` in the original."""
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def word_bounds(texts: pa.Array) -> pa.Array:
+    """Character offsets of the words that keep a letter after normalisation: all starts, then all ends."""
     drop = str.maketrans("", "", string.punctuation)
-    word, start, stop, offsets = [], [], [], [0]
+    flat, offsets = [], [0]
     for text in texts.to_pylist():
-        for m in re.finditer(r"\S+", text or ""):
-            bare = m.group().lower().translate(drop)
-            if bare:
-                word.append(bare)
-                start.append(m.start())
-                stop.append(m.end())
-        offsets.append(len(word))
-    fields = [pa.array(word, pa.string()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())]
-    rows = pa.StructArray.from_arrays(fields, ["word", "start", "stop"])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
+        kept = [m.span() for m in re.finditer(r"\S+", text or "") if m.group().translate(drop)]
+        flat += [a for a, _ in kept]
+        flat += [b for _, b in kept]
+        offsets.append(len(flat))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
 
 
 def ngram_spans(docs: DataFrame, n: int = NGRAM, text: str = "text", key: str = "doc_id") -> DataFrame:
     """N-grams with the character range they cover in the original text: ``key, pos, ngram, start, stop``."""
-    spanned = docs.select(key, word_spans(F.col(text)).alias("spans"))
+    parts = docs.select(
+        key, ngrams(normal_words(text), n).alias("grams"), word_bounds(F.col(text)).alias("bounds")
+    )
 
-    def grams(s: Column) -> Column:
+    def ranges(s: Column) -> Column:
+        words = (F.size(s["b"]) / 2).cast("int")
         return F.transform(
-            F.sequence(F.lit(0), F.size(s) - n),
-            lambda i: F.struct(
-                F.concat_ws(" ", *[s[i + k]["word"] for k in range(n)]).alias("ngram"),
-                s[i]["start"].alias("start"),
-                s[i + (n - 1)]["stop"].alias("stop"),
+            s["g"],
+            lambda g, i: F.struct(
+                g.alias("ngram"), F.get(s["b"], i).alias("start"), F.get(s["b"], words + i + (n - 1)).alias("stop")
             ),
         )
 
-    return (
-        spanned.where(F.size("spans") >= n)
-        .select(key, F.posexplode(let(F.col("spans"), grams)).alias("pos", "g"))
-        .select(key, "pos", "g.ngram", "g.start", "g.stop")
-    )
+    spans = let(F.struct(F.col("grams").alias("g"), F.col("bounds").alias("b")), ranges)
+    return parts.select(key, F.posexplode(spans).alias("pos", "g")).select(key, "pos", "g.ngram", "g.start", "g.stop")
 
 
 def dirty_ranges(docs: DataFrame, ngram_set: DataFrame, n: int = NGRAM, window: int = WINDOW_TO_REMOVE,

@@ -46,11 +46,10 @@ def normalised_words(t):
 
 
 @query("word_ngrams", "DEC-2", f"""with {TRAIN}
-select doc_id, count(*) n_ngrams, count(distinct ngram) n_distinct, min(ngram) first_ngram, max(ngram) last_ngram
-from train group by doc_id""")
+select doc_id, count(ngram) n_ngrams, count(distinct ngram) n_distinct, min(ngram) first_ngram, max(ngram) last_ngram
+from documents left join train using (doc_id) group by doc_id""")
 def word_ngrams(t):
-    grams = ngrams(normal_words("text"), N)
-    per_doc = t.texts().select("doc_id", grams.alias("g")).where(F.size("g") > 0)
+    per_doc = t.texts().select("doc_id", ngrams(normal_words("text"), N).alias("g"))
     return per_doc.select(
         "doc_id",
         F.size("g").cast("long").alias("n_ngrams"),
