@@ -45,9 +45,14 @@ def found(text: Column, pattern: str, select: int = 0) -> Column:
     groups = group_count(pattern)
     if groups <= 1:
         return strip(nth(F.regexp_extract_all(text, F.lit(pattern), F.lit(groups)), select))
-    picked = [nth(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)), select) for g in range(1, groups + 1)]
-    filled = F.coalesce(*[F.nullif(p, F.lit("")) for p in picked])
-    return strip(F.when(picked[0].isNull(), F.lit(None)).otherwise(F.coalesce(filled, F.lit(""))))
+    picked = F.array(*[nth(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)), select) for g in range(1, groups + 1)])
+    # without a match every group is NULL; otherwise the first group with text, or empty
+    return let(
+        picked,
+        lambda p: F.when(
+            p[0].isNotNull(), strip(F.coalesce(F.get(F.filter(p, lambda x: x != ""), F.lit(0)), F.lit("")))
+        ),
+    )
 
 
 def regex(responses: Column, pattern: str = ANSWER_PATTERN, select: int = 0, fallback: str = INVALID) -> Column:

@@ -161,9 +161,10 @@ NOISE = "The grass is green. The sky is blue. The sun is yellow. Here we go. The
 
 def variable_name(letters: int, *key: Column | str) -> Column:
     """Upper-case name of ``letters`` letters."""
-    number = draw(26**letters, *key)
-    parts = [F.chr(F.pmod(F.floor(number / 26**p), F.lit(26)) + 65) for p in range(letters)]
-    return F.concat(*parts)
+    def spell(number: Column) -> Column:
+        return F.concat(*[F.chr(F.pmod(F.floor(number / 26**p), F.lit(26)) + 65) for p in range(letters)])
+
+    return let(draw(26**letters, *key), spell)
 
 
 def chain_rows(rows: DataFrame, key: str, noises: int, hops: int, seed: int = 42) -> DataFrame:

@@ -20,12 +20,13 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
-    def texts(self) -> DataFrame:
-        """``doc_id, text`` of the corpus, on at least as many partitions as there are cores.
+    @property
+    def documents(self) -> DataFrame:
+        """The corpus on at least as many partitions as there are cores.
 
-        A small file is one split; a large corpus has more splits than cores and is read without a shuffle.
+        A small file is one or two splits; a large corpus has more splits than cores and is read without a shuffle.
         """
-        docs = self.documents.select("doc_id", "text")
+        docs = self.spark.read.parquet(self.path("documents"))
         cores = self.spark.sparkContext.defaultParallelism
         return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
 

@@ -33,14 +33,14 @@ E = "e as (select distinct ngram from lookup)"
 select task, "set", item_id, count(*) n_matched from lookup
 where ngram in (select ngram from train) group by all""")
 def contaminated_items(t):
-    return dc.train_overlap(t.texts(), evals(t), N, KEYS)
+    return dc.train_overlap(t.documents, evals(t), N, KEYS)
 
 
 @query("normalised_words", "DEC-1", f"""select doc_id, len(w)::bigint n_words, md5(array_to_string(w, ' ')) digest
 from (select doc_id, {q.normal_words('text')} w from documents)""")
 def normalised_words(t):
     w = normal_words("text")
-    return t.texts().select(
+    return t.documents.select(
         "doc_id", F.size(w).cast("long").alias("n_words"), F.md5(F.array_join(w, " ")).alias("digest")
     )
 
@@ -49,7 +49,7 @@ def normalised_words(t):
 select doc_id, count(ngram) n_ngrams, count(distinct ngram) n_distinct, min(ngram) first_ngram, max(ngram) last_ngram
 from documents left join train using (doc_id) group by doc_id""")
 def word_ngrams(t):
-    per_doc = t.texts().select("doc_id", ngrams(normal_words("text"), N).alias("g"))
+    per_doc = t.documents.select("doc_id", ngrams(normal_words("text"), N).alias("g"))
     return per_doc.select(
         "doc_id",
         F.size("g").cast("long").alias("n_ngrams"),
@@ -76,7 +76,7 @@ spans as (select * from (select doc_id, pos, array_to_string(list(word) over w,
 select doc_id, count(*) n_ngrams, sum(start)::bigint sum_start, sum(stop)::bigint sum_stop, min(ngram) first_ngram
 from spans group by doc_id""")
 def ngram_offsets(t):
-    return dc.ngram_spans(t.texts(), N).groupBy("doc_id").agg(
+    return dc.ngram_spans(t.documents, N).groupBy("doc_id").agg(
         F.count("*").alias("n_ngrams"),
         F.sum("start").alias("sum_start"),
         F.sum("stop").alias("sum_stop"),
@@ -86,12 +86,12 @@ def ngram_offsets(t):
 
 @query("bucketed_ngrams", "DEC-4")
 def bucketed_ngrams(t):
-    return dc.with_bucket(dc.ngram_postings(t.texts(), N)).groupBy("bucket").agg(F.count("*").alias("n_postings"))
+    return dc.with_bucket(dc.ngram_postings(t.documents, N)).groupBy("bucket").agg(F.count("*").alias("n_postings"))
 
 
 @query("sorted_bucket_rows", "DEC-5 SRT-1", f"""with {TRAIN} select doc_id, ngram from train""")
 def sorted_bucket_rows(t):
-    return dc.sorted_buckets(dc.ngram_postings(t.texts(), N)).select("doc_id", "ngram")
+    return dc.sorted_buckets(dc.ngram_postings(t.documents, N)).select("doc_id", "ngram")
 
 
 PAIRS = q.ngram_rows("pairs", "documents", "doc_id", q.normal_words("text"), 3)
@@ -100,7 +100,7 @@ PAIRS = q.ngram_rows("pairs", "documents", "doc_id", q.normal_words("text"), 3)
 @query("frequent_ngrams", "DEC-6 AGG-33", f"""with {PAIRS}
 select ngram, count(distinct doc_id) n_docs from pairs group by ngram having count(distinct doc_id) > 10""")
 def frequent_ngrams(t):
-    return dc.frequent_ngrams(t.texts(), 3)
+    return dc.frequent_ngrams(t.documents, 3)
 
 
 @query("eval_lookup", "DEC-7", f"""with {EVAL}
@@ -113,7 +113,7 @@ def eval_lookup(t):
 select sum(c)::bigint total_ngrams, count(*) unique_ngrams, count(e.ngram) matching_unique,
   count(*) - count(e.ngram) non_matching_unique from u left join e using (ngram)""")
 def overlap_statistics(t):
-    return dc.overlap_statistics(t.texts(), t.benchmark, N)
+    return dc.overlap_statistics(t.documents, t.benchmark, N)
 
 
 @query("contamination_by_set", "DEC-10", f"""with {TRAIN}, {EVAL}, hit as (select distinct task, "set", item_id from lookup
@@ -121,7 +121,7 @@ def overlap_statistics(t):
 select task, "set", count(*) n_items, count(h.item_id) n_contaminated from items left join hit h using (task, "set", item_id)
 group by task, "set" """)
 def contamination_by_set(t):
-    hit = dc.train_overlap(t.texts(), evals(t), N, KEYS).select(*KEYS, F.lit(1).alias("hit"))
+    hit = dc.train_overlap(t.documents, evals(t), N, KEYS).select(*KEYS, F.lit(1).alias("hit"))
     return evals(t).select(*KEYS).join(hit, list(KEYS), "left").groupBy("task", "set").agg(
         F.count("*").alias("n_items"), F.count("hit").alias("n_contaminated")
     )
@@ -148,7 +148,7 @@ select doc_id, start::bigint start, length(text)::bigint n_chars, md5(text) dige
   union all select doc_id, 0, text from documents where doc_id not in (select doc_id from cuts))""")
 def clean_training_text(t):
     grams = dc.distinct_postings(t.benchmark, N, keys=["item_id"])
-    cleaned = dc.clean_documents(t.texts(), grams, N)
+    cleaned = dc.clean_documents(t.documents, grams, N)
     return cleaned.select(
         "doc_id", F.col("start").cast("long").alias("start"), F.length("text").cast("long").alias("n_chars"),
         F.md5("text").alias("digest"),
@@ -160,7 +160,7 @@ frequent as (select ngram from train group by ngram having count(distinct doc_id
 select task, "set", item_id, count(*) n_matched from lookup
 where ngram in (select ngram from train) and ngram not in (select ngram from frequent) group by all""")
 def overlap_without_frequent(t):
-    return dc.train_overlap(t.texts(), evals(t), N, KEYS, max_documents=3)
+    return dc.train_overlap(t.documents, evals(t), N, KEYS, max_documents=3)
 
 
 @query("decontamination_query", "DEC-13", r"""select item_id,
@@ -181,5 +181,5 @@ select task, round(avg(score), 6) mean, count(*) n,
 from s left join hit h using (task, "set", item_id) group by task""")
 def clean_subset_metric(t):
     samples = evals(t).select(*KEYS, F.length("text").cast("double").alias("score"))
-    out = dc.clean_subset_metric(samples, dc.train_overlap(t.texts(), evals(t), N, KEYS), list(KEYS), ["task"], "score")
+    out = dc.clean_subset_metric(samples, dc.train_overlap(t.documents, evals(t), N, KEYS), list(KEYS), ["task"], "score")
     return out.withColumns({c: F.round(c, 6) for c in ("mean", "mean_decontaminate")})

@@ -181,12 +181,9 @@ BYTES = """select doc_id, p, ('0x' || h)::bigint token from (
 
 def token_summary(df, tokens: str, *keys: str):
     """Length, sum and position-weighted sum: equal only for equal token lists, in practice."""
-    weighted = F.aggregate(
-        F.transform(tokens, lambda x, i: x.cast("long") * (i % 997 + 1)), F.lit(0).cast("long"), lambda a, x: a + x
-    )
-    total = F.aggregate(tokens, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
-    return df.select(
-        *keys, F.size(tokens).cast("long").alias("n"), total.alias("total"), weighted.alias("weighted")
+    token = F.col("token").cast("long")
+    return df.select(*keys, F.posexplode(tokens).alias("p", "token")).groupBy(*keys).agg(
+        F.count("*").alias("n"), F.sum(token).alias("total"), F.sum(token * (F.col("p") % 997 + 1)).alias("weighted")
     )
 
 
