@@ -349,7 +349,7 @@ def bleu_stats(pred: Column, references: Column, order: int = 4) -> Column:
             return let(
                 F.struct(ngrams(s["t"], n).alias("t"), F.transform(s["r"], lambda r: ngrams(r, n)).alias("r")),
                 lambda g: F.aggregate(
-                    F.array_distinct(g["t"]), F.lit(0).cast("long"),
+                    F.array_intersect(g["t"], F.flatten(g["r"])), F.lit(0).cast("long"),
                     lambda a, x: a + F.least(count_of(g["t"], x), F.array_max(F.transform(g["r"], lambda r: count_of(r, x)))),
                 ),
             )
