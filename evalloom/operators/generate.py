@@ -97,6 +97,7 @@ def hash_order(items: Column, *key: Column | str) -> Column:
     return F.transform(F.array_sort(tagged), lambda s: s["x"])
 
 
+# Fixed value: the needle sentence.
 NEEDLE = "One of the special magic numbers for {key} is: {value}."
 
 
@@ -156,6 +157,7 @@ def haystack_rows(docs: DataFrame, key: str, sentences: Column, n_keys: int, n_v
     )
 
 
+# Fixed value: the noise line between the assignments.
 NOISE = "The grass is green. The sky is blue. The sun is yellow. Here we go. There and back again.\n"
 
 

@@ -276,11 +276,11 @@ def entity_label_f1(t):
     return ag.entity_label_f1(rows, "g", "p").select(r6(F.col("f1"), "f1"))
 
 
-SQUAD = """(select l_discount * 10 f1, (l_discount > 0.08)::int::double as ex, l_linenumber % 4 <> 0 has, l_tax * 10 + (l_extendedprice % 97) / 1000 na,
+COMPREHENSION = """(select l_discount * 10 f1, (l_discount > 0.08)::int::double as ex, l_linenumber % 4 <> 0 has, l_tax * 10 + (l_extendedprice % 97) / 1000 na,
   l_partkey % 5 = 0 blank from lineitem)"""
 
 
-def squad(t):
+def comprehension_rows(t):
     c = F.col
     return t.lineitem.select(
         (c("l_discount") * 10).alias("f1"), (c("l_discount") > 0.08).cast("double").alias("ex"), (c("l_linenumber") % 4 != 0).alias("has"),
@@ -290,17 +290,17 @@ def squad(t):
 
 @query("comprehension_suite", "AGG-26", f"""select round(100 * avg(ex), 6) exact, round(100 * avg(f1), 6) f1, round(100 * avg(ex) filter (where has), 6) has_answer_exact,
   round(100 * avg(f1) filter (where has), 6) has_answer_f1, round(100 * avg(ex) filter (where not has), 6) no_answer_exact,
-  round(100 * avg(f1) filter (where not has), 6) no_answer_f1 from {SQUAD}""")
+  round(100 * avg(f1) filter (where not has), 6) no_answer_f1 from {COMPREHENSION}""")
 def comprehension_suite(t):
-    out = ag.comprehension_suite(squad(t), F.col("ex"), F.col("f1"), F.col("has"))
+    out = ag.comprehension_suite(comprehension_rows(t), F.col("ex"), F.col("f1"), F.col("has"))
     return out.select(*[r6(F.col(c), c) for c in out.columns])
 
 
-@query("best_threshold", "AGG-26", f"""with g as (select na, sum(case when has then f1 when blank then 0 else -1 end) g, count(*) n, sum((not has)::int) no from {SQUAD} group by na),
+@query("best_threshold", "AGG-26", f"""with g as (select na, sum(case when has then f1 when blank then 0 else -1 end) g, count(*) n, sum((not has)::int) no from {COMPREHENSION} group by na),
 r as (select *, sum(g) over (order by na rows unbounded preceding) run from g)
 select round(100 * (sum(no) + greatest(max(run), 0)) / sum(n), 5) as best from r""")
 def best_threshold(t):
-    out = ag.best_threshold(squad(t), F.col("f1"), F.col("has"), F.col("na"), F.col("blank"))
+    out = ag.best_threshold(comprehension_rows(t), F.col("f1"), F.col("has"), F.col("na"), F.col("blank"))
     return out.select(F.round("best", 5).alias("best"))
 
 

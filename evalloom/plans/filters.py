@@ -303,14 +303,14 @@ PIPE = {
 }
 
 
-@query("filter_pipelines", "FIL-0", f"""with f as (select o_orderkey, [{pick('x')} for x in r] a from {SRC}),
+@query("filter_ensembles", "FIL-0", f"""with f as (select o_orderkey, [{pick('x')} for x in r] a from {SRC}),
 e as (select o_orderkey, unnest(a) x, generate_subscripts(a, 1) i from f),
 c as (select o_orderkey, x, count(*) n, min(i) i, count(*) filter (where i <= 2) n2 from e group by 1, 2),
 v as (select o_orderkey, x, row_number() over (partition by o_orderkey order by n desc, i) r from c),
 w as (select o_orderkey, x, row_number() over (partition by o_orderkey order by n2 desc, i) r from c)
 select o_orderkey, 'score-first' as filter, a[1] filtered from f union all select o_orderkey, 'maj', x from v where r = 1
 union all select o_orderkey, 'maj@2', x from w where r = 1""")
-def filter_pipelines(t):
+def filter_ensembles(t):
     return fl.run_pipelines(responses(t).select("o_orderkey", "r"), "r", PIPE).select("o_orderkey", "filter", "filtered")
 
 

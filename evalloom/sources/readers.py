@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evalloom.operators.scale import positions
+from evalloom.operators.scale import lookup_sized, positions
 
 SAMPLE_LOG = (
     "task string, model string, doc_id bigint, doc map<string,string>, target string, resps array<array<string>>, "
@@ -60,7 +60,8 @@ def global_offsets(docs: DataFrame, file: str, row: str, out: str = "offset") ->
     before = F.sum("_n").over(W.orderBy(file).rowsBetween(W.unboundedPreceding, -1))
     starts = counts.select(file, F.coalesce(before, F.lit(0)).alias("_start"))
     placed = positions(docs, row, "_pos", [file])
-    return placed.join(starts, file).withColumn(out, F.col("_start") + F.col("_pos")).drop("_start", "_pos")
+    joined = lookup_sized(placed, starts, [file], F.col(row))
+    return joined.withColumn(out, F.col("_start") + F.col("_pos")).drop("_start", "_pos")
 
 
 def bind_split(spark: SparkSession, path: str, **partition: str) -> DataFrame:
@@ -104,7 +105,8 @@ def limit_per_task(docs: DataFrame, task: str, key: str, limit: int | float) ->
     sizes = docs.groupBy(task).agg(F.count("*").alias("original"))
     cap = F.ceil(F.col("original") * F.lit(float(limit))) if isinstance(limit, float) else F.lit(limit)
     sizes = sizes.withColumn("effective", F.least(F.col("original"), cap.cast("long")))
-    return positions(docs, key, "_pos", [task]).join(sizes, task).where("_pos < effective").drop("_pos")
+    placed = positions(docs, key, "_pos", [task])
+    return lookup_sized(placed, sizes, [task], F.col(key)).where("_pos < effective").drop("_pos")
 
 
 def first_fraction(docs: DataFrame, key: str, fraction: float) -> DataFrame:

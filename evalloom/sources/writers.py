@@ -52,6 +52,7 @@ def write_matrix(rows: DataFrame, folder: str, variant: str, tokens: str = "toke
     return folder
 
 
+# Fixed value: the line before each rendered example.
 DIVIDER = "!!@@##@@!! -- Example "
 
 
