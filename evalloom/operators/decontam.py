@@ -19,6 +19,8 @@ MAX_DOCUMENTS = 10
 WINDOW_TO_REMOVE = 200
 MINIMUM_SLICE = 200
 TOO_DIRTY = 10
+# rows of two 64-bit keys that may be broadcast (about 60 bytes each)
+KEY_ROWS = 4_000_000
 
 
 def ngram_postings(docs: DataFrame, n: int = NGRAM, text: str = "text", keys: list[str] | None = None) -> DataFrame:
@@ -90,21 +92,25 @@ def train_overlap(train: DataFrame, evals: DataFrame, n: int = NGRAM, keys: tupl
                   max_documents: int | None = None, key: str = "doc_id") -> DataFrame:
     """Contaminated evaluation items with the number of their distinct n-grams seen in training.
 
-    One pass over the training text: only n-grams of the evaluation side survive it, counted by document. With
-    ``max_documents``, n-grams of more training documents are too frequent to be evidence.
+    One pass over the training text: only n-grams of the evaluation side survive it, counted by document. What moves
+    are 16-byte keys, never the strings. With ``max_documents``, n-grams of more training documents are too frequent to be
+    evidence.
     """
-    lookup = eval_lookup(evals, n, keys=keys)
-    seen = matched_postings(train, lookup, n, keys=[key]).groupBy("ngram").agg(F.count("*").alias("n_docs"))
+    pair = ["k1", "k2"]
+    lookup = eval_lookup(evals, n, keys=keys).select(*keys, *ngram_key())
+    postings = distinct_postings(train, n, keys=[key]).select(key, *ngram_key())
+    matched = semi_join_sized(postings, lookup, pair, F.col(key), KEY_ROWS)
+    seen = matched.groupBy(*pair).agg(F.count("*").alias("n_docs"))
     if max_documents is not None:
         seen = seen.where(F.col("n_docs") <= max_documents)
-    return lookup.join(seen, "ngram", "left_semi").groupBy(*keys).agg(F.count("*").alias("n_matched"))
+    return lookup.join(seen, pair, "left_semi").groupBy(*keys).agg(F.count("*").alias("n_matched"))
 
 
 def overlap_statistics(train: DataFrame, evals: DataFrame, n: int = NGRAM) -> DataFrame:
     """One row: total, unique, unique matching and unique non-matching n-grams of the training side."""
     lookup = distinct_postings(evals, n, keys=[evals.columns[0]]).select(*ngram_key()).distinct()
     lookup = lookup.withColumn("hit", F.lit(True))
-    if fits_broadcast(lookup):
+    if fits_broadcast(lookup, KEY_ROWS):
         lookup = F.broadcast(lookup)
     unique = (
         ngram_postings(train, n).select(*ngram_key()).groupBy("k1", "k2").agg(F.count("*").alias("copies"))

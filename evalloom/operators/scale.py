@@ -21,21 +21,22 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def semi_join_sized(left: DataFrame, keys: DataFrame, on: str, spread: Column, max_rows: int = BROADCAST_ROWS,
-                    anti: bool = False) -> DataFrame:
+def semi_join_sized(left: DataFrame, keys: DataFrame, on: str | list[str], spread: Column,
+                    max_rows: int = BROADCAST_ROWS, anti: bool = False) -> DataFrame:
     """``left`` rows whose ``on`` is (not) among ``keys``.
 
     Broadcasts ``keys`` only after counting them. A larger key set is shuffled, with the left side salted by
     ``spread`` so that a key held by a third of the rows is spread over ``SALTS`` tasks.
     """
     how = "left_anti" if anti else "left_semi"
-    keys = keys.select(on).distinct()
+    on = [on] if isinstance(on, str) else on
+    keys = keys.select(*on).distinct()
     if fits_broadcast(keys, max_rows):
         return left.join(F.broadcast(keys), on, how)
     salted = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (
         left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-        .join(salted, [on, "_salt"], how)
+        .join(salted, [*on, "_salt"], how)
         .drop("_salt")
     )
 
