@@ -162,8 +162,9 @@ def dirty_ranges(docs: DataFrame, ngram_set: DataFrame, n: int = NGRAM, window:
 
     Only documents with a match are given offsets; the overlapping widened ranges are merged by gaps and islands.
     """
-    hit_docs = matched_postings(docs, ngram_set, n, text, [key]).select(key).distinct()
-    texts = docs.join(hit_docs, key, "left_semi").select(key, text)
+    # kept as a table of keys, so that the pass over all n-grams runs once
+    hit_docs = cut_lineage(matched_postings(docs, ngram_set, n, text, [key]).select(key).distinct())
+    texts = semi_join_sized(docs.select(key, text), hit_docs, key, F.col(key))
     spans = semi_join_sized(ngram_spans(texts, n, text, key), ngram_set, "ngram", F.struct(key, "pos"))
     wide = spans.join(texts.select(key, F.length(text).alias("len")), key).select(
         key,
@@ -187,8 +188,9 @@ def clean_documents(docs: DataFrame, ngram_set: DataFrame, n: int = NGRAM, windo
     more than ``too_dirty`` slices are dropped, and of the others the slices shorter than ``minimum`` are.
     """
     ranges = dirty_ranges(docs, ngram_set, n, window, key, text)
-    cuts = ranges.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
-    body = docs.select(key, text).join(cuts, key, "left")
+    cuts = cut_lineage(ranges.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts")))
+    # the corpus is shuffled only when the matched documents are too many to broadcast
+    body = docs.select(key, text).join(F.broadcast(cuts) if fits_broadcast(cuts) else cuts, key, "left")
     begins = F.concat(F.array(F.lit(0)), F.col("cuts.stop"))
     ends = F.concat(F.col("cuts.start"), F.array(F.length(text)))
     gaps = F.filter(
