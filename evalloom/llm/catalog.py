@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalloom.llm import line_dedup, mixing
+from evalloom.llm import line_dedup, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op8_simhash": simhash.op8_simhash,
 }
 ORACLES: dict[str, str] = {
     "op2_mix_sources": mixing.SQL,
