@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalloom.llm import line_dedup, mixing, simhash
+from evalloom.llm import contamination, line_dedup, mixing, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op8_simhash": simhash.op8_simhash,
+    "op9_decontaminate": contamination.op9_decontaminate,
 }
 ORACLES: dict[str, str] = {
     "op2_mix_sources": mixing.SQL,
     "op3_line_dedup": line_dedup.SQL,
+    "op9_decontaminate": contamination.SQL,
 }

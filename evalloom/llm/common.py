@@ -26,6 +26,29 @@ def text_key(text: Column | str) -> Column:
     return F.xxhash64(text, text.isNull())
 
 
+# rows of a lookup table of short strings and numbers that may be broadcast: at most some ten MB
+LOOKUP_ROWS = 50_000
+SALTS = 32
+
+
+def join_lookup(rows: DataFrame, lookup: DataFrame, key: str, spread: Column, limit: int = LOOKUP_ROWS) -> DataFrame:
+    """``rows`` with the columns of ``lookup`` (one row per ``key``, nulls equal, cheap to count) added; inner join.
+
+    The lookup is broadcast after it was counted. A larger one is joined on ``key`` and a salt, so that a key of a third of the
+    rows is spread over ``SALTS`` tasks at least.
+    """
+    other = lookup.withColumnRenamed(key, "_lookup_key")
+    same = F.col(key).eqNullSafe(F.col("_lookup_key"))
+    if lookup.count() <= limit:
+        return rows.join(F.broadcast(other), same).drop("_lookup_key")
+    salted = other.withColumn("_lookup_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return (
+        rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+        .join(salted, same & (F.col("_salt") == F.col("_lookup_salt")))
+        .drop("_lookup_key", "_lookup_salt", "_salt")
+    )
+
+
 def uniform(key: Column | str, seed: int) -> Column:
     """Number in (0, 1) drawn from the key: 52 bits of an MD5, so any engine can recompute it; null draws like ``''``."""
     key = F.col(key) if isinstance(key, str) else key

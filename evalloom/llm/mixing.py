@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import SPACE, table, text_key, uniform, word_count
+from evalloom.llm.common import LOOKUP_ROWS, SPACE, join_lookup, table, text_key, uniform, word_count
 from evalloom.session import cut_lineage
 
 WEIGHTS = (3, 1, 2)  # of the sources in code point order, repeating
@@ -78,7 +78,8 @@ def sized_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP,
-                doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
+                doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED,
+                lookup_rows: int = LOOKUP_ROWS) -> DataFrame:
     """Words that a mixture takes from each document: ``doc_id, text_key, source, size, source_size, target, taken``.
 
     A source first gives ``floor(target / size)`` complete epochs, then documents in key order until its target is met; the
@@ -106,8 +107,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float
         below = below + F.col(f"_n{i}") * -F.expm1(-w * F.col("key"))
     buckets = F.ceil(F.sqrt(F.col("_rows")))
     bucket = F.floor(below / F.col("_rows") * buckets).cast("long")
-    renamed = plan.withColumnRenamed("source", "_source")
-    placed = sized.join(renamed, F.col("source").eqNullSafe(F.col("_source"))).select(
+    placed = join_lookup(sized, cut_lineage(plan), "source", F.struct("doc_id", "text_key"), lookup_rows).select(
         "doc_id", "text_key", "source", "size", "key", "source_size", "target", "_epochs", "_rest", "sid",
         bucket.alias("_bucket"),
     )
