@@ -6,17 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalloom.llm import contamination, line_dedup, mixing, simhash, toxicity
+import corpus_pipeline
+from evalloom.llm import contamination, line_dedup, mixing, quality, simhash, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": warc.op1_warc,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op6_top_products": topk.op6_top_products,
+    "op7_quality": quality.op7_quality,
     "op8_simhash": simhash.op8_simhash,
     "op9_decontaminate": contamination.op9_decontaminate,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
+    "op1_warc": warc.SQL,
     "op2_mix_sources": mixing.SQL,
     "op3_line_dedup": line_dedup.SQL,
+    "op6_top_products": topk.SQL,
     "op9_decontaminate": contamination.SQL,
 }

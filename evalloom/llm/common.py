@@ -31,8 +31,9 @@ LOOKUP_ROWS = 50_000
 SALTS = 32
 
 
-def join_lookup(rows: DataFrame, lookup: DataFrame, key: str, spread: Column, limit: int = LOOKUP_ROWS) -> DataFrame:
-    """``rows`` with the columns of ``lookup`` (one row per ``key``, nulls equal, cheap to count) added; inner join.
+def join_lookup(rows: DataFrame, lookup: DataFrame, key: str, spread: Column, limit: int = LOOKUP_ROWS,
+                how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``lookup`` (one row per ``key``, nulls equal, cheap to count) added.
 
     The lookup is broadcast after it was counted. A larger one is joined on ``key`` and a salt, so that a key of a third of the
     rows is spread over ``SALTS`` tasks at least.
@@ -40,11 +41,11 @@ def join_lookup(rows: DataFrame, lookup: DataFrame, key: str, spread: Column, li
     other = lookup.withColumnRenamed(key, "_lookup_key")
     same = F.col(key).eqNullSafe(F.col("_lookup_key"))
     if lookup.count() <= limit:
-        return rows.join(F.broadcast(other), same).drop("_lookup_key")
+        return rows.join(F.broadcast(other), same, how).drop("_lookup_key")
     salted = other.withColumn("_lookup_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (
         rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-        .join(salted, same & (F.col("_salt") == F.col("_lookup_salt")))
+        .join(salted, same & (F.col("_salt") == F.col("_lookup_salt")), how)
         .drop("_lookup_key", "_lookup_salt", "_salt")
     )
 
@@ -54,3 +55,9 @@ def uniform(key: Column | str, seed: int) -> Column:
     key = F.col(key) if isinstance(key, str) else key
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit(""))))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
+
+
+def held_out(doc_id: Column | str) -> Column:
+    """True for the quarter of ids that is kept for testing; false for a null id."""
+    doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
