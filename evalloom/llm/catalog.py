@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from evalloom.llm import contamination, line_dedup, mixing, quality, simhash, topk, toxicity, warc
+from evalloom.llm import contamination, language, line_dedup, mixing, quality, simhash, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_language": language.op5_language,
     "op6_top_products": topk.op6_top_products,
     "op7_quality": quality.op7_quality,
     "op8_simhash": simhash.op8_simhash,
