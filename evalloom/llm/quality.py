@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from evalloom.llm.common import held_out, table, uniform
 from evalloom.llm.linear import sigmoid
 
-CHUNK = 4096  # bytes compressed at once
+CHUNK = 2048  # bytes compressed at once
+FEATURES = 4
 SAMPLE_DOCUMENTS = 4000  # labelled documents at most, of each label
 SAMPLE_CHUNKS = 4000  # of a label that a dictionary is built from
 DICTIONARY = 64 << 10
@@ -46,9 +47,16 @@ def dictionary(samples: list[bytes]) -> bytes:
 class Model(NamedTuple):
     good: bytes
     bad: bytes
-    slope: float
+    center: np.ndarray  # of the features
+    spread: np.ndarray
+    weight: np.ndarray
     bias: float
 
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Probabilities of the rows of :func:`features`; a feature that is not a number counts as average."""
+        scaled = np.where(np.isnan(x), 0.0, (x - self.center) / self.spread)
+        return sigmoid(scaled @ self.weight + self.bias)
+
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
     if not content:
@@ -58,40 +66,53 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=data, write_content_size=False, write_dict_id=False)
 
 
-def size_difference(texts: list[str | None], good: bytes, bad: bytes) -> np.ndarray:
-    """(bad - good) / (bad + good) of the compressed sizes of each text; 0 for empty texts."""
+def features(texts: list[str | None], good: bytes, bad: bytes) -> np.ndarray:
+    """Per text the size difference (bad - good) normalised by the bytes, and what calibrates it: the compressed share of the
+    bytes, its square and the logarithm of the bytes. Empty texts have a difference of 0 and no share.
+    """
     one, two = compressor(good), compressor(bad)
-    out = np.zeros(len(texts))
+    out = np.full((len(texts), FEATURES), np.nan)
     for i, text in enumerate(texts):
         parts = chunks_of(text)
+        if not parts:
+            out[i, 0] = 0.0
+            continue
+        size = sum(map(len, parts))
         a, b = sum(len(one.compress(p)) for p in parts), sum(len(two.compress(p)) for p in parts)
-        out[i] = (b - a) / (a + b) if parts else 0.0
+        share = min(a, b) / size
+        out[i] = (b - a) / size, share, share * share, np.log(size)
     return out
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and bias of a logistic curve by Newton's method with a light prior; constant when there is one class."""
+def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Center, spread, weights and bias of a logistic curve by Newton's method with a light prior; constant for one class."""
     positives = float(y.sum())
     if not 0 < positives < len(y):
-        return 0.0, 0.0 if not len(y) else float(np.log((positives + 1) / (len(y) - positives + 1)))
-    scale = float(x.std()) or 1.0
-    matrix = np.column_stack([x / scale, np.ones(len(x))])
-    prior = np.diag([1.0, 1e-6])
-    theta = np.array([0.0, np.log(positives / (len(y) - positives))])
+        bias = 0.0 if not len(y) else float(np.log((positives + 1) / (len(y) - positives + 1)))
+        return np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), bias
+    real = ~np.isnan(x)
+    number = np.maximum(real.sum(axis=0), 1)
+    filled = np.where(real, x, 0.0)
+    center = filled.sum(axis=0) / number
+    spread = np.sqrt((np.where(real, x - center, 0.0) ** 2).sum(axis=0) / number)
+    spread = np.where(spread > 0, spread, 1.0)
+    matrix = np.column_stack([np.where(real, (filled - center) / spread, 0.0), np.ones(len(x))])
+    prior = np.diag([0.1] * FEATURES + [1e-6])
+    theta = np.append(np.zeros(FEATURES), np.log(positives / (len(y) - positives)))
     for _ in range(steps):
         p = sigmoid(matrix @ theta)
         slope = matrix.T @ (p - y) + prior @ theta
         curve = (matrix * (p * (1 - p))[:, None]).T @ matrix + prior
         step = np.linalg.solve(curve, slope)
         theta = theta - step * min(1.0, 4.0 / max(1e-9, float(np.abs(step).max())))
-    return float(theta[0] / scale), float(theta[1])
+    return center, spread, theta[:-1], float(theta[-1])
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
                   sample_documents: int = SAMPLE_DOCUMENTS, sample_chunks: int = SAMPLE_CHUNKS) -> Model:
     """Fit on at most ``sample_documents`` documents of each label that are not held out.
 
-    The dictionaries see at most ``sample_chunks`` chunks of a label, the calibration one size difference per document.
+    The dictionaries see at most ``sample_chunks`` chunks of a label, the calibration a few numbers per document.
     """
     marked = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("quality")).where(
         F.col("_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out("_id")
@@ -124,12 +145,15 @@ def train_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = size_difference(batch.column(2).to_pylist(), good, bad)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x)], ["doc_id", "quality", "x"])
-
-    rows = chosen.where("fits").select("doc_id", "quality", "text").mapInArrow(measure, "doc_id long, quality int, x double")
-    found = sorted(tuple(r) for r in rows.collect())  # three numbers per sampled document
-    y, x = np.array([r[1] for r in found], dtype=float), np.array([r[2] for r in found])
+            x = features(batch.column(2).to_pylist(), good, bad)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "quality", "x"]
+            )
+
+    rows = chosen.where("fits").select("doc_id", "quality", "text").mapInArrow(measure, "doc_id long, quality int, x array<double>")
+    found = sorted(map(tuple, rows.collect()), key=repr)  # a few numbers per sampled document
+    y = np.array([r[1] for r in found], dtype=float)
+    x = np.array([r[2] for r in found], dtype=float).reshape(len(found), FEATURES)
     return Model(good, bad, *calibrate(x, y))
 
 
@@ -140,8 +164,7 @@ def score_quality(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            x = size_difference(batch.column(1).to_pylist(), model.good, model.bad)
-            score = np.round(sigmoid(model.slope * x + model.bias), 6)
+            score = np.round(model.score(features(batch.column(1).to_pylist(), model.good, model.bad)), 6)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -151,8 +174,8 @@ def score_quality(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: s
 def quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row; ``predicted`` is 1 from ``THRESHOLD`` on.
 
-    One row per input row, repeated rows included. Null and empty texts have a size difference of 0 and get the calibrated score
-    of that. Without usable labels every score is 0.5, with labels of one class the smoothed share of that class. Null ids are
+    One row per input row, repeated rows included. Null and empty texts have a size difference of 0 and get the score
+    of that at average other features. Without usable labels every score is 0.5, with labels of one class the smoothed share of that class. Null ids are
     scored, not learned from. Only the named columns are read, so other columns may have any name.
     """
     scored = score_quality(docs, train_quality(docs, labels, doc_id, text, **options), doc_id, text)
