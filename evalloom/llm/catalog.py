@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from evalloom.llm import contamination, language, line_dedup, mixing, quality, simhash, topk, toxicity, warc
+from evalloom.llm import contamination, language, line_dedup, mixing, quality, simhash, substring, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": quality.op7_quality,
     "op8_simhash": simhash.op8_simhash,
     "op9_decontaminate": contamination.op9_decontaminate,
+    "op10_substring_dedup": substring.op10_substring_dedup,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
@@ -27,4 +28,5 @@ ORACLES: dict[str, str] = {
     "op3_line_dedup": line_dedup.SQL,
     "op6_top_products": topk.SQL,
     "op9_decontaminate": contamination.SQL,
+    "op10_substring_dedup": substring.SQL,
 }
