@@ -273,11 +273,16 @@ def number_parse(responses: Column, pattern: str, select: int = 0, fallback: str
 
 
 def word_sort(responses: Column, prompt: Column) -> Column:
-    """Words of the prompt's ``List:`` in the order of their last occurrence in the response."""
-    listed = words(F.split_part(prompt, F.lit("List:"), F.lit(2)))
+    """Words of the prompt's ``List:`` in the order of their last occurrence in the response.
+
+    The listed words themselves are searched for between word boundaries, so they may hold hyphens, apostrophes and accents.
+    """
+    listed = F.filter(words(F.split_part(prompt, F.lit("List:"), F.lit(2))), lambda w: w != "")
+    quoted = F.transform(listed, lambda w: F.concat(F.lit(r"\b\Q"), w, F.lit(r"\E\b")))
+    pattern = F.concat(F.lit("(?U)"), F.array_join(quoted, "|"))
 
     def order(r: Column) -> Column:
-        said = F.filter(F.regexp_extract_all(r, F.lit(r"[0-9A-Za-z_]+"), F.lit(0)), lambda w: F.array_contains(listed, w))
+        said = F.when(F.size(listed) > 0, F.regexp_extract_all(r, pattern, F.lit(0))).otherwise(F.array().cast("array<string>"))
         return F.array_join(F.reverse(F.array_distinct(F.reverse(said))), " ")
 
     return each(responses, order)
@@ -363,10 +368,50 @@ MATH_SUBSTITUTIONS = (
     ("\\text{m}", "\\text{}"),
 )
 MATH_REMOVED = (
-    "square ways integers dollars mph inches ft hours km units \\ldots sue points feet minutes digits cents degrees cm gm "
-    "pounds meters meals edges students childrentickets multiples \\text{s} \\text{.} \\text{\ns} \\text{}^2 \\text{}^3 "
-    "\\text{\n} \\text{} \\mathrm{th} ^\\circ ^{\\circ} \\; ,\\! {,} \" \\dots"
-).split(" ")
+    "square",
+    "ways",
+    "integers",
+    "dollars",
+    "mph",
+    "inches",
+    "ft",
+    "hours",
+    "km",
+    "units",
+    "\\ldots",
+    "sue",
+    "points",
+    "feet",
+    "minutes",
+    "digits",
+    "cents",
+    "degrees",
+    "cm",
+    "gm",
+    "pounds",
+    "meters",
+    "meals",
+    "edges",
+    "students",
+    "childrentickets",
+    "multiples",
+    "\\text{s}",
+    "\\text{.}",
+    "\\text{\ns}",
+    "\\text{}^2",
+    "\\text{}^3",
+    "\\text{\n}",
+    "\\text{}",
+    "\\mathrm{th}",
+    "^\\circ",
+    "^{\\circ}",
+    "\\;",
+    ",\\!",
+    "{,}",
+    '"',
+    "\\dots",
+)
+# Patterns applied in this order.
 MATH_PATTERNS = (
     (r"(.*?)(\$)(.*?)(\$)(.*)", r"\$$3\$"),
     (r"(\\text\{)(.*?)(\})", "$2"),

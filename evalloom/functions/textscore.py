@@ -178,7 +178,8 @@ def spans_exact(pred_spans: Column, gold_spans: Column) -> Column:
 def spans_f1(pred_spans: Column, gold_spans: Column) -> Column:
     """Mean F1 of the best alignment over the longer side, rounded half to even at two decimals."""
     total = best_alignment(F.transform(pred_spans, span_normal), F.transform(gold_spans, span_normal))
-    return F.bround(total / F.greatest(F.size(pred_spans), F.size(gold_spans)), 2)
+    longer = F.greatest(F.size(pred_spans), F.size(gold_spans))
+    return F.bround(F.when(longer == 0, 1.0).otherwise(F.try_divide(total, longer)), 2)
 
 
 # --- sets, numbers, classes ------------------------------------------------------------------------------------------
@@ -255,7 +256,8 @@ def contains_any(pred: Column, labels: Column) -> Column:
 def match_share(pred: Column, references: Column) -> Column:
     """Share of the references found in the prediction, ignoring case."""
     low = F.lower(pred)
-    return F.size(F.filter(references, lambda r: F.contains(low, F.lower(r)))) / F.size(references)
+    found = F.size(F.filter(references, lambda r: F.contains(low, F.lower(r))))
+    return F.coalesce(F.try_divide(found, F.size(references)), F.lit(0.0))
 
 
 def match_all(preds: Column, references: Column) -> Column:
@@ -523,6 +525,7 @@ LANGUAGE_ARTICLES = {
     "es": "un|una|unos|unas|el|la|los|las",
     "vi": "của|là|cái|chiếc|những",
     "de": "ein|eine|einen|einem|eines|einer|der|die|das|den|dem|des",
+    "fr": "un|une|des|le|la|les",
 }
 ALL_PUNCTUATION = r"[\p{P}$+<=>^`|~]"
 
@@ -542,7 +545,12 @@ def language_normal(c: Column, lang: Column) -> Column:
 
 
 def language_f1(pred: Column, gold: Column, lang: Column) -> Column:
-    return token_f1(words(language_normal(pred, lang)), words(language_normal(gold, lang)))
+    def score(s: Column) -> Column:
+        empty = (F.size(s["p"]) == 0) | (F.size(s["g"]) == 0)
+        agree = (F.size(s["p"]) == F.size(s["g"])).cast("double")
+        return F.when((lang == "fr") & empty, agree).otherwise(token_f1(s["p"], s["g"]))
+
+    return let(F.struct(words(language_normal(pred, lang)).alias("p"), words(language_normal(gold, lang)).alias("g")), score)
 
 
 def language_exact(pred: Column, gold: Column, lang: Column) -> Column:
@@ -561,8 +569,28 @@ def tag_accuracy(gold: Column, pred: Column) -> Column:
 
 # Determiners that do not count in a referent.
 DETERMINERS = (
-    "a an few her his each every many much my our some that the their these this those which whose your"
-).split()
+    "a",
+    "an",
+    "few",
+    "her",
+    "his",
+    "each",
+    "every",
+    "many",
+    "much",
+    "my",
+    "our",
+    "some",
+    "that",
+    "the",
+    "their",
+    "these",
+    "this",
+    "those",
+    "which",
+    "whose",
+    "your",
+)
 
 
 def same_referent(pred: Column, reference: Column) -> Column:

@@ -34,30 +34,36 @@ def byte_tokens(text: Column | str) -> Column:
 
 
 def parsed_tokens(text: Column | str) -> Column:
-    """Like ``byte_tokens``, but special-token strings inside the text become their ids."""
+    """Like ``byte_tokens``, but special-token strings inside the text become their ids; null stays null.
+
+    The text is split at the names, so whatever else it holds is kept byte by byte.
+    """
     names = "|".join(name.replace("|", "\\|") for name in SPECIAL_IDS)
-    marked = F.regexp_replace(col(text), F.lit(f"({names})"), F.lit("\u0001$1\u0001"))
     ids = F.create_map(*[F.lit(v) for pair in SPECIAL_IDS.items() for v in pair])
-    pieces = F.filter(F.split(marked, "\u0001"), lambda p: F.length(p) > 0)
-    hexed = F.transform(
-        pieces,
-        lambda p: F.when(
-            F.try_element_at(ids, p).isNotNull(), F.lpad(F.hex(F.try_element_at(ids, p)), 6, "0")
-        ).otherwise(F.regexp_replace(F.hex(F.encode(p, "UTF-8")), "(..)", "0000$1")),
+
+    def coded(s: Column) -> Column:
+        special = lambda i: F.lpad(F.hex(F.try_element_at(ids, F.get(s["found"], i))), 6, "0")
+        plain = lambda p: F.regexp_replace(F.hex(F.encode(p, "UTF-8")), "(..)", "0000$1")
+        return F.array_join(F.transform(s["between"], lambda p, i: F.concat(plain(p), F.coalesce(special(i), F.lit("")))), "")
+
+    parts = F.struct(
+        F.split(col(text), names, -1).alias("between"),
+        F.regexp_extract_all(col(text), F.lit(f"({names})"), F.lit(1)).alias("found"),
     )
-    return wide_ids(F.unhex(F.array_join(hexed, "")))
+    return wide_ids(F.when(col(text).isNotNull(), F.unhex(let(parts, coded))))
 
 
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def wide_ids(payload: pa.Array) -> pa.Array:
     """Three-byte big-endian codes of each value as integers."""
     payload = payload.cast(pa.large_binary())
+    nulls = payload.is_null() if payload.null_count else None
     bounds = np.frombuffer(payload.buffers()[1], dtype=np.int64)[payload.offset : payload.offset + len(payload) + 1]
     body = payload.buffers()[2]
     raw = np.frombuffer(body, dtype=np.uint8)[bounds[0] : bounds[-1]] if body is not None else np.empty(0, np.uint8)
     wide = raw.reshape(-1, 3).astype(np.int32)
     ids = (wide[:, 0] << 16) | (wide[:, 1] << 8) | wide[:, 2]
-    return pa.ListArray.from_arrays(pa.array(((bounds - bounds[0]) // 3).astype(np.int32)), pa.array(ids))
+    return pa.ListArray.from_arrays(pa.array(((bounds - bounds[0]) // 3).astype(np.int32)), pa.array(ids), mask=nulls)
 
 
 def wrap(tokens: Column, first: str = "<|startoftext|>", last: str = "<|return|>") -> Column:

@@ -169,8 +169,8 @@ def group_reference_scores(df: DataFrame, group: str, pos: str, pred: str, refer
 
 # --- spans -----------------------------------------------------------------------------------------------------------
 
-# Fixed value: signs that count as punctuation in span texts.
-SPAN_PUNCTUATION = r"[!\"$%&'()*+,\-./:;<=>?\[\\\]^_`{|}~•@]+"
+# Fixed value: signs that count as punctuation in span texts. The number sign is one of them, the backslash is not.
+SPAN_PUNCTUATION = r"[!\"#$%&'()*+,\-./:;<=>?\[\]^_`{|}~•@]+"
 
 
 def span_text(c: Column) -> Column:
@@ -272,21 +272,31 @@ def corpus_chrf(df: DataFrame, pred: str, gold: str, group: list[str] | None = N
 
 
 def word_edits(pred: Column, gold: Column) -> Column:
-    """Word-level edit distance: each distinct word becomes one character, then the built-in distance applies."""
-    from evalloom.functions.text import let
-
-    def distance(s: Column) -> Column:
-        vocabulary = F.array_distinct(F.concat(s["p"], s["g"]))
-
-        def coded(tokens, v):
-            # code points from U+4E00 up, below the surrogates: 30,208 distinct words per pair
-            points = F.transform(tokens, lambda w: F.lpad(F.hex(F.array_position(v, w) + 0x4DFF), 4, "0"))
-            return F.decode(F.unhex(F.array_join(points, "")), "UTF-16BE")
-
-        fits = F.assert_true(F.size(vocabulary) <= 0xD800 - 0x4E00, "too many distinct words for one pair")
-        return F.when(fits.isNull(), let(vocabulary, lambda v: F.levenshtein(coded(s["p"], v), coded(s["g"], v))))
-
-    return let(F.struct(words(pred).alias("p"), words(gold).alias("g")), distance)
+    """Word-level edit distance."""
+    return edit_distances(words(pred), words(gold))
+
+
+@F.arrow_udf(T.IntegerType())
+def edit_distances(preds: pa.Array, golds: pa.Array) -> pa.Array:
+    """Edit distances of word lists. Words are coded by one dictionary per batch; a row of the table is one vector operation."""
+    codes = pa.concat_arrays([preds.flatten(), golds.flatten()]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    sizes = [x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for x in (preds, golds)]
+    ends = [np.cumsum(s) for s in sizes]
+    shift = int(ends[0][-1]) if len(preds) else 0
+    out = []
+    for row in range(len(preds)):
+        if not (preds[row].is_valid and golds[row].is_valid):
+            out.append(None)
+            continue
+        p = codes[ends[0][row] - sizes[0][row] : ends[0][row]]
+        g = codes[shift + ends[1][row] - sizes[1][row] : shift + ends[1][row]]
+        steps = np.arange(len(g) + 1)
+        last = steps.copy()
+        for i, word in enumerate(p):
+            best = np.minimum(last[1:] + 1, last[:-1] + (g != word))
+            last = np.minimum.accumulate(np.concatenate([[i + 1], best]) - steps) + steps
+        out.append(int(last[-1]))
+    return pa.array(out, pa.int32())
 
 
 def corpus_ter(pred: str, gold: str) -> Column:

@@ -14,13 +14,16 @@ def draw(below: Column | int, *key: Column | str) -> Column:
 
 
 def digits_reversed(number: Column, width: int | None = None) -> Column:
-    """Decimal text written backwards, zero-padded to ``width`` before reversing."""
+    """Decimal text written backwards, zero-padded to at least ``width`` before reversing; a wider number keeps its digits."""
     text = number.cast("string")
-    return F.reverse(F.lpad(text, width, "0") if width else text)
+    return F.reverse(F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0")) if width else text)
 
 
 def addition_text(a: Column, b: Column, width: int | None = None) -> Column:
-    """``[a] + [b] = [c]`` with reversed digits; fixed ``width`` pads the addends and gives the sum one digit more."""
+    """``[a] + [b] = [c]`` with reversed digits; fixed ``width`` pads the addends and gives the sum one digit more.
+
+    For lines of one length the addends have to be below ``10 ** width``.
+    """
     wider = width + 1 if width else None
     return F.concat(
         F.lit("["), digits_reversed(a, width), F.lit("] + ["), digits_reversed(b, width), F.lit("] = ["),

@@ -9,14 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 64
+from evalloom.session import cut_lineage
 
-
-def expand_hierarchy(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def expand_hierarchy(edges: DataFrame) -> DataFrame:
     """Transitive closure of ``(parent, child, kind)``: ``ancestor, node, distance, is_leaf``.
 
     ``kind`` is ``group``, ``tag``, ``task`` or ``inline``; an inline child is named ``parent::child``. The frontier is
-    joined with the edges level by level, one shuffle per level of the hierarchy.
+    joined with the edges level by level and kept, so a level costs one join whatever its depth. A cycle is an error.
     """
     named = edges.select(
         "parent", F.when(F.col("kind") == "inline", F.concat_ws("::", "parent", "child")).otherwise(F.col("child")).alias("child")
@@ -24,14 +23,16 @@ def expand_hierarchy(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     parents = named.select(F.col("parent").alias("node")).distinct().withColumn("_inner", F.lit(True))
     frontier = named.select(F.col("parent").alias("ancestor"), F.col("child").alias("node"))
     step, found = named.select(F.col("parent").alias("node"), "child"), None
-    for distance in range(1, max_depth + 1):
+    distance = 1
+    while True:
         level = frontier.withColumn("distance", F.lit(distance))
         found = level if found is None else found.unionByName(level)
-        frontier = frontier.join(step, "node").select("ancestor", F.col("child").alias("node")).distinct()
+        frontier = cut_lineage(frontier.join(step, "node").select("ancestor", F.col("child").alias("node")).distinct())
         if frontier.isEmpty():
             break
-    else:
-        raise ValueError(f"hierarchy deeper than {max_depth} or cyclic")
+        if not frontier.where("ancestor = node").isEmpty():
+            raise ValueError("cyclic hierarchy")
+        distance += 1
     shortest = found.groupBy("ancestor", "node").agg(F.min("distance").alias("distance"))
     return shortest.join(parents, "node", "left").select(
         "ancestor", "node", "distance", F.col("_inner").isNull().alias("is_leaf")
@@ -89,13 +90,13 @@ def resolve_overrides(overrides: DataFrame, closure: DataFrame) -> DataFrame:
 
     A task's own entry wins; among groups the outermost one does, as the caller's settings take precedence.
     """
-    own = overrides.select(F.col("node").alias("task"), "key", "value", F.lit(-1).alias("_rank"))
+    own = overrides.select(F.col("node").alias("task"), "key", "value", F.lit(None).cast("int").alias("_rank"))
     inherited = closure.where("is_leaf").join(overrides.withColumnRenamed("node", "ancestor"), "ancestor").select(
-        F.col("node").alias("task"), "key", "value", (F.lit(MAX_DEPTH + 1) - F.col("distance")).alias("_rank")
+        F.col("node").alias("task"), "key", "value", (-F.col("distance")).alias("_rank")
     )
     tasks = closure.where("is_leaf").select(F.col("node").alias("task")).distinct()
     best = own.join(tasks, "task", "left_semi").unionByName(inherited).groupBy("task", "key").agg(
-        F.min_by("value", "_rank").alias("value")
+        F.min_by("value", F.coalesce("_rank", F.lit(-(2**31)))).alias("value")
     )
     return best
 

@@ -129,8 +129,8 @@ def group_reference_scores(t):
     return out.select(r6(F.col("em"), "em"), r6(F.col("f1"), "f1"))
 
 
-@query("span_f1", "AGG-11", """with r as (select o_orderkey k, ['per c' || (o_custkey % 9)::varchar, 'loc ' || lower(o_orderstatus), 'loc ' || lower(o_orderstatus)] g,
-  ['per c' || (o_custkey % 7)::varchar, 'loc ' || lower(o_orderstatus), 'org x'] p from orders),
+@query("span_f1", "AGG-11", """with r as (select o_orderkey k, ['per c' || (o_custkey % 9)::varchar, 'loc ' || lower(o_orderstatus), 'loc ' || lower(o_orderstatus), 'org c club', 'org a\b'] g,
+  ['per c' || (o_custkey % 7)::varchar, 'loc ' || lower(o_orderstatus), 'org x', 'org c club', 'org a\b'] p from orders),
 c as (select k, s, sum(g) g, sum(p) p from (select k, unnest(g) s, 1 g, 0 p from r union all select k, unnest(p), 0, 1 from r) group by k, s)
 select sum(least(g, p))::bigint tp, sum(greatest(p - g, 0))::bigint fp, sum(greatest(g - p, 0))::bigint fn,
   round(2.0::double * sum(least(g, p)) / (sum(g) + sum(p)), 6) f1 from c""")
@@ -141,7 +141,10 @@ def span_f1(t):
         )
 
     loc = F.concat(F.lit(" $$ LOC: "), "o_orderstatus")
-    rows = t.orders.select("o_orderkey", F.concat(text(9, ""), loc).alias("gold"), text(7, " $ ORG: X").alias("pred"))
+    more = F.lit(" $$ ORG: C# club $$ ORG: a\\b")
+    rows = t.orders.select(
+        "o_orderkey", F.concat(text(9, ""), loc, more).alias("gold"), F.concat(text(7, " $ ORG: X"), more).alias("pred")
+    )
     out = ag.span_f1(rows, ["o_orderkey"], "gold", "pred")
     return out.select("tp", "fp", "fn", r6(F.col("f1"), "f1"))
 
@@ -170,7 +173,7 @@ def corpus_ter(t):
     return txq.pairs(t).agg(r6(ag.corpus_ter("p", "r"), "ter"))
 
 
-@query("brier_score", "AGG-14", f"""select round(avg(list_sum([pow(exp(v[i + 1]) / s - (i = g)::int, 2) for i in range(10)])), 6) brier
+@query("brier_score", "AGG-14", f"""select round(avg(list_sum([pow(exp(v[i + 1]) / s - (i = g)::int, 2) for i in range(len(v))])), 6) brier
 from (select *, list_sum([exp(x) for x in v]) s from {lkq.V})""")
 def brier_score(t):
     mass = F.aggregate(F.transform("v", F.exp), F.lit(0.0), lambda a, x: a + x)

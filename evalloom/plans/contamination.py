@@ -165,10 +165,9 @@ def overlap_without_frequent(t):
 
 @query("decontamination_query", "DEC-13", r"""select item_id,
   'Question: ' || upper(substr(s, 1, 1)) || lower(substr(s, 2)) query from (
-  select item_id, split_part(text, '. ', 1) s from benchmark)""")
+  select item_id, text s from benchmark)""")
 def decontamination_query(t):
-    sentence = F.split_part("text", F.lit(". "), F.lit(1))
-    return t.benchmark.select("item_id", F.concat(F.lit("Question: "), capitalize(sentence)).alias("query"))
+    return t.benchmark.select("item_id", F.concat(F.lit("Question: "), capitalize("text")).alias("query"))
 
 
 @query("clean_subset_metric", "DEC-14", f"""with {TRAIN}, {EVAL}, hit as (select distinct task, "set", item_id from lookup

@@ -220,13 +220,13 @@ def compact_tokens(t):
 
 
 @query("parsed_special_tokens", "TOK-4", """with d as (select doc_id,
-  regexp_replace(text, 'the', '<|endoftext|>', 'g') as text from documents),
+  replace(replace(text, 'the', '<|endoftext|>'), '.', chr(1)) as text from documents),
 c as (select doc_id, regexp_extract_all(text, '<\\|endoftext\\|>|(?s:.)') l from d)
 select doc_id, sum(case when len(x) > 1 then 1 else octet_length(encode(x)) end)::bigint n,
   sum(case when len(x) > 1 then 1 else 0 end)::bigint specials
 from (select doc_id, unnest(l) x from c) group by doc_id""")
 def parsed_special_tokens(t):
-    text = F.regexp_replace("text", "the", "<|endoftext|>")
+    text = F.replace(F.replace("text", F.lit("the"), F.lit("<|endoftext|>")), F.lit("."), F.lit("\u0001"))
     docs = t.documents.select("doc_id", tk.parsed_tokens(text).alias("tokens"))
     return docs.select(
         "doc_id", F.size("tokens").cast("long").alias("n"),

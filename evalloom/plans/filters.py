@@ -185,19 +185,20 @@ def number_filter(t):
 
 
 @query("word_sort_filter", "FIL-15", """with w as (select doc_id, unnest(l) x, generate_subscripts(l, 1) i from (
-  select doc_id, regexp_extract_all(text, '[0-9A-Za-z_]+') l from documents)),
-k as (select doc_id, x, max(i) i from w where x in ('the', 'of', 'and', 'der', 'que') group by doc_id, x)
+  select doc_id, regexp_extract_all(case when doc_id % 2 = 0 then 'café ' || text || ' co-op it''s café' else text end,
+    'co-op|it''s|[\pL\pN\p{Mn}_]+') l from documents)),
+k as (select doc_id, x, max(i) i from w where x in ('the', 'of', 'and', 'der', 'que', 'co-op', 'café', 'it''s') group by doc_id, x)
 select doc_id, coalesce(string_agg(x, ' ' order by i), '') sorted from documents left join k using (doc_id) group by doc_id""")
 def word_sort_filter(t):
-    prompt = F.lit("Sort. List: the of and der que")
-    return t.documents.select("doc_id", fl.word_sort(F.array("text"), prompt)[0].alias("sorted"))
+    prompt = F.lit("Sort. List: the of and der que co-op café it's")
+    said = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("café "), "text", F.lit(" co-op it's café"))).otherwise(F.col("text"))
+    return t.documents.select("doc_id", fl.word_sort(F.array(said), prompt)[0].alias("sorted"))
 
 
-@query("code_blocks", "FIL-16", """select doc_id, case when doc_id % 2 = 0 then md5(string_split(text, chr(10))[1]) else md5('') end digest from documents""")
+@query("code_blocks", "FIL-16", """select doc_id, case when doc_id % 2 = 0 then md5(text) else md5('') end digest from documents""")
 def code_blocks(t):
-    line = F.get(F.split("text", "\n"), F.lit(0))
-    fenced = F.concat(F.lit("Sure.\n```python\n"), line, F.lit("\n``` ok"))
-    odd = F.concat(F.lit("nothing `here` "), line)
+    fenced = F.concat(F.lit("Sure.\n```python\n"), F.col("text"), F.lit("\n``` ok"))
+    odd = F.concat(F.lit("nothing `here` "), F.col("text"))
     said = F.when(F.col("doc_id") % 2 == 0, F.substring_index(fenced, "Sure.\n```", -1)).otherwise(odd)
     return t.documents.select("doc_id", F.md5(fl.code_block(said)).alias("digest"))
 
@@ -281,10 +282,14 @@ def last_integers(t):
 
 
 @query("number_forms", "FIL-25", r"""select doc_id, len(regexp_extract_all(text, '-?\b\d{1,3}(?:,\d{3})+\b'))::bigint with_commas,
-  len(regexp_extract_all(text, '-?\d+(?:\.\d+)?[eE][+-]?\d+'))::bigint scientific from documents""")
+  len(regexp_extract_all(text, '-?\d+(?:\.\d+)?[eE][+-]?\d+'))::bigint scientific,
+  len(regexp_extract_all(translate(text, ',.', '  '), '\d+(?:[^0-9A-Za-z_]|$)'))::bigint plain from documents""")
 def number_forms(t):
-    counts = [F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).cast("long") for p in fl.NUMBER_FORMS]
-    return t.documents.select("doc_id", counts[0].alias("with_commas"), counts[1].alias("scientific"))
+    # whole numbers only in the plain form, since the SQL has no look-ahead; number_values has the others
+    whole = F.translate("text", ",.", "  ")
+    texts = (F.col("text"), F.col("text"), whole)
+    counts = [F.size(F.regexp_extract_all(x, F.lit(p), F.lit(0))).cast("long") for x, p in zip(texts, fl.NUMBER_FORMS)]
+    return t.documents.select("doc_id", counts[0].alias("with_commas"), counts[1].alias("scientific"), counts[2].alias("plain"))
 
 
 @query("number_values", "FIL-25", """select o_orderkey, case when o_custkey < 1000 then o_custkey::varchar || ',123|' else '' end || '1e5|' || (o_orderkey % 7)::varchar || '.5|123|5' numbers,

@@ -15,13 +15,20 @@ ROWS = ", ".join(ROW)
 
 
 def rev(x: str, width: int | None = None) -> str:
-    return f"reverse(lpad(({x})::varchar, {width}, '0'))" if width else f"reverse(({x})::varchar)"
+    if not width:
+        return f"reverse(({x})::varchar)"
+    return f"reverse(repeat('0', greatest(0, {width} - length(({x})::varchar))) || ({x})::varchar)"
 
 
-@query("fixed_addition", "GEN-1", f"""select {ROWS}, '[' || {rev('l_partkey', 4)} || '] + [' || {rev('l_suppkey', 4)}
-  || '] = [' || {rev('l_partkey + l_suppkey', 5)} || ']' line from lineitem""")
+@query("fixed_addition", "GEN-1", f"""select {ROWS}, '[' || {rev('l_partkey % 10000', 4)} || '] + [' || {rev('l_suppkey % 10000', 4)}
+  || '] = [' || {rev('l_partkey % 10000 + l_suppkey % 10000', 5)} || ']' line,
+  '[' || {rev('l_partkey', 3)} || '] + [' || {rev('l_suppkey', 3)} || '] = [' || {rev('l_partkey + l_suppkey', 4)} || ']' wider
+  from lineitem""")
 def fixed_addition(t):
-    return t.lineitem.select(*ROW, g.addition_text(F.col("l_partkey"), F.col("l_suppkey"), 4).alias("line"))
+    a, b = F.col("l_partkey"), F.col("l_suppkey")
+    return t.lineitem.select(
+        *ROW, g.addition_text(a % 10000, b % 10000, 4).alias("line"), g.addition_text(a, b, 3).alias("wider")
+    )
 
 
 def number_sql(tag: str) -> str:

@@ -1,4 +1,4 @@
-"""Likelihood scores: the first ten embedding values, negated absolute, are the scores and ``label`` is the gold."""
+"""Likelihood scores: the embedding values, negated absolute, are the scores of as many choices and ``label`` is the gold."""
 
 from __future__ import annotations
 
@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 from evalloom.functions import likelihood as lk
 from evalloom.plans.catalog import query
 
-V = "(select vec_id, label g, [-abs(x::double) for x in embedding[1:10]] v, [-abs(x::double) for x in embedding[11:20]] u from embeddings)"
+V = "(select vec_id, label g, [-abs(x::double) for x in embedding] v, [-abs(x::double) for x in list_reverse(embedding)] u from embeddings)"
 ARG = "(list_position({0}, list_max({0})) - 1)"
 
 
 def scores(t):
-    def part(first):
-        return F.transform(F.slice("embedding", first, 10), lambda x: -F.abs(x.cast("double")))
+    def part(values):
+        return F.transform(values, lambda x: -F.abs(x.cast("double")))
 
-    return t.embeddings.select("vec_id", F.col("label").alias("g"), part(1).alias("v"), part(11).alias("u"))
+    return t.embeddings.select("vec_id", F.col("label").alias("g"), part("embedding").alias("v"), part(F.reverse("embedding")).alias("u"))
 
 
 def r6(c, name):
@@ -28,16 +28,17 @@ def acc(t):
     return scores(t).select("vec_id", lk.acc(v, F.col("g")).alias("acc"), lk.argmax(v).cast("long").alias("best"))
 
 
-CHOICES = "['x', 'xxxxx', 'xx', 'xxx', 'xxxxxxx', 'x', 'xxxx', 'xx', 'xxx', 'xxxxxx']"
+# choice i is 1 to 9 characters long
+CHOICES = "[repeat('x', ((i * 7) % 9 + 1)::int) for i in range(0, len(v))]"
 
 
 def choices():
-    return F.array(*[F.lit("x" * n) for n in (1, 5, 2, 3, 7, 1, 4, 2, 3, 6)])
+    return F.transform("v", lambda _, i: F.repeat(F.lit("x"), ((i * 7) % 9 + 1).cast("int")))
 
 
 @query("acc_norm", "SC-2", f"""select vec_id, ({ARG.format('w')} = g)::int::double as acc_norm,
   list_contains([g, 1, 4], {ARG.format('w')})::int::double acc_norm_any, list_contains([g, 1, 4], {ARG.format('v')})::int::double acc_any
-from (select *, [v[i] / length(({CHOICES})[i]) for i in range(1, 11)] w from {V})""")
+from (select *, [v[j] / length(({CHOICES})[j]) for j in range(1, len(v) + 1)] w from {V})""")
 def acc_norm(t):
     v, g = F.col("v"), F.col("g")
     golds = F.array(g, F.lit(1), F.lit(4))
@@ -48,7 +49,7 @@ def acc_norm(t):
 
 
 @query("acc_mutual_info", "SC-3", f"""select vec_id, ({ARG.format('d')} = g)::int::double acc_mutual_info from (
-  select *, [v[i] - u[i] for i in range(1, 11)] d from {V})""")
+  select *, [v[i] - u[i] for i in range(1, len(v) + 1)] d from {V})""")
 def acc_mutual_info(t):
     return scores(t).select("vec_id", lk.acc_mutual_info(F.concat("v", "u"), F.col("g")).alias("acc_mutual_info"))
 
@@ -61,7 +62,7 @@ def gold_likelihood(t):
     )
 
 
-@query("true_mass", "SC-5", f"""select vec_id, round(list_sum([case when (i + vec_id) % 2 = 0 then exp(v[i + 1]) else 0 end for i in range(10)])
+@query("true_mass", "SC-5", f"""select vec_id, round(list_sum([case when (i + vec_id) % 2 = 0 then exp(v[i + 1]) else 0 end for i in range(len(v))])
   / list_sum([exp(x) for x in v]), 6) mass from {V}""")
 def true_mass(t):
     labels = F.transform("v", lambda _, i: ((i + F.col("vec_id")) % 2 == 0).cast("int"))

@@ -67,13 +67,13 @@ def gathered_responses(t):
 RUNS = """select l_orderkey question, l_linestatus category, l_linenumber seed, min(l_returnflag) answer from lineitem group by all"""
 
 
-@query("merged_runs", "REQ-6", f"""with r as ({RUNS}) select question, category, a.answer run_1, b.answer run_2, c.answer run_3
-from r a join r b using (question, category) join r c using (question, category) where a.seed = 1 and b.seed = 2 and c.seed = 3""")
+@query("merged_runs", "REQ-6", f"""with r as ({RUNS}) select question, category, {', '.join(f"r{n}.answer run_{n}" for n in range(1, 8))}
+from r r1 {' '.join(f"join r r{n} using (question, category)" for n in range(2, 8))} where {' and '.join(f"r{n}.seed = {n}" for n in range(1, 8))}""")
 def merged_runs(t):
     runs = t.lineitem.groupBy(
         F.col("l_orderkey").alias("question"), F.col("l_linestatus").alias("category"), F.col("l_linenumber").alias("seed")
     ).agg(F.min("l_returnflag").alias("answer"))
-    return rq.merge_runs(runs, ["question", "category"], "seed", "answer", [1, 2, 3])
+    return rq.merge_runs(runs, ["question", "category"], "seed", "answer", list(range(1, 8)))
 
 
 def model_scores(t, flag: str):

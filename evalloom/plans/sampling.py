@@ -72,13 +72,13 @@ def pool_head_without_document(t):
 
 
 @query("fewshot_contexts", "FS-5", f"""with {shots_sql(1234, 5)},
-s as (select eval_id, string_agg({q.strip("split_part(text, '.', 1)")} || chr(10) || 'Answer: ' || lang, chr(10) || chr(10) order by shot) s
+s as (select eval_id, string_agg({q.strip("text")} || chr(10) || 'Answer: ' || lang, chr(10) || chr(10) order by shot) s
   from shots join documents using (doc_id) group by eval_id)
-select eval_id, md5('Languages.' || chr(10) || chr(10) || s || chr(10) || chr(10) || {q.strip("split_part(text, '.', 1)")}
+select eval_id, md5('Languages.' || chr(10) || chr(10) || s || chr(10) || chr(10) || {q.strip("text")}
   || chr(10) || 'Answer:') digest from s join documents on doc_id = eval_id""")
 def fewshot_contexts(t):
     def ask(answer):
-        return F.concat(strip(F.split_part("text", F.lit("."), F.lit(1))), F.lit("\nAnswer:"), answer)
+        return F.concat(strip("text"), F.lit("\nAnswer:"), answer)
 
     pool = t.documents.select("doc_id", "text", ask(F.concat(F.lit(" "), F.col("lang"))).alias("shot_text"))
     evals = t.documents.select(F.col("doc_id").alias("eval_id"), "text", ask(F.lit("")).alias("question"))

@@ -63,7 +63,7 @@ def samples(t):
     said = t.conversations
     return said.select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), F.col("role").alias("filter"), F.lit("gold").alias("target"), F.col("text").alias("ctx"),
-        F.array(F.lit(" yes"), F.lit(" no")).alias("continuations"), F.array(F.lower(F.substring("text", 1, 5))).alias("filtered"),
+        F.array(F.lit(" yes"), F.lit(" no")).alias("continuations"), F.array(F.lower("text")).alias("filtered"),
         (F.length("text") % 2 == 0).alias("is_greedy"), F.create_map(F.lit("acc"), (F.length("text") % 7).cast("double")).alias("metrics"),
     )
 
@@ -76,7 +76,7 @@ def dataset_export(t):
     return many.join(one, "id").select("id", F.md5("data").alias("digest"), F.col("input_len").cast("long").alias("input_len"), "labels", "first_choice")
 
 
-@query("system_export", "SNK-5", """select (conv_id * 100 + turn)::varchar id, lower(substr(text, 1, 5)) output, length(substr(text, 1, 5))::bigint output_length,
+@query("system_export", "SNK-5", """select (conv_id * 100 + turn)::varchar id, lower(text) output, length(lower(text))::bigint output_length,
   case when length(text) % 2 = 0 then 'correct' else 'incorrect' end greedy, (length(text) % 7)::double acc from conversations""")
 def system_export(t):
     text = rp.sample_system(samples(t), "generate_until", ["acc"])

@@ -30,11 +30,11 @@ PARTS = "split_part(p, '.', 1)"
 @query("exact_match", "SC-20", f"""select conv_id, turn, (a = b)::int::double as exact, (lower(a) = lower(b))::int::double folded,
   ({q.drop_punctuation('lower(a)')} = {q.drop_punctuation('lower(b)')})::int::double bare,
   (regexp_replace(a, '[aeiou]', '', 'g') = regexp_replace(b, '[aeiou]', '', 'g'))::int::double pattern
-from (select conv_id, turn, upper(p[1:1]) a, case when turn % 2 = 0 then p[1:1] else lower(r[1:1]) || ',' end b from {PAIRS})""")
+from (select conv_id, turn, replace(p, 'e', 'E') a, case when conv_id % 3 = 0 then p when conv_id % 3 = 1 then p || ',' else r end b from {PAIRS})""")
 def exact_match(t):
     d = pairs(t).select(
-        *KEY, F.upper(F.substring("p", 1, 1)).alias("a"),
-        F.when(F.col("turn") % 2 == 0, F.substring("p", 1, 1)).otherwise(F.concat(F.lower(F.substring("r", 1, 1)), F.lit(","))).alias("b"),
+        *KEY, F.replace("p", F.lit("e"), F.lit("E")).alias("a"),
+        F.when(F.col("conv_id") % 3 == 0, F.col("p")).when(F.col("conv_id") % 3 == 1, F.concat("p", F.lit(","))).otherwise(F.col("r")).alias("b"),
     )
     a, b = F.col("a"), F.col("b")
     return d.select(

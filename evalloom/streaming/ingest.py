@@ -27,17 +27,27 @@ def catch_up(stream: DataFrame, out: str, checkpoint: str, shape: Callable[[Data
     leaves the same files. The offsets live in ``checkpoint``, which belongs in shared storage.
     """
     def write(batch: DataFrame, number: int) -> None:
+        note()
         shaped = shape(batch) if shape else batch
         shaped.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(f"{out}/batch={number}")
 
+    started, rows = [], {}
+
+    def note() -> None:
+        """Take over the progress records; only the last ones are kept by the query."""
+        for query in started:
+            rows.update({p["batchId"]: p["numInputRows"] for p in query.recentProgress if p["numInputRows"]})
+
     query = (
         stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+    started.append(query)
     query.awaitTermination()
-    return sum(p["numInputRows"] for p in query.recentProgress)
+    note()
+    return sum(rows.values())
 
 
 def read_batches(spark: SparkSession, out: str) -> DataFrame:
