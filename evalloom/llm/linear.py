@@ -43,9 +43,26 @@ class Linear(NamedTuple):
         return sigmoid(rows.dot(self.weight) + dense @ self.extra + self.bias)
 
 
-def fit(rows: Sparse, dense: np.ndarray, target: np.ndarray, decay: float = 2e-5, steps: int = 160,
-        rate: float = 0.15) -> Linear:
-    """Full-batch Adam on the mean log loss with L2 decay. A target of one class gives that class always."""
+def log_ratios(rows: Sparse, target: np.ndarray, smooth: float = 0.5) -> np.ndarray:
+    """Log of how much likelier a row of the class has each column than another row."""
+    rates = []
+    for label in (1.0, 0.0):
+        holders = np.bincount(rows.column, weights=np.repeat(target == label, np.diff(rows.start)), minlength=rows.width)
+        rates.append((holders + smooth) / ((target == label).sum() + 2 * smooth))
+    return np.log(rates[0] / rates[1])
+
+
+def fit(rows: Sparse, dense: np.ndarray, target: np.ndarray, decay: float = 1e-4, steps: int = 80,
+        rate: float = 0.1) -> Linear:
+    """Full-batch Adam on the mean log loss with L2 decay, over columns scaled by their log ratios (which are part of the weights
+    returned), so that columns that tell nothing about the class stay near 0. A target of one class gives that class always."""
+    ratio = log_ratios(rows, target)
+    scaled = rows._replace(value=rows.value * ratio[rows.column])
+    model = descend(scaled, dense, target, decay, steps, rate)
+    return model._replace(weight=model.weight * ratio)
+
+
+def descend(rows: Sparse, dense: np.ndarray, target: np.ndarray, decay: float, steps: int, rate: float) -> Linear:
     size = rows.width + dense.shape[1] + 1
     theta = np.zeros(size)
     positives = float(target.sum())

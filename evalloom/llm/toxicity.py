@@ -28,24 +28,30 @@ CATEGORIES = ("junk", "toxic", "severe")
 SAMPLE_ROWS = (5000, 2500)  # labelled documents at most whose toxic label is 0, and 1
 WIDTH_BITS = 20  # hashed features
 STEM = 5  # bytes of the word beginning that is a feature too
+WIDEST_GAP = 6  # bytes between words that the shape feature tells apart
 SCALE = 50.0  # of the share of a document's words that a feature has
 LEAST_DOCUMENTS = 3  # sample documents that a feature must occur in, and at least this share of the sample
-LEAST_SHARE = 0.004
+LEAST_SHARE = 0.002
 MARKER_ODDS = 8.0
 FOLDS = 3
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 SEED = 4
 
 
-def word_features(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashed features per word: the word, and its first bytes."""
+def word_features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Three hashed features per word: the word, its first bytes, and its shape (the bytes up to the next word of the text, and
+    whether that is the same word)."""
     mask = np.uint64((1 << WIDTH_BITS) - 1)
     stop = np.minimum(words.end, words.start + STEM)
     up, down = powers(1 << max(20, int(len(words.data) + 1).bit_length()))
     total = np.zeros(len(words.data) + 1, dtype=np.uint64)
     np.cumsum((words.data.astype(np.uint64) + np.uint64(1)) * up[: len(words.data)], out=total[1:])
     stem = mixed((total[stop] - total[words.start]) * down[words.start] + np.uint64(1))
-    return (words.hash & mask).astype(np.int64), (stem & mask).astype(np.int64)
+    shape = np.zeros(len(words.hash), dtype=np.uint64)
+    gap = np.minimum(words.start[1:] - words.end[:-1], WIDEST_GAP).astype(np.uint64)
+    same = (words.hash[1:] == words.hash[:-1]).astype(np.uint64)
+    shape[:-1] = np.where(words.doc[1:] == words.doc[:-1], 2 * gap + same, 0)
+    return tuple((h & mask).astype(np.int64) for h in (words.hash, stem, mixed(shape + np.uint64(1))))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, rows: tuple[int, int]) -> DataFrame:
@@ -67,10 +73,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
         for batch in batches:
             for low, piece in pieces(batch.column(3)):
                 words = words_of(piece, NEUTRAL)
-                one, two = word_features(words)
+                one, two, three = word_features(words)
                 for row in range(len(piece)):
                     a, b = words.first[row], words.first[row + 1]
-                    feature, n = np.unique(np.concatenate([one[a:b], two[a:b]]), return_counts=True)
+                    feature, n = np.unique(np.concatenate([one[a:b], two[a:b], three[a:b]]), return_counts=True)
                     yield pa.RecordBatch.from_arrays(
                         [*[batch.column(i).slice(low + row, 1) for i in range(3)], pa.array([int(b - a)], pa.int64()),
                          pa.array([feature.astype(np.int32)]), pa.array([n.astype(np.int32)])],
@@ -120,7 +126,7 @@ def severity(rows: Sparse, toxic: np.ndarray) -> np.ndarray:
     """Toxic rows whose share of marker features is at least the median of the toxic rows."""
     totals = [rows.back(toxic), rows.back(1.0 - toxic)]
     smooth = 0.5 * SCALE / 100
-    share = [(t + smooth / rows.width) / (t.sum() + smooth) for t in totals]
+    share = [(t + smooth / max(1, rows.width)) / (t.sum() + smooth) for t in totals]
     marker = (share[0] >= MARKER_ODDS * share[1]).astype(float)
     density = rows.dot(marker)
     if not toxic.any():
@@ -168,11 +174,11 @@ def score_documents(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text:
         for batch in batches:
             for low, piece in pieces(batch.column(2)):
                 words = words_of(piece, NEUTRAL)
-                one, two = word_features(words)
+                one, two, three = word_features(words)
                 n = np.diff(words.first)
                 sums = np.zeros((len(piece), len(chain.names)))
                 for j, weight in enumerate(chain.weight):
-                    total = np.concatenate([[0.0], np.cumsum(weight[one].astype(float) + weight[two])])
+                    total = np.concatenate([[0.0], np.cumsum(weight[one].astype(float) + weight[two] + weight[three])])
                     sums[:, j] = SCALE * (total[words.first[1:]] - total[words.first[:-1]]) / np.maximum(n, 1)
                 found = np.where(n[:, None] > 0, np.round(chain.probabilities(sums), 6), 0.0)
                 yield pa.RecordBatch.from_arrays(
