@@ -41,16 +41,13 @@ def parsed_tokens(text: Column | str) -> Column:
     names = "|".join(name.replace("|", "\\|") for name in SPECIAL_IDS)
     ids = F.create_map(*[F.lit(v) for pair in SPECIAL_IDS.items() for v in pair])
 
-    def coded(s: Column) -> Column:
-        special = lambda i: F.lpad(F.hex(F.try_element_at(ids, F.get(s["found"], i))), 6, "0")
-        plain = lambda p: F.regexp_replace(F.hex(F.encode(p, "UTF-8")), "(..)", "0000$1")
-        return F.array_join(F.transform(s["between"], lambda p, i: F.concat(plain(p), F.coalesce(special(i), F.lit("")))), "")
-
-    parts = F.struct(
-        F.split(col(text), names, -1).alias("between"),
-        F.regexp_extract_all(col(text), F.lit(f"({names})"), F.lit(1)).alias("found"),
-    )
-    return wide_ids(F.when(col(text).isNotNull(), F.unhex(let(parts, coded))))
+    special = lambda f: F.coalesce(F.lpad(F.hex(F.try_element_at(ids, f)), 6, "0"), F.lit(""))
+    plain = lambda p: F.regexp_replace(F.hex(F.encode(p, "UTF-8")), "(..)", "0000$1")
+    between = F.split(col(text), names, -1)
+    found = F.regexp_extract_all(col(text), F.lit(f"({names})"), F.lit(1))
+    # the piece after the last name has none; zip_with fills in a null there
+    hexed = F.zip_with(between, found, lambda p, f: F.concat(plain(p), special(f)))
+    return wide_ids(F.unhex(F.array_join(hexed, "")))
 
 
 @F.arrow_udf(T.ArrayType(T.IntegerType()))

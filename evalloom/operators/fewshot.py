@@ -10,33 +10,18 @@ from pyspark.sql import functions as F
 
 from evalloom.functions.text import stable_hash
 from evalloom.operators.generate import STEP_PRIMES
-from evalloom.operators.scale import CHUNK, chunk_starts, lookup_sized, positions, running_start
-
-HASH_CHUNK = 2**40
-
+from evalloom.operators.scale import lookup_sized, positions
+from evalloom.session import cut_lineage
 
 def content_positions(pool: DataFrame, key: str, content: str, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Seeded dense order of the pool in which equal contents are neighbours.
+    """Seeded dense order of the pool in which equal contents are neighbours, as keys and positions only.
 
-    Returns the pool with ``_pos`` and a table ``_h, _lo, _copies`` with the block of each content. Copies of one content
-    are numbered by chunks of the pool key, so even a content held by a third of the pool is spread.
+    Returns ``key, _pos`` and a table ``_h, _lo, _copies`` with the block of each content.
     """
-    tagged = pool.withColumn("_h", stable_hash(F.lit(seed), content))
-    contents = tagged.groupBy("_h").agg(F.count("*").alias("_copies"))
-    blocks = running_start(contents, "_h", F.col("_copies"), "_lo", width=HASH_CHUNK)
-    starts = (
-        chunk_starts(tagged, ["_h"], key, F.lit(1).cast("long"))
-        .join(blocks, "_h")
-        .select("_h", "_chunk", (F.col("_lo") + F.col("_start")).alias("_first"))
-    )
-    inside = W.partitionBy("_h", "_chunk").orderBy(key)
-    placed = (
-        tagged.withColumn("_chunk", F.floor(F.col(key) / CHUNK).cast("long"))
-        .join(starts, ["_h", "_chunk"])
-        .withColumn("_pos", F.col("_first") + F.row_number().over(inside) - 1)
-        .drop("_chunk", "_first", "_h")
-    )
-    return placed, blocks
+    tagged = pool.select(key, stable_hash(F.lit(seed), content).alias("_h"))
+    placed = cut_lineage(positions(tagged, ["_h", key], "_pos"))
+    blocks = cut_lineage(placed.groupBy("_h").agg(F.min("_pos").alias("_lo"), F.count("*").alias("_copies")))
+    return placed.drop("_h"), blocks
 
 
 def random_shots(pool: DataFrame, evals: DataFrame, n: int, seed: int, pool_key: str, eval_key: str,
@@ -49,6 +34,7 @@ def random_shots(pool: DataFrame, evals: DataFrame, n: int, seed: int, pool_key:
     """
     size = pool.count()
     placed, blocks = content_positions(pool, pool_key, content, seed)
+    placed = placed.withColumnRenamed(pool_key, "_key")
     asked = evals.select(eval_key, stable_hash(F.lit(seed), content).alias("_h"))
     asked = lookup_sized(asked, blocks, ["_h"], F.col(eval_key), "left")
     lo, copies = F.coalesce("_lo", F.lit(0)), F.coalesce("_copies", F.lit(0))
@@ -70,7 +56,9 @@ def random_shots(pool: DataFrame, evals: DataFrame, n: int, seed: int, pool_key:
             .alias("_pos"),
         )
     )
-    return lookup_sized(probes, placed, ["_pos"], F.struct(eval_key, "shot")).drop("_pos")
+    # numbers meet numbers; the pool's columns come last, by its key
+    chosen = probes.join(placed, "_pos").drop("_pos")
+    return chosen.join(pool, chosen["_key"] == pool[pool_key]).drop("_key")
 
 
 def first_shots(pool: DataFrame, n: int, key: str, group: list[str] | None = None) -> DataFrame:
@@ -112,6 +100,34 @@ def assemble_context(shots: DataFrame, evals: DataFrame, eval_key: str, question
     return joined.select(eval_key, F.concat(F.lit(description), F.array_join(parts, delimiter)).alias("context"))
 
 
+def assemble_messages(shots: DataFrame, evals: DataFrame, eval_key: str, question: str, shot_question: str, shot_answer: str,
+                      description: str = "") -> DataFrame:
+    """``eval_key, messages``: the few-shot context as chat turns, an array of ``struct<role, content>``.
+
+    A system turn with the description (when there is one), a user and an assistant turn per shot, and the question as the last
+    user turn.
+    """
+    def turn(role: str, content: Column) -> Column:
+        return F.struct(F.lit(role).alias("role"), content.alias("content"))
+
+    lists = shots.groupBy(eval_key).agg(F.array_sort(F.collect_list(F.struct("shot", shot_question, shot_answer))).alias("_s"))
+    joined = evals.join(lists, eval_key, "left")
+    pairs = F.transform("_s", lambda s: F.array(turn("user", s[shot_question]), turn("assistant", s[shot_answer])))
+    none = F.slice(F.array(turn("user", F.lit(""))), F.lit(1), F.lit(0))
+    system = F.array(turn("system", F.lit(description))) if description else none
+    return joined.select(
+        eval_key,
+        F.concat(system, F.coalesce(F.flatten(pairs), none), F.array(turn("user", F.col(question)))).alias("messages"),
+    )
+
+
+def single_turn(messages: Column) -> Column:
+    """Chat turns collapsed into one user turn: the contents joined by blank lines, a system turn first on its own."""
+    system = F.filter(messages, lambda m: m["role"] == "system")
+    rest = F.array_join(F.transform(F.filter(messages, lambda m: m["role"] != "system"), lambda m: m["content"]), "\n\n")
+    return F.concat(system, F.array(F.struct(F.lit("user").alias("role"), rest.alias("content"))))
+
+
 Sampler = Callable[..., DataFrame]
 SAMPLERS: dict[str, Sampler] = {
     "default": random_shots,

@@ -8,17 +8,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalloom.session import cut_lineage
 
 BROADCAST_ROWS = 1_000_000
-CHUNK = 65_536
+BROADCAST_BYTES = 128 << 20
 SALTS = 16
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows. Counts no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: strings by length, nested values by their JSON, the rest by eight."""
+    sizes = [F.lit(0)]
+    for field in df.schema.fields:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            sizes.append(F.coalesce(F.octet_length(field.name), F.lit(0)) + 16)
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            sizes.append(F.octet_length(F.to_json(F.struct(field.name))))
+        else:
+            sizes.append(F.lit(8))
+    return sum(sizes[1:], sizes[0])
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes. Reads no further than that many rows."""
+    found = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(row_bytes(df)).alias("bytes")).first()
+    return found["n"] <= max_rows and (found["bytes"] or 0) <= max_bytes
 
 
 def semi_join_sized(left: DataFrame, keys: DataFrame, on: str | list[str], spread: Column,
@@ -58,56 +73,44 @@ def lookup_sized(left: DataFrame, table: DataFrame, on: list[str], spread: Colum
     )
 
 
-def chunk_starts(df: DataFrame, group: list[str], order: str, amount: Column, width: int = CHUNK) -> DataFrame:
-    """Exclusive running total of ``amount`` per (group, chunk of ``order``): rows ``group..., _chunk, _start``.
+def running_start(df: DataFrame, order: str | list[str], amount: Column, out: str, group: list[str] | None = None) -> DataFrame:
+    """Add ``out``: the sum of ``amount`` over all earlier rows (by ``order``) of the row's group.
 
-    ``order`` is an integer key; a chunk is ``width`` consecutive key values. The totals are combined on the map side,
-    so the windows below see one row per chunk: first inside blocks of ``width`` chunks, then over the blocks.
+    ``order`` is one or more columns of any sortable type whose values are distinct inside a group. Only the keys and the amount
+    are sorted: they are dealt into ranges of the keys, however dense, so a hot group spans many ranges. Totals per range give each
+    range its start, a window inside a range does the rest, and the rows get their sums by one join on the keys.
     """
-    chunks = (
-        df.select(*group, F.floor(F.col(order) / width).cast("long").alias("_chunk"), amount.alias("_amount"))
-        .groupBy(*group, "_chunk")
-        .agg(F.sum("_amount").alias("_total"))
-        .withColumn("_block", F.floor(F.col("_chunk") / width).cast("long"))
+    group, order = group or [], [order] if isinstance(order, str) else order
+    keys = [*group, *order]
+    ranges = (
+        df.select(*keys, amount.cast("long").alias("_amount"))
+        .repartitionByRange(*keys)
+        .withColumn("_range", F.spark_partition_id())
     )
+    ranges = cut_lineage(ranges)  # a range keeps its number
     before = (W.unboundedPreceding, -1)
-    blocks = (
-        chunks.groupBy(*group, "_block")
-        .agg(F.sum("_total").alias("_total"))
-        .select(
-            *group,
-            "_block",
-            F.coalesce(
-                F.sum("_total").over(W.partitionBy(*group).orderBy("_block").rowsBetween(*before)), F.lit(0)
-            ).alias("_base"),
-        )
+    bases = ranges.groupBy(*group, "_range").agg(F.sum("_amount").alias("_total")).select(
+        *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)],
+        F.col("_range").alias("_number"),
+        F.coalesce(F.sum("_total").over(W.partitionBy(*group).orderBy("_range").rowsBetween(*before)), F.lit(0)).alias("_base"),
     )
-    inside = W.partitionBy(*group, "_block").orderBy("_chunk").rowsBetween(*before)
-    return chunks.withColumn("_inside", F.coalesce(F.sum("_total").over(inside), F.lit(0))).join(
-        blocks, [*group, "_block"]
-    ).select(*group, "_chunk", (F.col("_base") + F.col("_inside")).alias("_start"))
-
-
-def running_start(df: DataFrame, order: str, amount: Column, out: str, group: list[str] | None = None,
-                  width: int = CHUNK) -> DataFrame:
-    """Add ``out``: the sum of ``amount`` over all earlier rows (by ``order``) of the row's group.
-
-    ``order`` must be a distinct integer inside a group. No task sees more than ``width`` rows of one group.
-    """
-    group = group or []
-    starts = chunk_starts(df, group, order, amount, width)
-    here = W.partitionBy(*group, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        df.withColumn("_chunk", F.floor(F.col(order) / width).cast("long"))
-        .join(starts, [*group, "_chunk"])
-        .withColumn(out, (F.col("_start") + F.coalesce(F.sum(amount).over(here), F.lit(0))).cast("long"))
-        .drop("_chunk", "_start")
+    same = F.col("_range") == F.col("_number")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    inside = W.partitionBy(*group, "_range").orderBy(*order).rowsBetween(*before)
+    starts = ranges.join(bases, same).select(
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)],
+        (F.col("_base") + F.coalesce(F.sum("_amount").over(inside), F.lit(0))).cast("long").alias(out),
     )
+    match = F.lit(True)
+    for i, c in enumerate(keys):
+        match = match & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(starts, match).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
-def positions(df: DataFrame, order: str, out: str, group: list[str] | None = None, width: int = CHUNK) -> DataFrame:
+def positions(df: DataFrame, order: str | list[str], out: str, group: list[str] | None = None) -> DataFrame:
     """Add ``out``: the 0-based position of the row in its group by ``order``."""
-    return running_start(df, order, F.lit(1).cast("long"), out, group, width)
+    return running_start(df, order, F.lit(1), out, group)
 
 
 def exact_median(df: DataFrame, group: list[str], value: str, out: str = "median", accuracy: int = 1000) -> DataFrame:
@@ -145,8 +148,8 @@ def exact_median(df: DataFrame, group: list[str], value: str, out: str = "median
         .groupBy(*keys, "_n", "_v")
         .agg(F.count("*").alias("_c"))
     )
-    upto = W.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    ranked = counted.withColumn("_end", F.sum("_c").over(upto))
+    # values below the bracket are one row with a null value, which sorts first
+    ranked = running_start(cut_lineage(counted), "_v", F.col("_c"), "_start", keys).withColumn("_end", F.col("_start") + F.col("_c"))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((rank >= F.col("_end") - F.col("_c")) & (rank < F.col("_end")), F.col("_v")))

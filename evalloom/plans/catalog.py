@@ -13,22 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 class Tables:
     """Input tables of one data folder, read lazily by attribute."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, spread: int = 0):
+        """``spread``: partitions to deal the corpus into, for a bench whose corpus is one file; 0 reads it as it lies."""
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.spread = spread
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
     @property
     def documents(self) -> DataFrame:
-        """The corpus on at least as many partitions as there are cores.
-
-        A small file is one or two splits; a large corpus has more splits than cores and is read without a shuffle.
-        """
         docs = self.spark.read.parquet(self.path("documents"))
-        cores = self.spark.sparkContext.defaultParallelism
-        return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
+        return docs.repartition(self.spread, "doc_id") if self.spread else docs
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalloom.operators.scale import lookup_sized, positions
+from evalloom.session import cut_lineage
 
 SAMPLE_LOG = (
     "task string, model string, doc_id bigint, doc map<string,string>, target string, resps array<array<string>>, "
@@ -100,19 +101,28 @@ def latest(files: DataFrame, group: list[str], stamp: str) -> DataFrame:
 def limit_per_task(docs: DataFrame, task: str, key: str, limit: int | float) -> DataFrame:
     """First ``limit`` documents of each task (a whole number), or that fraction of them rounded up.
 
-    Adds ``original`` and ``effective`` counts. ``key`` is the integer document number.
+    Adds ``original`` and ``effective`` counts. ``key`` is the document number. A whole number is a rank that Spark cuts in every
+    partition before rows move; for a fraction the last key to keep is found first, on keys alone, and then filters the documents.
     """
     sizes = docs.groupBy(task).agg(F.count("*").alias("original"))
     cap = F.ceil(F.col("original") * F.lit(float(limit))) if isinstance(limit, float) else F.lit(limit)
     sizes = sizes.withColumn("effective", F.least(F.col("original"), cap.cast("long")))
-    placed = positions(docs, key, "_pos", [task])
-    return lookup_sized(placed, sizes, [task], F.col(key)).where("_pos < effective").drop("_pos")
+    if not isinstance(limit, float):
+        rank = F.row_number().over(W.partitionBy(task).orderBy(key))
+        kept = docs.withColumn("_r", rank).where(F.col("_r") <= limit).drop("_r")
+        return lookup_sized(kept, sizes, [task], F.col(key))
+    placed = lookup_sized(positions(docs.select(task, key), key, "_pos", [task]), sizes, [task], F.col(key))
+    cuts = cut_lineage(placed.where("_pos < effective").groupBy(task, "original", "effective").agg(F.max(key).alias("_last")))
+    return lookup_sized(docs, cuts, [task], F.col(key)).where(F.col(key) <= F.col("_last")).drop("_last")
 
 
 def first_fraction(docs: DataFrame, key: str, fraction: float) -> DataFrame:
-    """Leading ``floor(fraction * n)`` rows in key order."""
+    """Leading ``floor(fraction * n)`` rows in key order: the last key to keep is found on keys alone."""
     keep = int(fraction * docs.count())
-    return positions(docs, key, "_pos").where(F.col("_pos") < keep).drop("_pos")
+    if not keep:
+        return docs.limit(0)
+    last = positions(docs.select(key), key, "_pos").where(F.col("_pos") == keep - 1).first()[key]
+    return docs.where(F.col(key) <= F.lit(last))
 
 
 def keep_buckets(docs: DataFrame, column: str, allowed: list) -> DataFrame:

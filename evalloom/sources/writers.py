@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evalloom.operators.scale import positions
 from evalloom.session import run_dir
 
 
@@ -58,7 +58,8 @@ DIVIDER = "!!@@##@@!! -- Example "
 
 def rendered_examples(prompts: DataFrame, task: str, key: str, prompt: str, n: int) -> DataFrame:
     """First ``n`` prompts per task, each after a divider line with its number."""
-    numbered = positions(prompts, key, "_pos", [task]).where(F.col("_pos") < n)
+    rank = F.row_number().over(W.partitionBy(task).orderBy(key))
+    numbered = prompts.withColumn("_r", rank).where(F.col("_r") <= n).withColumn("_pos", F.col("_r").cast("long") - 1)
     return numbered.select(
         task, F.col("_pos").alias("example"),
         F.concat(F.lit(DIVIDER), F.col("_pos").cast("string"), F.lit("\n"), F.col(prompt), F.lit("\n")).alias("block"),

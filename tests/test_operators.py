@@ -28,7 +28,7 @@ def test_positions_and_running_start(spark):
     rng = random.Random(1)
     rows = [(i * 3, "hot" if i % 3 else f"k{i}", rng.randint(0, 9)) for i in range(500)]
     df = spark.createDataFrame(rows, "id long, k string, v long")
-    got = {r["id"]: (r["p"], r["s"]) for r in scale.positions(scale.running_start(df, "id", F.col("v"), "s", width=16), "id", "p", ["k"], 16).collect()}
+    got = {r["id"]: (r["p"], r["s"]) for r in scale.positions(scale.running_start(df, "id", F.col("v"), "s"), "id", "p", ["k"]).collect()}
     seen, total = Counter(), 0
     for i, k, v in rows:
         assert got[i] == (seen[k], total)
@@ -101,9 +101,51 @@ def test_packing_keeps_every_token(spark):
     assert [t for b in packed for t in b["tokens"] if t != tk.SPECIAL_IDS["<|endoftext|>"]] == stream
 
 
+def test_positions_of_sparse_and_text_keys(spark):
+    """Hashed and text ids, a hot group and null groups: positions do not depend on how dense the keys are."""
+    rows = [(hash((i, "x")) , f"id-{(i * 7919) % 100_003:06d}", None if i % 11 == 0 else "hot" if i % 3 else f"g{i % 5}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, name string, k string").repartition(7)
+    for key in ("id", "name"):
+        got = {r[key]: r["p"] for r in scale.positions(df, key, "p", ["k"]).collect()}
+        want = {}
+        for group in {r[2] for r in rows}:
+            mine = sorted(r[0 if key == "id" else 1] for r in rows if r[2] == group)
+            want.update({v: i for i, v in enumerate(mine)})
+        assert got == want
+    both = scale.positions(df, ["k", "id"], "p").collect()
+    assert sorted(r["p"] for r in both) == list(range(3000))
+
+
+def test_broadcast_is_sized_in_bytes(spark):
+    wide = spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("t"))
+    assert scale.fits_broadcast(wide) and not scale.fits_broadcast(wide, max_rows=9)
+    assert not scale.fits_broadcast(wide, max_bytes=5000)
+
+
+def test_word_edits_have_no_limit(one):
+    from evalloom.operators.aggregates import word_edits
+
+    many = F.array_join(F.transform(F.sequence(F.col("id"), F.lit(40_000)), lambda x: x.cast("string")), " ")
+    assert one(word_edits(many, F.concat(F.lit("0 1 2"), F.substring(many, 1, 0)))) == 39_998
+    assert one(word_edits(F.concat(F.lit("a b c "), F.substring(many, 1, 1)), F.lit("b c x y"))) == 3
+
+
+def test_deep_and_cyclic_hierarchies(spark):
+    from evalloom.operators.rollup import expand_hierarchy
+
+    chain = [(f"n{i:03d}", f"n{i + 1:03d}", "group") for i in range(70)]
+    found = expand_hierarchy(spark.createDataFrame(chain, "parent string, child string, kind string"))
+    assert found.where("ancestor = 'n000'").agg(F.max("distance")).first()[0] == 70
+    with pytest.raises(ValueError, match="cyclic"):
+        expand_hierarchy(spark.createDataFrame([("a", "b", "group"), ("b", "a", "group")], "parent string, child string, kind string"))
+
+
 def test_tokens(one):
     assert one(tk.byte_tokens(F.lit("aé"))) == [97, 195, 169]
-    assert one(tk.parsed_tokens(F.lit("a<|return|>é"))) == [97, tk.SPECIAL_IDS["<|return|>"], 195, 169]
+    nothing = F.substring(F.col("id").cast("string"), 9, 1)
+    assert one(tk.parsed_tokens(F.concat(F.lit("a<|return|>é"), nothing))) == [97, tk.SPECIAL_IDS["<|return|>"], 195, 169]
+    assert one(tk.parsed_tokens(F.concat(F.lit("a\u0001b"), nothing))) == [97, 1, 98]
+    assert one(tk.parsed_tokens(F.when(F.col("id") > 0, F.lit("x")))) is None
     assert one(tk.compact(tk.wrap(tk.byte_tokens(F.lit("a"))))) == [256, 97, 260]
     assert tk.COMPACT_VOCABULARY == 277
     row = F.array(*[F.lit(ord(c)) for c in "1=23"])
@@ -214,7 +256,7 @@ def test_hierarchy(spark):
     assert {r["task"]: r["value"] for r in rp.resolve_overrides(settings, closure).collect()} == {"t1": "0", "t2": "5"}
     loop = spark.createDataFrame([("a", "b", "group"), ("b", "a", "group")], "parent string, child string, kind string")
     with pytest.raises(ValueError, match="cyclic"):
-        rp.expand_hierarchy(loop, 5)
+        rp.expand_hierarchy(loop)
 
 
 def test_archive_round_trip(spark):
