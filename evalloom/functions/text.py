@@ -72,6 +72,14 @@ def normal_words(c: Column | str) -> Column:
     return words(drop_punctuation(F.lower(col(c))))
 
 
+ODD_SPACE = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def plain_words(c: Column | str) -> Column:
+    """Text whose runs between ASCII white space are the ``normal_words``; cheaper than an array of them."""
+    return F.regexp_replace(drop_punctuation(F.lower(col(c))), F.lit(ODD_SPACE), F.lit(" "))
+
+
 def ngrams(tokens: Column, n: int, joiner: str = " ") -> Column:
     """All runs of ``n`` consecutive tokens, joined; empty array when there are fewer than ``n``."""
 

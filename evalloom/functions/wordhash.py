@@ -90,13 +90,17 @@ def words_of(texts: pa.Array, table: np.ndarray | None = None) -> Words:
     return Words(data, doc, start, end, first, mixed(value))
 
 
-def run_hashes(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the ``n`` words from each word on, and whether those words are in one text; ``len(words) - n + 1`` entries."""
+def run_hashes(words: Words, n: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the ``n`` words from each word on, and whether those words are in one text; ``len(words) - n + 1`` entries.
+
+    Another ``salt`` gives another hash of the same words.
+    """
+    hashes = mixed(words.hash + np.uint64(salt)) if salt else words.hash
     count = len(words.hash) - n + 1
     if count <= 0:
         return np.empty(0, np.uint64), np.empty(0, bool)
     value = np.zeros(count, dtype=np.uint64)
     for k in range(n):
         value *= STEP
-        value += words.hash[k : k + count]
+        value += hashes[k : k + count]
     return mixed(value), words.doc[:count] == words.doc[n - 1 :]

@@ -2,14 +2,17 @@
 
 import re
 import string
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalloom.functions.text import let, ngrams, normal_words
+from evalloom.functions.text import let, ngrams, normal_words, plain_words
+from evalloom.functions.wordhash import pieces, run_hashes, words_of
 from evalloom.operators.scale import BROADCAST_ROWS, fits_broadcast, semi_join_sized
 from evalloom.session import cut_lineage
 
@@ -21,6 +24,7 @@ MINIMUM_SLICE = 200
 TOO_DIRTY = 10
 # rows of two 64-bit keys that may be broadcast (about 60 bytes each)
 KEY_ROWS = 4_000_000
+FILTER_BITS = 22  # of the table that most n-grams without a hit are turned away by
 
 
 def ngram_postings(docs: DataFrame, n: int = NGRAM, text: str = "text", keys: list[str] | None = None) -> DataFrame:
@@ -35,12 +39,6 @@ def distinct_postings(docs: DataFrame, n: int = NGRAM, text: str = "text", keys:
     return docs.select(*keys, F.explode(F.array_distinct(ngrams(normal_words(text), n))).alias("ngram"))
 
 
-def ngram_key(ngram: Column | str = "ngram") -> list[Column]:
-    """Two independently seeded 64-bit hashes: a 16-byte stand-in for the n-gram in large shuffles."""
-    ngram = F.col(ngram) if isinstance(ngram, str) else ngram
-    return [F.xxhash64(ngram).alias("k1"), F.xxhash64(F.lit(1), ngram).alias("k2")]
-
-
 def with_bucket(postings: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Add the hash bucket of the n-gram; the hash does not depend on the process."""
     return postings.withColumn("bucket", F.pmod(F.xxhash64("ngram"), F.lit(buckets)).cast("int"))
@@ -55,24 +53,93 @@ def sorted_buckets(postings: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return bucketed.repartitionByRange("bucket", "ngram", "doc_id").sortWithinPartitions("bucket", "ngram", "doc_id")
 
 
+def hashed_postings(docs: DataFrame, n: int = NGRAM, text: str = "text", key: str = "doc_id",
+                    distinct: bool = True) -> DataFrame:
+    """``k1, k2`` per n-gram (once per document with ``distinct``): two 64-bit hashes, made from word hashes in one vectorised pass.
+
+    No n-gram is spelled out; what leaves the pass is 16 bytes per n-gram.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, piece in pieces(batch.column(0)):
+                words = words_of(piece)
+                one, inside = run_hashes(words, n)
+                two, _ = run_hashes(words, n, salt=1)
+                at = np.flatnonzero(inside)
+                if distinct and len(at):
+                    doc = words.doc[at]
+                    order = np.lexsort([one[at], doc])
+                    at, doc = at[order], doc[order]
+                    at = at[np.concatenate([[True], (one[at[1:]] != one[at[:-1]]) | (doc[1:] != doc[:-1])])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64))], ["k1", "k2"]
+                )
+
+    return docs.select(plain_words(text).alias("text")).mapInArrow(run, "k1 long, k2 long")
+
+
+def gram_hashes(grams: list[str], n: int) -> np.ndarray:
+    """First hash of each n-gram, as :func:`hashed_postings` gives it; 0 for text that is not ``n`` words."""
+    out = np.zeros(len(grams), dtype=np.uint64)
+    for low, piece in pieces(pa.array(grams, pa.string())):
+        words = words_of(piece)
+        value, inside = run_hashes(words, n)
+        at = words.first[:-1]
+        whole = np.flatnonzero(np.diff(words.first) == n)
+        out[low + whole] = value[at[whole]]
+    return out
+
+
+def spelled_hits(docs: DataFrame, hashes: np.ndarray, n: int, text: str, keys: list[str], exact: set[bytes] | None = None) -> DataFrame:
+    """Distinct n-grams of each document whose hash is among ``hashes`` (and whose words are in ``exact``): ``keys..., ngram``.
+
+    One pass over the words; only hits are spelled out. The hashes go to every task, so their size was checked before.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((np.unique(hashes), exact))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keys).schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, exact = shared.value
+        mask = np.uint64((1 << FILTER_BITS) - 1)
+        may = np.zeros(1 << FILTER_BITS, dtype=bool)
+        may[known & mask] = True
+        for batch in batches:
+            for low, piece in pieces(batch.column(len(keys))):
+                words = words_of(piece)
+                value, inside = run_hashes(words, n)
+                at = np.flatnonzero(may[value & mask] & inside)
+                place = np.searchsorted(known, value[at])
+                at = at[known[np.minimum(place, max(0, len(known) - 1))] == value[at]] if len(known) else at[:0]
+                found = {}
+                for i in at.tolist():
+                    gram = b" ".join(words.data[words.start[i] : words.end[i + n - 1]].tobytes().split())
+                    if exact is None or gram in exact:
+                        found[(int(words.doc[i]), gram)] = None
+                rows = pa.array([low + doc for doc, _ in found], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(j).take(rows) for j in range(len(keys))], pa.array([g.decode() for _, g in found], pa.string())],
+                    [*keys, "ngram"],
+                )
+
+    return docs.select(*keys, plain_words(text).alias("_text")).mapInArrow(run, f"{fields}, ngram string")
+
+
 def frequent_ngrams(docs: DataFrame, n: int = NGRAM, more_than: int = MAX_DOCUMENTS, text: str = "text",
                     key: str = "doc_id") -> DataFrame:
     """N-grams found in more than ``more_than`` documents, with the count.
 
-    First pass counts 8-byte hashes (map-side combined) and keeps the frequent ones; the second pass reads the strings
-    of just those hashes and counts them exactly.
+    The first pass counts hashes (map-side combined) and keeps the frequent ones; the second spells out just those
+    and counts them exactly.
     """
-    postings = distinct_postings(docs, n, text, [key])
-    likely = (
-        postings.select(F.xxhash64("ngram").alias("k1")).groupBy("k1").agg(F.count("*").alias("_c"))
-        .where(F.col("_c") > more_than)
-    )
+    likely = hashed_postings(docs, n, text, key).groupBy("k1").agg(F.count("*").alias("_c")).where(F.col("_c") > more_than)
     # kept as a table: it is counted before it is broadcast, and the first pass over the corpus should run once
     likely = cut_lineage(likely.select("k1"))
-    candidates = semi_join_sized(postings.withColumn("k1", F.xxhash64("ngram")), likely, "k1", F.col(key))
-    return (
-        candidates.groupBy("ngram").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > more_than)
-    )
+    if fits_broadcast(likely, KEY_ROWS):
+        hashes = likely.toArrow()["k1"].to_numpy().view(np.uint64)
+        candidates = spelled_hits(docs, hashes, n, text, [key])
+    else:
+        candidates = distinct_postings(docs, n, text, [key])
+    return candidates.groupBy("ngram").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > more_than)
 
 
 def eval_lookup(evals: DataFrame, n: int = NGRAM, text: str = "text",
@@ -83,8 +150,15 @@ def eval_lookup(evals: DataFrame, n: int = NGRAM, text: str = "text",
 
 def matched_postings(docs: DataFrame, ngram_set: DataFrame, n: int = NGRAM, text: str = "text",
                      keys: list[str] | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Distinct n-grams of each document that are in ``ngram_set``: ``keys..., ngram``."""
+    """Distinct n-grams of each document that are in ``ngram_set``: ``keys..., ngram``.
+
+    A set that fits a broadcast is compared in one vectorised pass, first by hash and then word by word. A larger one is joined.
+    """
     keys = keys or ["doc_id"]
+    grams = ngram_set.select("ngram").distinct()
+    if fits_broadcast(grams, max_rows):
+        listed = [r["ngram"] for r in grams.collect()]
+        return spelled_hits(docs, gram_hashes(listed, n), n, text, keys, {g.encode() for g in listed})
     return semi_join_sized(distinct_postings(docs, n, text, keys), ngram_set, "ngram", F.struct(*keys), max_rows)
 
 
@@ -92,29 +166,22 @@ def train_overlap(train: DataFrame, evals: DataFrame, n: int = NGRAM, keys: tupl
                   max_documents: int | None = None, key: str = "doc_id") -> DataFrame:
     """Contaminated evaluation items with the number of their distinct n-grams seen in training.
 
-    One pass over the training text: only n-grams of the evaluation side survive it, counted by document. What moves
-    are 16-byte keys, never the strings. With ``max_documents``, n-grams of more training documents are too frequent to be
-    evidence.
+    One pass over the training text: only n-grams of the evaluation side survive it, counted by document. With
+    ``max_documents``, n-grams of more training documents are too frequent to be evidence.
     """
-    pair = ["k1", "k2"]
-    lookup = eval_lookup(evals, n, keys=keys).select(*keys, *ngram_key())
-    postings = distinct_postings(train, n, keys=[key]).select(key, *ngram_key())
-    matched = semi_join_sized(postings, lookup, pair, F.col(key), KEY_ROWS)
-    seen = matched.groupBy(*pair).agg(F.count("*").alias("n_docs"))
+    lookup = eval_lookup(evals, n, keys=keys)
+    seen = matched_postings(train, lookup, n, keys=[key]).groupBy("ngram").agg(F.count("*").alias("n_docs"))
     if max_documents is not None:
         seen = seen.where(F.col("n_docs") <= max_documents)
-    return lookup.join(seen, pair, "left_semi").groupBy(*keys).agg(F.count("*").alias("n_matched"))
+    return lookup.join(seen, "ngram", "left_semi").groupBy(*keys).agg(F.count("*").alias("n_matched"))
 
 
 def overlap_statistics(train: DataFrame, evals: DataFrame, n: int = NGRAM) -> DataFrame:
     """One row: total, unique, unique matching and unique non-matching n-grams of the training side."""
-    lookup = distinct_postings(evals, n, keys=[evals.columns[0]]).select(*ngram_key()).distinct()
-    lookup = lookup.withColumn("hit", F.lit(True))
+    lookup = hashed_postings(evals, n, key=evals.columns[0]).distinct().withColumn("hit", F.lit(True))
     if fits_broadcast(lookup, KEY_ROWS):
         lookup = F.broadcast(lookup)
-    unique = (
-        ngram_postings(train, n).select(*ngram_key()).groupBy("k1", "k2").agg(F.count("*").alias("copies"))
-    )
+    unique = hashed_postings(train, n, distinct=False).groupBy("k1", "k2").agg(F.count("*").alias("copies"))
     marked = unique.join(lookup, ["k1", "k2"], "left")
     return marked.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("total_ngrams"),
