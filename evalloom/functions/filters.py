@@ -312,6 +312,12 @@ def final_list(text: Column, strict: bool = True) -> Column:
     return F.transform(items, lambda x: F.btrim(strip(x), F.lit("'\"")))
 
 
+def final_list_error(text: Column, strict: bool = True) -> Column:
+    """True when no final list can be parsed, so that an empty list and a missing one differ."""
+    lines = F.split(substitute(text, (r"\n+\z", "")), "\n")
+    return ~F.exists(F.slice(lines, -1, 1) if strict else lines, lambda x: F.regexp_like(x, F.lit(FINAL_LIST)))
+
+
 MARKED_ANSWER = r"(?:Answer|answer|A|回答)\s*[:：]\s*(.+)"
 
 

@@ -155,3 +155,12 @@ def rolling_row(score: Column, text: Column) -> Column:
 
 def best_choice(scores: Column, choices: Column) -> Column:
     return F.get(choices, argmax(scores))
+
+
+def gold_margin(scores: Column, gold: Column) -> Column:
+    """Log-likelihood of the gold choice minus the mean of the others; NULL without others."""
+    def margin(s: Column) -> Column:
+        own = F.get(s["v"], s["g"])
+        return own - F.try_divide(total(s["v"]) - own, F.size(s["v"]) - 1)
+
+    return let(F.struct(scores.alias("v"), gold.alias("g")), margin)

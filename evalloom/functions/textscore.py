@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -182,6 +183,20 @@ def spans_f1(pred_spans: Column, gold_spans: Column) -> Column:
     return F.bround(F.when(longer == 0, 1.0).otherwise(F.try_divide(total, longer)), 2)
 
 
+def spans_best(pred_spans: Column, golds: Column) -> Column:
+    """``struct<em, f1>``: the highest of each over the accepted answers (lists of spans); answers whose first span is blank do not
+    count, and 0 is the score without any."""
+    def best(score: Callable[[Column, Column], Column], gold: Column) -> Column:
+        counts = F.length(strip(F.coalesce(F.get(gold, F.lit(0)), F.lit("")))) > 0
+        return F.when(counts, score(pred_spans, gold)).otherwise(0.0)
+
+    def highest(score: Callable[[Column, Column], Column]) -> Column:
+        return F.greatest(F.lit(0.0), *[best(score, g) for g in golds_list])
+
+    golds_list = golds if isinstance(golds, list) else [golds]
+    return F.struct(highest(spans_exact).alias("em"), highest(spans_f1).alias("f1"))
+
+
 # --- sets, numbers, classes ------------------------------------------------------------------------------------------
 
 
@@ -675,6 +690,69 @@ def math_equal(pred: Column, gold: Column) -> Column:
     return (math_answer(pred) == math_answer(gold)).cast("double")
 
 
+def strip_math(text: Column) -> Column:
+    """``struct<out, ok>``: TeX text in one form: no spacing commands, degrees, dollar signs, percent or units on the right, a zero
+    before a leading point, no short ``k =`` prefix, braces around arguments of roots and fractions, ``a/b`` as a fraction.
+
+    ``ok`` is false where the form is undefined (two units, a root or fraction without argument, a slash between other things than two
+    whole numbers); such texts are compared as they are.
+    """
+    plain = replace_all(
+        text, ("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""),
+        ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""),
+    )
+    unit = "\\text{ "
+
+    def from_units(x: Column) -> Column:
+        bare = replace_all(F.substring_index(x, unit, 1), ("\\%", ""), (" .", " 0."), ("{.", "{0."))
+        one_unit = F.size(F.split(x, r"\\text\{ ", -1)) <= 2
+        return let(F.when(F.startswith(bare, F.lit(".")), F.concat(F.lit("0"), bare)).otherwise(bare), lambda y: from_prefix(y, one_unit))
+
+    def from_prefix(y: Column, ok: Column) -> Column:
+        sides = F.split(y, "=", -1)
+        short = (F.size(sides) == 2) & (F.length(F.get(sides, F.lit(0))) <= 2)
+        return let(F.when(short, F.get(sides, F.lit(1))).otherwise(y), lambda z: from_roots(z, ok))
+
+    def from_roots(z: Column, ok: Column) -> Column:
+        bad = F.endswith(z, F.lit("\\sqrt")) | F.contains(z, F.lit("\\sqrt\\sqrt"))
+        braced = F.replace(F.regexp_replace(z, F.lit(r"\\sqrt([^{])"), F.lit(r"\\sqrt{$1}")), F.lit(" "), F.lit(""))
+        return let(braced, lambda f: from_fractions(f, ok & ~bad))
+
+    def from_fractions(f: Column, ok: Column) -> Column:
+        pieces = F.split(f, r"\\frac", -1)
+        later = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+        cut = F.exists(later, lambda p: (F.length(p) == 1) & (p != "{"))
+        def argument(p: Column) -> Column:
+            a, b, rest = F.substring(p, 1, 1), F.substring(p, 2, 1), F.substr(p, F.lit(3))
+            two = F.when(b == "{", F.concat(F.lit("{"), a, F.lit("}{"), rest)).otherwise(F.concat(F.lit("{"), a, F.lit("}{"), b, F.lit("}"), rest))
+            return F.when(F.startswith(p, F.lit("{")), p).otherwise(two)
+
+        joined = F.array_join(F.concat(F.slice(pieces, 1, 1), F.transform(later, argument)), "\\frac")
+        done = F.when(cut | (F.size(pieces) == 1), f).otherwise(joined)
+        bad = F.exists(later, lambda p: p == "")
+        return let(F.when(done == "0.5", "\\frac{1}{2}").otherwise(done), lambda x: from_slash(x, ok & ~bad))
+
+    def from_slash(x: Column, ok: Column) -> Column:
+        sides = F.split(x, "/", -1)
+        whole = F.forall(sides, lambda v: F.regexp_like(v, F.lit(r"\A[+-]?[0-9]+\z")))
+        canonical = F.forall(sides, lambda v: F.regexp_like(v, F.lit(r"\A(0|-?[1-9][0-9]*)\z")))
+        two = F.size(sides) == 2
+        fraction = F.concat(F.lit("\\frac{"), F.get(sides, F.lit(0)), F.lit("}{"), F.get(sides, F.lit(1)), F.lit("}"))
+        return F.struct(F.when(two & canonical, fraction).otherwise(x).alias("out"), (ok & (~two | whole)).alias("ok"))
+
+    return let(plain, from_units)
+
+
+def math_equivalent(pred: Column, gold: Column) -> Column:
+    """Equality of the stripped forms, or of the texts themselves where one has no form; two nulls agree."""
+    def same(s: Column) -> Column:
+        both = s["p"]["ok"] & s["g"]["ok"]
+        return F.when(both, s["p"]["out"] == s["g"]["out"]).otherwise(s["x"] == s["y"])
+
+    score = let(F.struct(strip_math(pred).alias("p"), strip_math(gold).alias("g"), pred.alias("x"), gold.alias("y")), same)
+    return F.when(pred.isNull() & gold.isNull(), 1.0).when(pred.isNull() | gold.isNull(), 0.0).otherwise(score.cast("double"))
+
+
 def guarded(score: Column, pred: Column, gold: Column, minimum: int) -> Column:
     """NaN when a side is shorter than ``minimum``; a zero score is nudged by 1e-5."""
     short = (F.length(pred) < minimum) | (F.length(gold) < minimum)

@@ -203,12 +203,16 @@ def code_blocks(t):
     return t.documents.select("doc_id", F.md5(fl.code_block(said)).alias("digest"))
 
 
-@query("final_lists", "FIL-17", """select o_orderkey, case when o_orderkey % 2 = 0 then o_custkey::varchar || '|b' else '' end strict,
-  o_custkey::varchar || '|b' flexible from orders""")
+@query("final_lists", "FIL-17", """select o_orderkey, case when o_orderkey % 2 = 0 and o_orderkey % 5 <> 0 then o_custkey::varchar || '|b' else '' end strict,
+  case when o_orderkey % 5 = 0 then '' else o_custkey::varchar || '|b' end flexible,
+  o_orderkey % 2 <> 0 as strict_error, false as flexible_error from orders""")
 def final_lists(t):
-    line = text("Final Answer: ['", F.col("o_custkey"), "', b ]")
+    line = F.when(F.col("o_orderkey") % 5 == 0, F.lit("Final Answer: [ ]")).otherwise(text("Final Answer: ['", F.col("o_custkey"), "', b ]"))
     said = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("x\n"), line, F.lit("\n"))).otherwise(F.concat(line, F.lit("\nthe end")))
-    return t.orders.select("o_orderkey", joined(fl.final_list(said), "strict"), joined(fl.final_list(said, False), "flexible"))
+    return t.orders.select(
+        "o_orderkey", joined(fl.final_list(said), "strict"), joined(fl.final_list(said, False), "flexible"),
+        fl.final_list_error(said).alias("strict_error"), fl.final_list_error(said, False).alias("flexible_error"),
+    )
 
 
 @query("answer_lines", "FIL-18", f"""select doc_id, md5(case when regexp_matches(text, '(?:Answer|answer|A|回答)\\s*[:：]\\s*(.+)')

@@ -150,3 +150,9 @@ def rolling_rows(t):
 def true_first_mass(t):
     labels = F.transform("v", lambda _, i: (i < F.col("vec_id") % 4 + 3).cast("int"))
     return scores(t).select("vec_id", r6(lk.true_first_mass(F.col("v"), labels), "mass"))
+
+
+@query("gold_margin", "SC-4", f"select g as label, round(avg(v[g + 1] - (list_sum(v) - v[g + 1]) / (len(v) - 1)), 6) margin from {V} group by 1")
+def gold_margin(t):
+    rows = scores(t).select(F.col("g").alias("label"), lk.gold_margin(F.col("v"), F.col("g")).alias("m"))
+    return rows.groupBy("label").agg(r6(F.avg("m"), "margin"))

@@ -108,3 +108,20 @@ def five_shot_prompt(t):
     evals = pool.join(fs.first_shots(pool, 5, "p_partkey").select("p_partkey"), "p_partkey", "left_anti")
     text = F.array_join(F.concat(shots, F.array("ask")), "\n\n")
     return evals.select("p_partkey", F.md5(F.concat(F.lit("Parts.\n\n"), text)).alias("digest"))
+
+
+@query("fewshot_messages", "FS-5", f"""with {shots_sql(1234, 3)},
+s as (select eval_id, string_agg('user:' || {q.strip("text")} || chr(10) || 'assistant:' || lang, chr(10) order by shot) s
+  from shots join documents using (doc_id) group by eval_id)
+select eval_id, 8::bigint turns, md5('system:Languages.' || chr(10) || s || chr(10) || 'user:' || {q.strip("text")}) digest,
+  (length('Languages.') > 0)::int::bigint system_turns from s join documents on doc_id = eval_id""")
+def fewshot_messages(t):
+    pool = t.documents.select("doc_id", "text", strip("text").alias("asked"), F.col("lang").alias("answer"))
+    evals = t.documents.select(F.col("doc_id").alias("eval_id"), "text", strip("text").alias("question"))
+    shots = fs.random_shots(pool, evals, 3, 1234, "doc_id", "eval_id", "text")
+    out = fs.assemble_messages(shots, evals, "eval_id", "question", "asked", "answer", "Languages.")
+    lines = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n")
+    system = F.size(F.filter(fs.single_turn(F.col("messages")), lambda m: m["role"] == "system"))
+    return out.select(
+        "eval_id", F.size("messages").cast("long").alias("turns"), F.md5(lines).alias("digest"), system.cast("long").alias("system_turns")
+    )

@@ -351,3 +351,42 @@ def open_matches(t):
     reply = F.when(k == 0, said("We add.\nSo the result is ", c, ",000.00")).when(k == 1, said("It is surely a Red Fox\n")).otherwise("who knows")
     golds = F.when(k == 0, F.array(said(c, "000"))).otherwise(F.array(F.lit("red fox"), F.lit("7")))
     return t.orders.select("o_orderkey", ts.open_match(reply, golds).alias("hit"))
+
+
+@query("best_span_alignment", "SC-25", f"""select conv_id, turn, case when conv_id % 2 = 0 then greatest(em, 0) else 1.0 end::double em,
+  case when conv_id % 2 = 0 then f1 else 1.0 end::double f1 from (
+  select conv_id, turn, (list_sort(a) = list_sort(b))::int::double em, round_even(case when s = 0 then 0 else
+  2.0::double * s / (len(a) + len(b)) end, 2) f1 from (select *, len(list_intersect(a, b)) s from (
+  select conv_id, turn, {span_sql('p')} a, {span_sql('r')} b from {PAIRS})))""")
+def best_span_alignment(t):
+    # the second answer is blank for even conversations, and the prediction itself for odd ones
+    other = F.when(F.col("conv_id") % 2 == 0, F.array(F.lit(" "), F.col("p"))).otherwise(F.array(F.col("p")))
+    best = ts.spans_best(F.array(F.col("p")), [F.array(F.col("r")), other])
+    return pairs(t).select(*KEY, best.alias("s")).select(*KEY, "s.em", "s.f1")
+
+
+# (reply, gold, equal) with the digit of the order in place of #
+MATH_FORMS = (
+    ("\\dfrac#7", "\\frac{#}{7}", 1),
+    ("x=#", "#", 1),
+    ("xyz=#", "#", 0),
+    ("\\sqrt#", "\\sqrt{#}", 1),
+    ("#\\text{ cm}", "#", 1),
+    ("#\\%", "#", 1),
+    (".#5", "0.#5", 1),
+    ("0.5", "1/2", 1),
+    ("#/7", "\\frac{#}{7}", 1),
+    ("a/#", "a / #", 0),
+    ("#^{\\circ}\n", "#", 1),
+    ("\\left(#\\right)", "(#)", 1),
+)
+
+
+@query("math_equivalence", "SC-46", f"""select o_orderkey, [{', '.join(str(e) for _, _, e in MATH_FORMS)}][(o_orderkey % {len(MATH_FORMS)} + 1)::int]::double as same
+  from orders""")
+def math_equivalence(t):
+    def filled(side):
+        forms = F.array(*[F.lit(f[side]) for f in MATH_FORMS])
+        return F.replace(F.get(forms, (F.col("o_orderkey") % len(MATH_FORMS)).cast("int")), F.lit("#"), (F.col("o_custkey") % 9 + 1).cast("string"))
+
+    return t.orders.select("o_orderkey", ts.math_equivalent(filled(0), filled(1)).alias("same"))
