@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 
 from evalloom.functions.text import strip, substitute, words
 from evalloom.functions.textscore import bleu_stats, qa_normal, token_f1
+from evalloom.functions.wordhash import mixed
 from evalloom.operators.scale import lookup_sized
 
 NAN = float("nan")
@@ -490,11 +492,16 @@ def treatment(column: str, reference: str, levels: list[str]) -> dict[str, Colum
     return {f"{column}={v}": (F.col(column) == v).cast("double") for v in levels if v != reference}
 
 
+# chances of at most 0, 1, 2... for a Poisson variable of mean 1
+POISSON_ONE = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+
+
 def bootstrap_stderr(df: DataFrame, group: list[str], value: str, replicates: int = 1000, seed: int = 1234) -> DataFrame:
     """Bootstrap standard error of the mean per group.
 
     Equal values are combined first: the weight of a value seen ``c`` times is Poisson(c), the sum of its rows' Poisson(1)
-    weights. Tasks draw all replicates of a value at once and emit partial sums per replicate.
+    weights. Tasks draw all replicates of many single values at once, as a matrix of hashed counters put through the Poisson
+    distribution, and emit partial sums per replicate.
     """
     counted = df.select(*group, F.col(value).cast("double").alias("_v")).where("_v is not null")
     counted = counted.groupBy(*group, "_v").agg(F.count("*").alias("_c")).withColumn("_s", F.xxhash64(*group, "_v"))
@@ -508,6 +515,15 @@ def bootstrap_stderr(df: DataFrame, group: list[str], value: str, replicates: in
             parts = batch.groupby(group, dropna=False, sort=False) if group else [((), batch)]
             for key, rows in parts:
                 w, wx = np.zeros(replicates), np.zeros(replicates)
+                single = rows[rows["_c"] == 1]
+                for low in range(0, len(single), 256):
+                    part = single.iloc[low : low + 256]
+                    start = part["_s"].to_numpy().view(np.uint64)[:, None] + np.uint64(seed)
+                    counters = mixed(mixed(start) + np.arange(replicates, dtype=np.uint64)[None, :])
+                    drawn = np.searchsorted(POISSON_ONE, (counters >> np.uint64(11)) / 2.0**53, side="right")
+                    w += drawn.sum(axis=0)
+                    wx += part["_v"].to_numpy() @ drawn
+                rows = rows[rows["_c"] > 1]
                 for v, c, s in zip(rows["_v"], rows["_c"], rows["_s"], strict=True):
                     drawn = np.random.default_rng([seed, int(s) & (2**63 - 1)]).poisson(c, replicates)
                     w += drawn

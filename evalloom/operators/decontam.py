@@ -39,9 +39,10 @@ def distinct_postings(docs: DataFrame, n: int = NGRAM, text: str = "text", keys:
     return docs.select(*keys, F.explode(F.array_distinct(ngrams(normal_words(text), n))).alias("ngram"))
 
 
-def with_bucket(postings: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Add the hash bucket of the n-gram; the hash does not depend on the process."""
-    return postings.withColumn("bucket", F.pmod(F.xxhash64("ngram"), F.lit(buckets)).cast("int"))
+def with_bucket(postings: DataFrame, buckets: int = BUCKETS, hashed: Column | None = None) -> DataFrame:
+    """Add the hash bucket of the n-gram; the hash does not depend on the process. ``hashed`` replaces the 64-bit default."""
+    value = F.xxhash64("ngram") if hashed is None else hashed
+    return postings.withColumn("bucket", F.pmod(value, F.lit(buckets)).cast("int"))
 
 
 def sorted_buckets(postings: DataFrame, buckets: int = BUCKETS) -> DataFrame:

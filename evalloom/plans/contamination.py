@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalloom.functions.text import capitalize, ngrams, normal_words
+from evalloom.functions.text import capitalize, ngrams, normal_words, stable_hash
 from evalloom.operators import decontam as dc
 from evalloom.plans import sqltext as q
 from evalloom.plans.catalog import Tables, query
@@ -84,9 +84,10 @@ def ngram_offsets(t):
     )
 
 
-@query("bucketed_ngrams", "DEC-4")
+@query("bucketed_ngrams", "DEC-4", f"""with {TRAIN} select ({q.stable_hash('ngram')} % 500)::int as bucket, count(*) n_postings from train group by 1""")
 def bucketed_ngrams(t):
-    return dc.with_bucket(dc.ngram_postings(t.documents, N)).groupBy("bucket").agg(F.count("*").alias("n_postings"))
+    bucketed = dc.with_bucket(dc.ngram_postings(t.documents, N), hashed=stable_hash("ngram"))
+    return bucketed.groupBy("bucket").agg(F.count("*").alias("n_postings"))
 
 
 @query("sorted_bucket_rows", "DEC-5 SRT-1", f"""with {TRAIN} select doc_id, ngram from train""")
