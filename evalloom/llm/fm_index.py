@@ -75,9 +75,14 @@ class FMIndex:
         """Suffix intervals after one more symbol in front."""
         return (self.first[symbols] + self.matrix.rank(symbols, low), self.first[symbols] + self.matrix.rank(symbols, high))
 
-    def matches(self, stream: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def matches(self, stream: np.ndarray, ends: np.ndarray, length: int,
+                indexed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics of ``stream`` up to ``length``: for every place in ``ends``, how many symbols up to it (included)
-        occur in the index, and the suffix interval of that match."""
+        occur in the index, and the suffix interval of that match.
+
+        With ``indexed`` the streamed runs are in the index themselves, so a search that is down to one suffix has found just the
+        run it came from: it ends there, as a match of a single suffix.
+        """
         low, high = np.zeros(len(ends), dtype=np.int64), np.full(len(ends), self.size, dtype=np.int64)
         matched = np.zeros(len(ends), dtype=np.int64)
         active = np.arange(len(ends))
@@ -93,4 +98,6 @@ class FMIndex:
             active, a, b = active[found], a[found], b[found]
             low[active], high[active] = a, b
             matched[active] = k + 1
+            if indexed:
+                active = active[b - a > 1]
         return matched, low, high

@@ -7,17 +7,20 @@ A shard builds a compressed FM-index of its segments and streams them through ba
 matches over all its words gives the smallest id of a document that holds it. Documents take these intervals back by
 segment and lose the words that they cover.
 
-Repeated anchors travel as a bitmap of fixed size. A false bit only sends more segments to the shards. Anchors of very many
+Repeated anchors travel as a bitmap of fixed size; a false bit only sends more segments to the shards, where words are compared.
+A second one tells which documents lose words, so that only their texts are shuffled for the removal. Anchors of very many
 documents are split: their segments become single windows, which go by the hash of the window.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,7 @@ from evalloom.session import cut_lineage
 WINDOW = 13
 SHINGLE = 5
 BITS = 28  # of the bitmap of repeated anchors: 32 MB
+DOCUMENT_BITS = 26  # of the bitmap of documents that lose words: 8 MB
 SLICE_BITS = 18  # of one row of it
 HOT = 4096  # occurrences from which the segments of an anchor are split into windows
 SHARD_ANCHORS = 4000  # repeated anchors of a shard, on average
@@ -82,15 +86,12 @@ def anchor_counts(docs: DataFrame) -> DataFrame:
     return found.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
 
 
-def anchor_bitmaps(anchors: DataFrame, bits: int, hot: int) -> tuple[bytes, bytes, int]:
-    """Bitmaps of ``2 ** bits`` bits of the anchors in several documents, and of the hot ones; and the number of the former.
+def collect_bitmaps(rows: DataFrame, bits: int) -> tuple[bytes, bytes, int]:
+    """Two deflated bitmaps of ``2 ** bits`` bits: of every ``bit`` in ``rows``, and of those with ``hot``; and the number of rows.
 
     The driver receives the bitmaps, which have this size whatever the data; the bits are set in tasks, by slice.
     """
     slice_bits = min(SLICE_BITS, bits)
-    repeated = anchors.where("low < high").select(
-        F.col("anchor").bitwiseAND(F.lit((1 << bits) - 1)).alias("bit"), (F.col("n") > hot).alias("hot")
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices: dict[tuple[int, bool], np.ndarray] = {}
@@ -112,18 +113,34 @@ def anchor_bitmaps(anchors: DataFrame, bits: int, hot: int) -> tuple[bytes, byte
                 ["slice", "hot", "bits", "n"],
             )
 
-    by_slice = repeated.repartition(F.shiftright("bit", slice_bits))
+    by_slice = rows.select("bit", "hot").repartition(F.shiftright("bit", slice_bits))
     maps = np.zeros((2, 1 << (bits - 3)), dtype=np.uint8)
     total = 0
     for row in by_slice.mapInArrow(run, "slice long, hot boolean, bits binary, n long").toLocalIterator():
         begin = row["slice"] << (slice_bits - 3)
         maps[int(row["hot"]), begin : begin + (1 << (slice_bits - 3))] |= np.frombuffer(row["bits"], np.uint8)
         total += row["n"]
-    return maps[0].tobytes(), maps[1].tobytes(), total
+    return zlib.compress(maps[0].tobytes(), 1), zlib.compress(maps[1].tobytes(), 1), total
+
+
+def anchor_bitmaps(anchors: DataFrame, bits: int, hot: int) -> tuple[bytes, bytes, int]:
+    """Bitmaps of the anchors in several documents, and of the hot ones; and the number of the former."""
+    repeated = anchors.where("low < high")
+    bit = F.col("anchor").bitwiseAND(F.lit((1 << bits) - 1))
+    return collect_bitmaps(repeated.select(bit.alias("bit"), (F.col("n") > hot).alias("hot")), bits)
+
+
+def document_bit(bits: int):
+    """Place of a document in a bitmap, from its id and text key."""
+    return F.xxhash64("did", "text_key").bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def bit_of(anchor: np.ndarray, bits: int) -> np.ndarray:
+    return (anchor & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 def has_bit(bitmap: np.ndarray, value: np.ndarray, bits: int) -> np.ndarray:
-    at = (value & np.uint64((1 << bits) - 1)).astype(np.int64)
+    at = bit_of(value, bits)
     return (bitmap[at >> 3] >> (at & 7)) & 1 > 0
 
 
@@ -131,7 +148,7 @@ def repeated_segments(docs: DataFrame, shared, bits: int) -> DataFrame:
     """Segments of the documents that may repeat: ``did, text_key, pos, anchor, segment``; hot ones window by window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated, hot = (np.frombuffer(m, np.uint8) for m in shared.value)
+        repeated, hot = (np.frombuffer(zlib.decompress(m), np.uint8) for m in shared.value)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             keys = batch.column(1).to_numpy(zero_copy_only=False)
@@ -184,7 +201,7 @@ def window_lows(segments: list[bytes], lows: np.ndarray, window: int = WINDOW) -
     count = np.maximum(sizes - window + 1, 0)
     owner = np.repeat(np.arange(len(sizes)), count)
     offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    matched, low, high = index.matches(text, start[owner] + offset + window - 1, window)
+    matched, low, high = index.matches(text, start[owner] + offset + window - 1, window, indexed=True)
     smallest = lows[owner].copy()
     full = np.flatnonzero((matched == window) & (high - low > 1))
     if len(full):
@@ -255,32 +272,64 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"),
     )
     covered = covered_windows(rows.select("did", "text_key", "text"), **options)
-    if covered is None:
-        joined = rows.withColumn("starts", F.lit(None).cast("array<int>"))
-    else:
-        joined = rows.join(covered, ["did", "text_key"], "left")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
     names = [c.split()[0] for c in schema.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string()][: len(names) - 1]
+
+    def result(words: list[bytes], starts: np.ndarray) -> list:
+        n, gone = len(words), 0
+        if len(starts) and n:
+            removed = removed_words(n, starts)
+            gone = int(removed.sum())
+            words = [w for w, r in zip(words, removed.tolist()) if not r]
+        kept = b" ".join(words)
+        return [n, gone, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")][: len(types)]
+
+    shared = None
+    if covered is not None:
+        bit = document_bit(DOCUMENT_BITS)
+        marked = collect_bitmaps(covered.select(bit.alias("bit"), F.lit(False).alias("hot")), DOCUMENT_BITS)[0]
+        shared = docs.sparkSession.sparkContext.broadcast(marked)
+        rows = rows.withColumn("bit", bit)
+    else:
+        rows = rows.withColumn("bit", F.lit(0).cast("long"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The results of documents that lose nothing; the texts of the others, compressed for the shuffle."""
+        squeeze = zstandard.ZstdCompressor(level=1)
+        marks = np.frombuffer(zlib.decompress(shared.value), np.uint8) if shared else np.zeros(1, np.uint8)
         for batch in batches:
-            out: list[list] = [[] for _ in names[1:]]
-            for body, starts in zip(batch.column(1), batch.column(2)):
-                text = body.as_py()
-                words = text.encode("utf-8", "surrogatepass").split() if text else []
-                n, gone = len(words), 0
-                if starts.is_valid and n:
-                    removed = removed_words(n, starts.values.to_numpy(zero_copy_only=False).astype(np.int64))
-                    gone = int(removed.sum())
-                    words = [w for w, r in zip(words, removed.tolist()) if not r]
-                kept = b" ".join(words)
-                values = [n, gone, hashlib.sha256(kept).hexdigest()]
-                for column, value in zip(out, [*values, kept.decode("utf-8", "surrogatepass")] if keep_text else values):
+            bit = batch.column(4).to_numpy(zero_copy_only=False)
+            marked = (marks[bit >> 3] >> (bit & 7)) & 1 > 0
+            packed, done = [], [[] for _ in types]
+            for text, mark in zip(batch.column(2).to_pylist(), marked.tolist()):
+                data = text.encode("utf-8", "surrogatepass") if text else b""
+                packed.append(squeeze.compress(data) if mark else None)
+                for column, value in zip(done, [None] * len(types) if mark else result(data.split(), np.empty(0, np.int64))):
                     column.append(value)
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(out, types)]], names)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(packed, pa.binary()), batch.column(3),
+                 *[pa.array(c, t) for c, t in zip(done, types)]],
+                ["did", "text_key", "packed", *names],
+            )
+
+    passed = rows.mapInArrow(first_pass, "did long, text_key long, packed binary, " + schema)
+    if covered is None:
+        return passed.select(*names)
 
-    return joined.select("doc_id", "text", "starts").mapInArrow(run, schema)
+    def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[3:]]
+            for i, (packed, starts) in enumerate(zip(batch.column(1), batch.column(2))):
+                if packed.is_valid:
+                    at = starts.values.to_numpy(zero_copy_only=False).astype(np.int64) if starts.is_valid else np.empty(0, np.int64)
+                    for column, value in zip(columns, result(unpack.decompress(packed.as_py()).split(), at)):
+                        column[i] = value
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types)]], names)
+
+    joined = passed.join(covered, ["did", "text_key"], "left")
+    return joined.select("doc_id", "packed", "starts", *names[1:]).mapInArrow(second_pass, schema)
 
 
 SQL = r"""
