@@ -186,7 +186,7 @@ def number_filter(t):
 
 @query("word_sort_filter", "FIL-15", """with w as (select doc_id, unnest(l) x, generate_subscripts(l, 1) i from (
   select doc_id, regexp_extract_all(case when doc_id % 2 = 0 then 'café ' || text || ' co-op it''s café' else text end,
-    'co-op|it''s|[\pL\pN\p{Mn}_]+') l from documents)),
+    'co-op|it''s|[\\pL\\pN\\p{Mn}_]+') l from documents)),
 k as (select doc_id, x, max(i) i from w where x in ('the', 'of', 'and', 'der', 'que', 'co-op', 'café', 'it''s') group by doc_id, x)
 select doc_id, coalesce(string_agg(x, ' ' order by i), '') sorted from documents left join k using (doc_id) group by doc_id""")
 def word_sort_filter(t):
