@@ -16,7 +16,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.llm.common import join_lookup, table
@@ -192,6 +192,14 @@ def read_records(index: DataFrame, folder: str, wanted: Column | None = None, pa
     return ranges.mapInArrow(run, RECORD + ", payload binary" * payloads)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme, as Spark itself resolves it: a path without one may lie in the cluster's own file system."""
+    if "://" in folder:
+        return folder
+    spark.range(1).write.parquet(f"{folder}/probe")
+    return spark.read.parquet(f"{folder}/probe").inputFiles()[0].rpartition("/probe/")[0]
+
+
 def archive_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html",
                   payloads: bool = False) -> DataFrame:
     """Write a record per page into the shared folder and read all of them back: ``RECORD`` per page.
@@ -199,8 +207,7 @@ def archive_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     One row per input row. A null html is an empty payload, a null URL or id stays null, a URL is returned percent-encoded where a
     header cannot hold it. An empty table writes an empty index and gives no row. Only the three named columns are read.
     """
-    folder = run_dir(pages.sparkSession, "warc")
-    folder = folder if "://" in folder else f"file://{folder}"
+    folder = qualified(pages.sparkSession, run_dir(pages.sparkSession, "warc"))
     index = write_archives(with_record_types(pages, page_id, url, html), folder)
     return read_records(index, folder, payloads=payloads)
 

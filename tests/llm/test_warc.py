@@ -48,7 +48,8 @@ def test_round_trip_of_odd_pages(spark):
 def test_ranges_and_files(spark):
     """Small files, small reads and gaps give the same records; a selection reads only what it names."""
     data = [(i, f"http://h/{i}", f"<html>{i}" + "text " * (i % 40)) for i in range(300)]
-    folder = "file://" + run_dir(spark, "warc").removeprefix("file:")
+    folder = warc.qualified(spark, run_dir(spark, "warc"))
+    assert folder.startswith("file:///")
     typed = warc.with_record_types(pages(spark, [(*r, None, None) for r in data]))
     index = warc.write_archives(typed, folder, file_bytes=2000)
     assert index.select("file").distinct().count() > 5
