@@ -32,6 +32,7 @@ from evalloom.session import cut_lineage
 WINDOW = 13
 SHINGLE = 5
 BITS = 28  # of the bitmap of repeated anchors: 32 MB
+COUNTED_BITS = 40  # of an anchor that are counted; those of the bitmap are the lowest of them
 DOCUMENT_BITS = 26  # of the bitmap of documents that lose words: 8 MB
 SLICE_BITS = 18  # of one row of it
 HOT = 4096  # occurrences from which the segments of an anchor are split into windows
@@ -73,6 +74,7 @@ def anchor_counts(docs: DataFrame) -> DataFrame:
                 if not len(first):
                     continue
                 owner = ids[low + words.doc[first]]
+                anchor = anchor & np.uint64((1 << COUNTED_BITS) - 1)
                 order = np.argsort(anchor, kind="stable")
                 anchor, owner = anchor[order], owner[order]
                 start = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
@@ -296,7 +298,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The results of documents that lose nothing; the texts of the others, compressed for the shuffle."""
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=5)
         marks = np.frombuffer(zlib.decompress(shared.value), np.uint8) if shared else np.zeros(1, np.uint8)
         for batch in batches:
             bit = batch.column(4).to_numpy(zero_copy_only=False)
