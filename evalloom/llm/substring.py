@@ -35,6 +35,7 @@ BITS = 28  # of the bitmap of repeated anchors: 32 MB
 COUNTED_BITS = 40  # of an anchor that are counted; those of the bitmap are the lowest of them
 DOCUMENT_BITS = 26  # of the bitmap of documents that lose words: 8 MB
 SLICE_BITS = 18  # of one row of it
+HOT_BITS = 22  # of the bitmap of hot anchors
 HOT = 4096  # occurrences from which the segments of an anchor are split into windows
 SHARD_ANCHORS = 4000  # repeated anchors of a shard, on average
 LAST = 2**63 - 1  # stands for a null id: after all others
@@ -88,8 +89,8 @@ def anchor_counts(docs: DataFrame) -> DataFrame:
     return found.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
 
 
-def collect_bitmaps(rows: DataFrame, bits: int) -> tuple[bytes, bytes, int]:
-    """Two deflated bitmaps of ``2 ** bits`` bits: of every ``bit`` in ``rows``, and of those with ``hot``; and the number of rows.
+def collect_bitmaps(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Two bitmaps of ``2 ** bits`` bits: of every ``bit`` in ``rows``, and of those with ``hot``; and the number of rows.
 
     The driver receives the bitmaps, which have this size whatever the data; the bits are set in tasks, by slice.
     """
@@ -122,14 +123,19 @@ def collect_bitmaps(rows: DataFrame, bits: int) -> tuple[bytes, bytes, int]:
         begin = row["slice"] << (slice_bits - 3)
         maps[int(row["hot"]), begin : begin + (1 << (slice_bits - 3))] |= np.frombuffer(row["bits"], np.uint8)
         total += row["n"]
-    return zlib.compress(maps[0].tobytes(), 1), zlib.compress(maps[1].tobytes(), 1), total
+    return maps[0], maps[1], total
 
 
 def anchor_bitmaps(anchors: DataFrame, bits: int, hot: int) -> tuple[bytes, bytes, int]:
-    """Bitmaps of the anchors in several documents, and of the hot ones; and the number of the former."""
+    """Deflated bitmaps of the anchors in several documents, and of the hot ones; and the number of the former.
+
+    There are few hot anchors, so their bitmap is folded to ``HOT_BITS``.
+    """
     repeated = anchors.where("low < high")
     bit = F.col("anchor").bitwiseAND(F.lit((1 << bits) - 1))
-    return collect_bitmaps(repeated.select(bit.alias("bit"), (F.col("n") > hot).alias("hot")), bits)
+    every, some, total = collect_bitmaps(repeated.select(bit.alias("bit"), (F.col("n") > hot).alias("hot")), bits)
+    folded = np.bitwise_or.reduce(some.reshape(-1, 1 << (min(HOT_BITS, bits) - 3)), axis=0)
+    return zlib.compress(every.tobytes(), 1), zlib.compress(folded.tobytes(), 1), total
 
 
 def document_bit(bits: int):
@@ -161,7 +167,7 @@ def repeated_segments(docs: DataFrame, shared, bits: int) -> DataFrame:
                 first, last, anchor = first[kept], last[kept], anchor[kept]
                 if not len(first):
                     continue
-                split = has_bit(hot, anchor, bits)
+                split = has_bit(hot, anchor, min(HOT_BITS, bits))
                 if split.any():
                     width = (last - first + 1)[split]
                     offset = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
@@ -291,7 +297,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     if covered is not None:
         bit = document_bit(DOCUMENT_BITS)
         marked = collect_bitmaps(covered.select(bit.alias("bit"), F.lit(False).alias("hot")), DOCUMENT_BITS)[0]
-        shared = docs.sparkSession.sparkContext.broadcast(marked)
+        shared = docs.sparkSession.sparkContext.broadcast(zlib.compress(marked.tobytes(), 1))
         rows = rows.withColumn("bit", bit)
     else:
         rows = rows.withColumn("bit", F.lit(0).cast("long"))
