@@ -22,7 +22,7 @@ class Sparse(NamedTuple):
         return Sparse(begin, self.column[flat], self.value[flat], self.width)
 
     def dot(self, weight: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(self.value * weight[self.column])])
+        total = np.concatenate([[0.0], np.cumsum(self.value * weight[self.column], dtype=float)])
         return total[self.start[1:]] - total[self.start[:-1]]
 
     def back(self, residual: np.ndarray) -> np.ndarray:
@@ -57,7 +57,7 @@ def fit(rows: Sparse, dense: np.ndarray, target: np.ndarray, decay: float = 1e-4
     """Full-batch Adam on the mean log loss with L2 decay, over columns scaled by their log ratios (which are part of the weights
     returned), so that columns that tell nothing about the class stay near 0. A target of one class gives that class always."""
     ratio = log_ratios(rows, target)
-    scaled = rows._replace(value=rows.value * ratio[rows.column])
+    scaled = rows._replace(value=(rows.value * ratio[rows.column]).astype(rows.value.dtype))
     model = descend(scaled, dense, target, decay, steps, rate)
     return model._replace(weight=model.weight * ratio)
 

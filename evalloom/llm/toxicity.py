@@ -142,19 +142,20 @@ def train_chain(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     sample = sample.take(pa.array(order)).combine_chunks()
     feature, n = sample["feature"].combine_chunks(), sample["n"].combine_chunks()
     start = np.concatenate([[0], np.cumsum(sample["feature"].combine_chunks().value_lengths().to_numpy())]).astype(np.int64)
-    column, count = feature.flatten().to_numpy().astype(np.int64), n.flatten().to_numpy().astype(float)
+    column, count = feature.flatten().to_numpy(), n.flatten().to_numpy()
     words = np.maximum(sample["n_words"].to_numpy(), 1)
-    value = SCALE * count / np.repeat(words, np.diff(start))
+    value = (SCALE * count / np.repeat(words, np.diff(start))).astype(np.float32)
     least = max(LEAST_DOCUMENTS, LEAST_SHARE * len(words))
     frequent = np.flatnonzero(np.bincount(column, minlength=1 << WIDTH_BITS) >= least)
-    place = np.full(1 << WIDTH_BITS, -1)
-    place[frequent] = np.arange(len(frequent))
+    place = np.full(1 << WIDTH_BITS, -1, dtype=np.int32)
+    place[frequent] = np.arange(len(frequent), dtype=np.int32)
     kept = place[column] >= 0
     lengths = np.add.reduceat(np.append(kept, 0), np.minimum(start[:-1], len(kept))) * (np.diff(start) > 0)
     rows = Sparse(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), place[column[kept]], value[kept], len(frequent))
+    folds = mixed(sample["doc_id"].to_numpy().astype(np.uint64)) % np.uint64(FOLDS)
     toxic, junk = sample["toxic"].to_numpy().astype(float), sample["junk"].to_numpy().astype(float)
+    del sample, feature, n, column, count, value, kept  # only the kept columns stay in the driver's memory
     targets = np.column_stack([junk, toxic, severity(rows, toxic)])
-    folds = mixed(sample["doc_id"].to_numpy().astype(np.uint64)) % np.uint64(FOLDS)
     models = fit_chain(rows, targets, folds)
     weight = np.zeros((len(models), 1 << WIDTH_BITS), dtype=np.float32)
     earlier = np.zeros((len(models), len(models)))
