@@ -139,7 +139,8 @@ def read_records(index: DataFrame, folder: str, wanted: Column | None = None, pa
     """The records of the index rows that ``wanted`` selects, from the archives: ``RECORD`` and, if asked for, ``payload``.
 
     Index rows of a stretch of ``read_bytes`` of a file meet in a task, in file order; records less than ``read_gap`` apart are
-    fetched by one read. URL, length and digest of what was read are compared with the record's header; a difference is an error.
+    fetched by one read. Length and digest of a response are compared with its own header; a difference is an error. The URL and the
+    digest of the index are not compared with the record, and a revisit is compared with nothing.
     """
     chosen = index if wanted is None else index.where(wanted)
     ranges = (
