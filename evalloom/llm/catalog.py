@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from evalloom.llm import contamination, language, line_dedup, mixing, quality, simhash, substring, topk, toxicity, warc
+from evalloom.llm import contamination, filter_audit, language, line_dedup, mixing, quality, simhash, substring, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": simhash.op8_simhash,
     "op9_decontaminate": contamination.op9_decontaminate,
     "op10_substring_dedup": substring.op10_substring_dedup,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
@@ -29,4 +30,5 @@ ORACLES: dict[str, str] = {
     "op6_top_products": topk.SQL,
     "op9_decontaminate": contamination.SQL,
     "op10_substring_dedup": substring.SQL,
+    "op11_filter_audit": filter_audit.SQL,
 }

@@ -24,7 +24,7 @@ def test_sql(spark, name):
 
 def test_one_query_per_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES if n != "pipeline")
-    assert numbers == list(range(1, 11)) and "pipeline" in catalog.QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in catalog.QUERIES
 
 
 def test_entry_without_the_subpackage(tmp_path):
