@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from evalloom.llm import contamination, filter_audit, language, line_dedup, mixing, quality, simhash, substring, topk, toxicity, warc
+from evalloom.llm import (
+    contamination,
+    exact_dedup,
+    filter_audit,
+    language,
+    line_dedup,
+    mixing,
+    quality,
+    simhash,
+    substring,
+    topk,
+    toxicity,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -21,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": contamination.op9_decontaminate,
     "op10_substring_dedup": substring.op10_substring_dedup,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op13_exact_dedup": exact_dedup.op13_exact_dedup,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
@@ -31,4 +45,5 @@ ORACLES: dict[str, str] = {
     "op9_decontaminate": contamination.SQL,
     "op10_substring_dedup": substring.SQL,
     "op11_filter_audit": filter_audit.SQL,
+    "op13_exact_dedup": exact_dedup.SQL,
 }

@@ -14,6 +14,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(columns: list[str], *bases: str) -> list[str]:
+    """A name for each of ``bases`` that none of ``columns`` has, in any case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for base in bases:
+        name = f"_{base}"
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def word_count(text: Column | str) -> Column:
     """Number of words; 0 for null."""
     text = F.col(text) if isinstance(text, str) else text
