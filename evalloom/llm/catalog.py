@@ -20,6 +20,7 @@ from evalloom.llm import (
     topk,
     toxicity,
     warc,
+    whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": contamination.op9_decontaminate,
     "op10_substring_dedup": substring.op10_substring_dedup,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_whitening": whitening.op12_whitening,
     "op13_exact_dedup": exact_dedup.op13_exact_dedup,
     "pipeline": corpus_pipeline.run,
 }
