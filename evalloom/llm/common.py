@@ -44,6 +44,18 @@ def text_key(text: Column | str) -> Column:
     return F.xxhash64(text, text.isNull())
 
 
+def matched_rows(docs: DataFrame, decided: DataFrame, doc_id: str, text: str, how: str, once: bool = False) -> DataFrame:
+    """Rows of ``docs`` whose id and text are (``how`` is ``left_semi``) or are not (``left_anti``) in ``decided`` (``doc_id, text_key``).
+
+    All columns are kept, whatever their names. With ``once``, repeated rows of one id and text leave one of them.
+    """
+    mine, key, other, other_key = fresh(docs.columns, "id", "key", "other_id", "other_key")
+    keyed = docs.select("*", column(doc_id).cast("long").alias(mine), text_key(column(text)).alias(key))
+    listed = decided.select(F.col("doc_id").alias(other), F.col("text_key").alias(other_key)).distinct()
+    out = keyed.join(listed, F.col(mine).eqNullSafe(F.col(other)) & (F.col(key) == F.col(other_key)), how)
+    return (out.dropDuplicates([mine, key]) if once else out).drop(mine, key)
+
+
 # rows of a lookup table of short strings and numbers that may be broadcast: at most some ten MB
 LOOKUP_ROWS = 50_000
 SALTS = 32

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import table, text_key
+from evalloom.llm.common import column, fresh, table, text_key
 
 WINDOW = 3
 
@@ -19,8 +19,9 @@ def line_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     Lines end at a line feed. Documents of fewer lines than ``window``, and null texts, have no window.
     """
+    body = column(text)
     lines = docs.select(
-        F.col(doc_id).alias("doc_id"), text_key(text).alias("text_key"), F.split(F.col(text), "\n", -1).alias("lines")
+        column(doc_id).alias("doc_id"), text_key(body).alias("text_key"), F.split(body, "\n", -1).alias("lines")
     ).where(F.size("lines") >= window)
     hashed = lines.select(
         "doc_id", "text_key",
@@ -59,34 +60,42 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
 
     A line goes if any window covering it occurred before: in a document of smaller id (null ids come last), or earlier in
     its own. Rows with the same id and text count as one document and are treated alike, so a repeated row loses nothing to
-    its twin. Null texts stay null with 0 lines; a text whose lines all go becomes empty. All other columns are kept;
-    they may have any name but those two.
+    its twin. Null texts stay null with 0 lines; a text whose lines all go becomes empty. The work is linear in the lines of a
+    text. Columns of the two added names are replaced; all others are kept, whatever their names.
     """
+    columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed_lines")]
+    mine, key, other, other_key, starts, lines, begins, ends = fresh(
+        docs.columns, "id", "key", "other_id", "other_key", "starts", "lines", "begins", "ends"
+    )
     covered = (
         later_occurrences(line_windows(docs, doc_id, text, window))
-        .groupBy(F.col("doc_id").alias("_cut_id"), F.col("text_key").alias("_cut_key"))
-        .agg(F.collect_set("pos").alias("_starts"))
+        .groupBy(F.col("doc_id").alias(other), F.col("text_key").alias(other_key))
+        .agg(F.sort_array(F.collect_set("pos")).alias(starts))
+    )
+    whole = [column(c) for c in columns]
+    keyed = docs.select(*whole, column(doc_id).alias(mine), text_key(column(text)).alias(key))
+    same = F.col(mine).eqNullSafe(F.col(other)) & (F.col(key) == F.col(other_key))
+    at = F.col(starts)
+    # covered ranges: from a start that no earlier window reaches to the end of the last window before a gap
+    first = F.filter(at, lambda p, i: (i == 0) | (p > F.get(at, i - 1) + window))
+    last = F.filter(at, lambda p, i: F.coalesce(F.get(at, i + 1) > p + window, F.lit(True)))
+    split = F.split(column(text), "\n", -1)
+    cut = keyed.join(covered, same, "left").select(
+        *whole, split.alias(lines), first.alias(begins), F.transform(last, lambda p: p + window).alias(ends)
+    )
+    total = F.size(lines)
+    gaps = F.arrays_zip(
+        F.concat(F.array(F.lit(0)), F.col(ends)).alias("a"), F.concat(F.col(begins), F.array(total)).alias("b")
     )
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
-    keyed = docs.select(*columns).withColumn("_line_key", text_key(text))
-    joined = keyed.join(
-        covered,
-        F.col(doc_id).eqNullSafe(F.col("_cut_id")) & (F.col("_line_key") == F.col("_cut_key")),
-        "left",
+    kept = F.flatten(F.transform(gaps, lambda g: F.slice(F.col(lines), g["a"] + 1, g["b"] - g["a"])))
+    removed = F.aggregate(
+        F.zip_with(ends, begins, lambda e, b: (e - b).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x
     )
-    # the covered positions: each start reaches over the window
-    reach = F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.sequence(p, p + (window - 1)))))
-    cut = joined.withColumn("_covered", F.map_from_arrays(reach, F.transform(reach, lambda p: F.lit(True))))
-    lines = F.split(F.col(text), "\n", -1)
-    kept = F.filter(lines, lambda x, i: F.try_element_at(F.col("_covered"), i).isNull())
     return cut.select(
-        *[
-            F.when(F.col("_starts").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(c)
-            if c == text else F.col(c)
-            for c in columns
-        ],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.size(reach), F.lit(0)).cast("long").alias("n_removed_lines"),
+        *[F.when(F.col(begins).isNull(), c).otherwise(F.array_join(kept, "\n")).alias(name) if name == text else c
+          for c, name in zip(whole, columns)],
+        F.when(column(text).isNull(), 0).otherwise(total).cast("long").alias("n_lines"),
+        F.coalesce(removed, F.lit(0).cast("long")).alias("n_removed_lines"),
     )
 
 

@@ -38,6 +38,16 @@ def test_odd_rows(spark, documents):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_linear_in_the_lines_of_a_text(spark, documents):
+    """Two long texts; 200,000 lines took hours when every line searched the covered ones."""
+    long = "\n".join(f"line {i % 190_000}" for i in range(200_000))
+    rows = [(1, long), (2, "new\n" + long)]
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(documents(*rows)).collect()}
+    assert (out[1].n_lines, out[1].n_removed_lines) == (200_000, 10_000)
+    assert out[1].text == long[: long.rindex("\nline 189999") + 12]
+    assert out[2].text == "new" and out[2].n_removed_lines == 200_000
+
+
 def test_every_removed_line_survives_somewhere(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     before = {x for r in docs.collect() for x in r.text.split("\n")}
