@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evalloom.functions import tokens as tk
 from evalloom.operators import packing as pk
+from evalloom.operators import prefix_packing as pp
 from evalloom.operators.scale import positions
 from evalloom.plans import sqltext as q
 from evalloom.plans.catalog import query
@@ -265,7 +266,7 @@ def flat_blocks(t):
 WIDTH, THRESHOLD = 64, 100
 
 
-@query("fit_or_cut_blocks", "PCK-2", f"""with recursive d as (select doc_id // {WIDTH} shard, doc_id,
+SHARD_WALK = f"""d as (select doc_id // {WIDTH} shard, doc_id,
   octet_length(encode(text)) + 2 n, row_number() over (partition by doc_id // {WIDTH} order by doc_id) r from documents),
 walk as (select shard, r, doc_id, n, 0::bigint block, 0::bigint used from d where r = 1
   union all select d.shard, d.r, d.doc_id, d.n,
@@ -275,16 +276,58 @@ walk as (select shard, r, doc_id, n, 0::bigint block, 0::bigint used from d wher
       and least({BLOCK} - e % {BLOCK}, d.n - ({BLOCK} - e % {BLOCK})) < {THRESHOLD} then 0 else e % {BLOCK} end
   from (select shard, r, block * {BLOCK} + used + n e from walk) w join d on d.shard = w.shard and d.r = w.r + 1),
 parts as (select shard, doc_id, n, block * {BLOCK} + used s, unnest(range(block, (block * {BLOCK} + used + n - 1) // {BLOCK} + 1)) b
-  from walk)
-select shard, doc_id, b block_no, greatest(s, b * {BLOCK})::bigint - b * {BLOCK} as "at",
+  from walk),
+shard_fragments as (select shard, doc_id, b block_no, greatest(s, b * {BLOCK})::bigint - b * {BLOCK} as "at",
   greatest(s, b * {BLOCK})::bigint - s as start,
-  (least(s + n, (b + 1) * {BLOCK}) - greatest(s, b * {BLOCK}))::bigint length from parts""")
+  (least(s + n, (b + 1) * {BLOCK}) - greatest(s, b * {BLOCK}))::bigint length from parts)"""
+
+
+@query("fit_or_cut_blocks", "PCK-2", f"with recursive {SHARD_WALK} select * from shard_fragments")
 def fit_or_cut_blocks(t):
     plan = pk.fit_or_cut(t.documents, tk.wrapped_length("text"), BLOCK, THRESHOLD, WIDTH)
     return plan.select("shard", "doc_id", "block_no", long("at"), long("start"), long("length"))
 
 
-@query("fit_or_cut_tokens", "PCK-2 PCK-3")
+WALK = f"""d as (select doc_id, octet_length(encode(text)) + 2 n, row_number() over (order by doc_id) r from documents),
+walk as (select r, doc_id, n, 0::bigint block, 0::bigint used from d where r = 1
+  union all select d.r, d.doc_id, d.n,
+    case when e % {BLOCK} > 0 and d.n > {BLOCK} - e % {BLOCK}
+      and least({BLOCK} - e % {BLOCK}, d.n - ({BLOCK} - e % {BLOCK})) < {THRESHOLD} then e // {BLOCK} + 1 else e // {BLOCK} end,
+    case when e % {BLOCK} > 0 and d.n > {BLOCK} - e % {BLOCK}
+      and least({BLOCK} - e % {BLOCK}, d.n - ({BLOCK} - e % {BLOCK})) < {THRESHOLD} then 0 else e % {BLOCK} end
+  from (select r, block * {BLOCK} + used + n e from walk) w join d on d.r = w.r + 1),
+fragments as (select doc_id, b block_no, greatest(s, b * {BLOCK})::bigint - b * {BLOCK} as "at",
+  greatest(s, b * {BLOCK})::bigint - s as start, (least(s + n, (b + 1) * {BLOCK}) - greatest(s, b * {BLOCK}))::bigint length
+  from (select doc_id, n, block * {BLOCK} + used s,
+    unnest(range(block, (block * {BLOCK} + used + n - 1) // {BLOCK} + 1)) b from walk))"""
+
+
+@query("fit_or_cut_corpus", "PCK-2", f"""with recursive {WALK} select doc_id, block_no, "at", start, length from fragments""")
+def fit_or_cut_corpus(t):
+    """One sequence over the whole corpus: no block restarts at a shard."""
+    return pp.fit_or_cut_all(t.documents, tk.wrapped_length("text"), BLOCK, THRESHOLD)
+
+
+END_TOKEN = tk.SPECIAL_IDS["<|endoftext|>"]
+
+
+def block_summary_sql(fragments: str, keys: str) -> str:
+    """Token summary of padded blocks whose ``fragments`` are the columns of a query."""
+    return f"""placed as (select {keys}, "at" + p - start as g, token from ({WRAPPED}) w join {fragments} f
+  on w.doc_id = f.doc_id and w.p >= f.start and w.p < f.start + f.length),
+pads as (select {keys}, unnest(range(max(g) + 1, {BLOCK})) g, {END_TOKEN} token from placed group by {keys}),
+filled as (select {keys}, g, token from placed union all select {keys}, g, token from pads)
+select {keys}, count(*) n, sum(token)::bigint total, sum(token * (g % 997 + 1))::bigint weighted from filled group by {keys}"""
+
+
+@query("fit_or_cut_corpus_tokens", "PCK-2 PCK-3", f"""with recursive {WALK}, {block_summary_sql("fragments", "block_no")}""")
+def fit_or_cut_corpus_tokens(t):
+    docs = t.documents.select("doc_id", tk.wrap(tk.byte_tokens("text")).alias("tokens"), tk.wrapped_length("text").alias("n"))
+    placed = pp.fit_or_cut_all(docs, F.col("n"), BLOCK, THRESHOLD)
+    return token_summary(pp.whole_blocks(docs, placed, "tokens", BLOCK, END_TOKEN), "tokens", "block_no")
+
+
+@query("fit_or_cut_tokens", "PCK-2 PCK-3", f"""with recursive {SHARD_WALK}, {block_summary_sql("shard_fragments", "shard, block_no")}""")
 def fit_or_cut_tokens(t):
     docs = t.documents.select("doc_id", tk.wrap(tk.byte_tokens("text")).alias("tokens"), tk.wrapped_length("text").alias("n"))
     plan = pk.fit_or_cut(docs, F.col("n"), BLOCK, THRESHOLD, WIDTH)
