@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -16,7 +14,7 @@ from pyspark.sql import types as T
 
 from evalloom.functions.text import strip, substitute, words
 from evalloom.functions.textscore import bleu_stats, qa_normal, token_f1
-from evalloom.functions.wordhash import mixed
+from evalloom.operators.bootstrap import bootstrap_error
 from evalloom.operators.scale import lookup_sized
 
 NAN = float("nan")
@@ -219,20 +217,24 @@ def span_f1(df: DataFrame, key: list[str], gold: str, pred: str) -> DataFrame:
 # --- translation metrics ---------------------------------------------------------------------------------------------
 
 
-def corpus_bleu(df: DataFrame, pred: str, references: Column, group: list[str] | None = None, order: int = 4) -> DataFrame:
-    """BLEU in percent from summed n-gram counts; 0 when an order has no match."""
-    stats = df.select(*(group or []), bleu_stats(F.col(pred), references, order).alias("_x"))
-    sums = stats.groupBy(*(group or [])).agg(
-        F.sum("_x.test").alias("test"), F.sum("_x.ref").alias("ref"),
-        *[F.sum(F.col(f"_x.{x}")[n]).alias(f"{x}{n}") for x in ("guess", "correct") for n in range(order)],
-    )
+def bleu_terms(stats: str, order: int = 4) -> tuple[dict[str, Column], Column]:
+    """Terms of :func:`bleu_stats` whose sums suffice for corpus BLEU, and BLEU in percent as an expression of these sums.
+
+    It is 0 when an order has no match.
+    """
+    terms = {"test": F.col(f"{stats}.test"), "ref": F.col(f"{stats}.ref")}
+    terms |= {f"{c}{n}": F.col(f"{stats}.{c}")[n] for c in ("guess", "correct") for n in range(order)}
     logs = [F.log(F.try_divide(F.col(f"correct{n}"), F.col(f"guess{n}"))) for n in range(order)]
     penalty = F.least(F.lit(0.0), 1 - F.try_divide(F.col("ref"), F.col("test")))
-    some = [F.col(f"correct{n}") > 0 for n in range(order)]
-    every = some[0]
-    for s in some[1:]:
-        every = every & s
-    bleu = F.when(every, 100 * F.exp(sum(logs[1:], logs[0]) / order + penalty)).otherwise(0.0)
+    every = F.least(*[F.col(f"correct{n}") for n in range(order)]) > 0
+    return terms, F.when(every, 100 * F.exp(sum(logs[1:], logs[0]) / order + penalty)).otherwise(0.0)
+
+
+def corpus_bleu(df: DataFrame, pred: str, references: Column, group: list[str] | None = None, order: int = 4) -> DataFrame:
+    """BLEU in percent from summed n-gram counts."""
+    terms, bleu = bleu_terms("_x", order)
+    stats = df.select(*(group or []), bleu_stats(F.col(pred), references, order).alias("_x"))
+    sums = stats.groupBy(*(group or [])).agg(*[F.sum(c).alias(n) for n, c in terms.items()])
     return sums.select(*(group or []), bleu.alias("bleu"))
 
 
@@ -492,45 +494,8 @@ def treatment(column: str, reference: str, levels: list[str]) -> dict[str, Colum
     return {f"{column}={v}": (F.col(column) == v).cast("double") for v in levels if v != reference}
 
 
-# chances of at most 0, 1, 2... for a Poisson variable of mean 1
-POISSON_ONE = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
-
-
 def bootstrap_stderr(df: DataFrame, group: list[str], value: str, replicates: int = 1000, seed: int = 1234) -> DataFrame:
-    """Bootstrap standard error of the mean per group.
-
-    Equal values are combined first: the weight of a value seen ``c`` times is Poisson(c), the sum of its rows' Poisson(1)
-    weights. Tasks draw all replicates of many single values at once, as a matrix of hashed counters put through the Poisson
-    distribution, and emit partial sums per replicate.
-    """
-    counted = df.select(*group, F.col(value).cast("double").alias("_v")).where("_v is not null")
-    counted = counted.groupBy(*group, "_v").agg(F.count("*").alias("_c")).withColumn("_s", F.xxhash64(*group, "_v"))
-    schema = T.StructType(
-        [counted.schema[g] for g in group]
-        + [T.StructField("b", T.IntegerType()), T.StructField("w", T.DoubleType()), T.StructField("wx", T.DoubleType())]
-    )
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = batch.groupby(group, dropna=False, sort=False) if group else [((), batch)]
-            for key, rows in parts:
-                w, wx = np.zeros(replicates), np.zeros(replicates)
-                single = rows[rows["_c"] == 1]
-                for low in range(0, len(single), 256):
-                    part = single.iloc[low : low + 256]
-                    start = part["_s"].to_numpy().view(np.uint64)[:, None] + np.uint64(seed)
-                    counters = mixed(mixed(start) + np.arange(replicates, dtype=np.uint64)[None, :])
-                    drawn = np.searchsorted(POISSON_ONE, (counters >> np.uint64(11)) / 2.0**53, side="right")
-                    w += drawn.sum(axis=0)
-                    wx += part["_v"].to_numpy() @ drawn
-                rows = rows[rows["_c"] > 1]
-                for v, c, s in zip(rows["_v"], rows["_c"], rows["_s"], strict=True):
-                    drawn = np.random.default_rng([seed, int(s) & (2**63 - 1)]).poisson(c, replicates)
-                    w += drawn
-                    wx += drawn * v
-                named = dict(zip(group, key if isinstance(key, tuple) else (key,), strict=True))
-                yield pd.DataFrame({**named, "b": np.arange(replicates, dtype=np.int32), "w": w, "wx": wx})
-
-    sums = counted.mapInPandas(draw, schema).groupBy(*group, "b").agg(F.sum("w").alias("w"), F.sum("wx").alias("wx"))
-    means = sums.select(*group, F.try_divide("wx", "w").alias("m"))
-    return means.groupBy(*group).agg(F.stddev_samp("m").alias("bootstrap_stderr"), F.count("m").alias("replicates"))
+    """Bootstrap standard error of the mean per group; null values are left out."""
+    rows = df.where(F.col(value).isNotNull())
+    found = bootstrap_error(rows, group, {"x": F.col(value)}, F.try_divide("x", "weight"), replicates, seed)
+    return found.withColumnRenamed("stderr", "bootstrap_stderr")

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from evalloom.functions import textscore as ts
 from evalloom.functions.likelihood import argmax
+from evalloom.functions.textscore import bleu_stats
+from evalloom.functions.wordhash import BASE, STEP
 from evalloom.operators import aggregates as ag
+from evalloom.operators import bootstrap as bs
 from evalloom.operators.scale import exact_median
 from evalloom.plans import likelihood as lkq
 from evalloom.plans import sqltext as q
@@ -370,6 +373,72 @@ def bootstrap_stderr(t):
     )
 
 
+def weights_sql(key: str, replicates: int, rows: str) -> str:
+    """``rows`` times the replicates that draw them, with their weight ``w``: the hash of :mod:`evalloom.functions.wordhash`, step by step."""
+    word = "18446744073709551616::uhugeint"
+
+    def mixed(source: str) -> str:
+        for step in (
+            "xor(h, h >> 32)", f"((h::uhugeint * {int(STEP)}::uhugeint) % {word})::ubigint", "xor(h, h >> 29)",
+            f"((h::uhugeint * {int(BASE)}::uhugeint) % {word})::ubigint", "xor(h, h >> 32)",
+        ):
+            source = f"(select * exclude (h), {step} h from {source})"
+        return source
+
+    keyed = mixed(f"(select *, (({key}) + 1234)::ubigint h from {rows})")
+    drawn = mixed(f"(select * exclude (h), unnest(range(0, {replicates})) b, ((h::uhugeint + unnest(range(0, {replicates}))::uhugeint) % {word})::ubigint h from {keyed})")
+    steps = ", ".join(repr(float(x)) for x in bs.poisson_steps(1)[1])
+    return f"(select * exclude (h), len(list_filter([{steps}]::double[], lambda x: x <= (h >> 11)::double / 9007199254740992)) w from {drawn})"
+
+
+EVENT_ROWS = "(select event_type, event_id, value from events where value is not null)"
+
+
+@query("bootstrap_median", "AGG-32", f"""with d as materialized {weights_sql('event_id', 40, EVENT_ROWS)},
+c as (select event_type, b, value, sum(w) over (partition by event_type, b order by value, event_id) e, w,
+  sum(w) over (partition by event_type, b) n from d),
+m as (select event_type, b, avg(v) v from (
+  select event_type, b, value v from c where (n - 1) // 2 >= e - w and (n - 1) // 2 < e
+  union all select event_type, b, value from c where n // 2 >= e - w and n // 2 < e) group by 1, 2)
+select event_type, round(stddev_samp(v), 6) stderr, count(*) replicates from m group by 1""")
+def bootstrap_median(t):
+    out = bs.bootstrap_median(t.events, ["event_type"], "value", 40, key=F.col("event_id"))
+    return out.select("event_type", r6(F.col("stderr"), "stderr"), "replicates")
+
+
+LINE_KEY = "l_orderkey * 10 + l_linenumber"
+KEYED_FLAGS = FLAGS.replace("select l_linestatus", f"select {LINE_KEY} k, l_linestatus")
+
+
+@query("bootstrap_macro_f1", "AGG-32 AGG-7", f"""with d as materialized {weights_sql('k', 10, KEYED_FLAGS)},
+cells as (select s, b, c, sum(tp) tp, sum(fp) fp, sum(fn) fn from (
+  select s, b, g c, (g = p)::int * w tp, 0 fp, (g <> p)::int * w fn from d
+  union all select s, b, p, 0, (g <> p)::int * w, 0 from d) group by 1, 2, 3),
+m as (select s, b, avg(2.0::double * tp / (2 * tp + fp + fn)) v from cells where tp + fp + fn > 0 group by 1, 2)
+select s, round(stddev_samp(v), 6) stderr, count(*) replicates from m group by 1""")
+def bootstrap_macro_f1(t):
+    k = F.col("l_linenumber") % 3
+    p = F.when(k == 0, "A").when(k == 1, F.col("l_returnflag")).otherwise("N")
+    rows = t.lineitem.select(
+        F.col("l_linestatus").alias("s"), F.col("l_returnflag").alias("g"), p.alias("p"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"),
+    )
+    return bs.bootstrap_macro_f1(rows, ["s"], "g", "p", 10, key=F.col("k")).select("s", r6(F.col("stderr"), "stderr"), "replicates")
+
+
+@query("bootstrap_bleu", "AGG-32 AGG-12", f"""with d as materialized {weights_sql('conv_id * 1000 + turn', 30, f"(select * exclude (b), b b_words from {txq.BLEU_ROWS})")},
+r as (select b, sum(w * len(b_words))::double rf, {', '.join(f"sum(w * c{n})::double c{n}, sum(w * greatest(len(a) - {n - 1}, 0))::double g{n}" for n in range(1, 5))}
+  from d group by b),
+m as (select case when least(c1, c2, c3, c4) = 0 then 0 else 100 * exp((ln(c1 / g1) + ln(c2 / g2) + ln(c3 / g3) + ln(c4 / g4)) / 4 + least(0, 1 - rf / g1)) end v
+  from r where g1 > 0)
+select round(stddev_samp(v), 6) stderr, count(*) replicates from m""")
+def bootstrap_bleu(t):
+    terms, statistic = ag.bleu_terms("x")
+    rows = txq.pairs(t).select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), bleu_stats(F.col("p"), F.array("r")).alias("x"))
+    out = bs.bootstrap_error(rows, [], terms, statistic, 30, key=F.col("k"))
+    return out.select(r6(F.col("stderr"), "stderr"), "replicates")
+
+
 @query("documents_per_word", "AGG-33", """select w, count(distinct doc_id) n_docs from (select doc_id, unnest(string_split(lower(text), ' ')) w from documents) group by w""")
 def documents_per_word(t):
     pairs = t.documents.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
