@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalloom.functions.bloom import Bloom, bloom_of
 from evalloom.functions.text import let, ngrams, normal_words, plain_words
 from evalloom.functions.wordhash import pieces, run_hashes, words_of
 from evalloom.operators.scale import BROADCAST_ROWS, fits_broadcast, semi_join_sized
@@ -79,43 +80,69 @@ def hashed_postings(docs: DataFrame, n: int = NGRAM, text: str = "text", key: st
     return docs.select(plain_words(text).alias("text")).mapInArrow(run, "k1 long, k2 long")
 
 
-def gram_hashes(grams: list[str], n: int) -> np.ndarray:
-    """First hash of each n-gram, as :func:`hashed_postings` gives it; 0 for text that is not ``n`` words."""
-    out = np.zeros(len(grams), dtype=np.uint64)
-    for low, piece in pieces(pa.array(grams, pa.string())):
-        words = words_of(piece)
-        value, inside = run_hashes(words, n)
-        at = words.first[:-1]
-        whole = np.flatnonzero(np.diff(words.first) == n)
-        out[low + whole] = value[at[whole]]
-    return out
+def gram_keys(grams: DataFrame, n: int) -> DataFrame:
+    """``k1`` of each n-gram of ``ngram``, as :func:`hashed_postings` gives it; text that is not ``n`` words has no row."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, piece in pieces(batch.column(0)):
+                words = words_of(piece)
+                value, _ = run_hashes(words, n)
+                at = words.first[:-1][np.diff(words.first) == n]
+                yield pa.RecordBatch.from_arrays([pa.array(value[at].view(np.int64))], ["k1"])
+
+    return grams.select("ngram").mapInArrow(run, "k1 long").distinct()
+
+
+class Listed:
+    """Hashes that are known one by one; a small table of their low bits turns most others away."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.unique(keys)
+        self.may = np.zeros(1 << FILTER_BITS, dtype=bool)
+        self.may[self.keys & np.uint64((1 << FILTER_BITS) - 1)] = True
 
-def spelled_hits(docs: DataFrame, hashes: np.ndarray, n: int, text: str, keys: list[str], exact: set[bytes] | None = None) -> DataFrame:
-    """Distinct n-grams of each document whose hash is among ``hashes`` (and whose words are in ``exact``): ``keys..., ngram``.
+    def has(self, values: np.ndarray) -> np.ndarray:
+        out = self.may[values & np.uint64((1 << FILTER_BITS) - 1)]
+        at = np.flatnonzero(out)
+        if len(at):
+            place = np.minimum(np.searchsorted(self.keys, values[at]), len(self.keys) - 1)
+            out[at] = self.keys[place] == values[at]
+        return out
 
-    One pass over the words; only hits are spelled out. The hashes go to every task, so their size was checked before.
+
+def hash_filter(keys: DataFrame, max_keys: int = KEY_ROWS) -> Listed | Bloom:
+    """What tasks test the hashes ``k1`` with: the hashes themselves up to ``max_keys``, a Bloom filter of bounded size beyond.
+
+    Only hashes reach the driver, never n-grams.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((np.unique(hashes), exact))
+    keys = cut_lineage(keys)  # counted, then read once more
+    count = keys.count()
+    if count <= max_keys:
+        return Listed(keys.toArrow()["k1"].to_numpy().view(np.uint64))
+    return bloom_of(keys, "k1", count)
+
+
+def spelled_hits(docs: DataFrame, known: Listed | Bloom, n: int, text: str, keys: list[str]) -> DataFrame:
+    """Distinct n-grams of each document whose hash ``known`` lets pass: ``keys..., ngram``.
+
+    One pass over the words; only n-grams that pass are spelled out. The filter goes to every task and has a bounded size.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(known)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keys).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, exact = shared.value
-        mask = np.uint64((1 << FILTER_BITS) - 1)
-        may = np.zeros(1 << FILTER_BITS, dtype=bool)
-        may[known & mask] = True
+        known = shared.value
         for batch in batches:
             for low, piece in pieces(batch.column(len(keys))):
                 words = words_of(piece)
                 value, inside = run_hashes(words, n)
-                at = np.flatnonzero(may[value & mask] & inside)
-                place = np.searchsorted(known, value[at])
-                at = at[known[np.minimum(place, max(0, len(known) - 1))] == value[at]] if len(known) else at[:0]
+                at = np.flatnonzero(inside)
+                at = at[known.has(value[at])]
                 found = {}
                 for i in at.tolist():
                     gram = b" ".join(words.data[words.start[i] : words.end[i + n - 1]].tobytes().split())
-                    if exact is None or gram in exact:
-                        found[(int(words.doc[i]), gram)] = None
+                    found[(int(words.doc[i]), gram)] = None
                 rows = pa.array([low + doc for doc, _ in found], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(j).take(rows) for j in range(len(keys))], pa.array([g.decode() for _, g in found], pa.string())],
@@ -126,20 +153,15 @@ def spelled_hits(docs: DataFrame, hashes: np.ndarray, n: int, text: str, keys: l
 
 
 def frequent_ngrams(docs: DataFrame, n: int = NGRAM, more_than: int = MAX_DOCUMENTS, text: str = "text",
-                    key: str = "doc_id") -> DataFrame:
+                    key: str = "doc_id", max_keys: int = KEY_ROWS) -> DataFrame:
     """N-grams found in more than ``more_than`` documents, with the count.
 
     The first pass counts hashes (map-side combined) and keeps the frequent ones; the second spells out just those
     and counts them exactly.
     """
     likely = hashed_postings(docs, n, text, key).groupBy("k1").agg(F.count("*").alias("_c")).where(F.col("_c") > more_than)
-    # kept as a table: it is counted before it is broadcast, and the first pass over the corpus should run once
-    likely = cut_lineage(likely.select("k1"))
-    if fits_broadcast(likely, KEY_ROWS):
-        hashes = likely.toArrow()["k1"].to_numpy().view(np.uint64)
-        candidates = spelled_hits(docs, hashes, n, text, [key])
-    else:
-        candidates = distinct_postings(docs, n, text, [key])
+    # the filter keeps the hashes as a table, so the first pass over the corpus runs once
+    candidates = spelled_hits(docs, hash_filter(likely.select("k1"), max_keys), n, text, [key])
     return candidates.groupBy("ngram").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > more_than)
 
 
@@ -150,17 +172,15 @@ def eval_lookup(evals: DataFrame, n: int = NGRAM, text: str = "text",
 
 
 def matched_postings(docs: DataFrame, ngram_set: DataFrame, n: int = NGRAM, text: str = "text",
-                     keys: list[str] | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+                     keys: list[str] | None = None, max_rows: int = BROADCAST_ROWS, max_keys: int = KEY_ROWS) -> DataFrame:
     """Distinct n-grams of each document that are in ``ngram_set``: ``keys..., ngram``.
 
-    A set that fits a broadcast is compared in one vectorised pass, first by hash and then word by word. A larger one is joined.
+    One vectorised pass tests hashes; what passes is spelled out and compared word by word with the set. No other n-gram is spelled out
+    or shuffled, however large the set. n-grams of the set must have ``n`` words.
     """
     keys = keys or ["doc_id"]
-    grams = ngram_set.select("ngram").distinct()
-    if fits_broadcast(grams, max_rows):
-        listed = [r["ngram"] for r in grams.collect()]
-        return spelled_hits(docs, gram_hashes(listed, n), n, text, keys, {g.encode() for g in listed})
-    return semi_join_sized(distinct_postings(docs, n, text, keys), ngram_set, "ngram", F.struct(*keys), max_rows)
+    hits = spelled_hits(docs, hash_filter(gram_keys(ngram_set, n), max_keys), n, text, keys)
+    return semi_join_sized(hits, ngram_set, "ngram", F.struct(*keys), max_rows).select(*keys, "ngram")
 
 
 def train_overlap(train: DataFrame, evals: DataFrame, n: int = NGRAM, keys: tuple[str, ...] = ("task", "set", "item_id"),
