@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from evalloom.llm import contamination, mixing, toxicity
-from tests_llm_plain import plain_components, plain_contained, plain_removed_lines, plain_targets
+from tests_llm_plain import plain_contained, plain_kept, plain_removed_lines, plain_targets
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -40,8 +40,7 @@ def test_every_stage_on_its_own_input(spark, tmp_path):
                 kept = "\n".join(x for k, x in enumerate(r.text.split("\n")) if k not in removed[i])
                 assert (after[i].text, after[i].n_chars) == (kept, len(kept) if removed[i] else r.n_chars)
         elif name == "near dedup":
-            components = plain_components([(i, r.text) for i, r in before.items()])
-            assert set(after) == {component for _, _, component in components}
+            assert set(after) == set(plain_kept([(i, r.text) for i, r in before.items()]))
         elif name == "decontamination":
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
             dirty = {d for d, *_ in plain_contained([(i, r.text) for i, r in before.items()], items)}
@@ -72,3 +71,21 @@ def test_stages_keep_clean_documents_and_other_columns(spark, documents):
     assert contamination.drop_contaminated(docs, items).count() == 3
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns[: len(docs.columns)] == docs.columns
+
+
+def test_clashing_columns_in_every_stage(spark, documents, tmp_path):
+    """Columns named like helpers of the stages, and a dotted one, come out as they went in."""
+    text = "\n".join(" ".join(f"w{i}x{k}" for k in range(30)) for i in range(6))
+    names = [
+        "_line_key", "_covered", "_starts", "_cut_id", "_near_key", "_mix_text", "_text_key", "_id", "_key", "_other_key", "_dirty_id",
+        "_keep_id", "_lines", "a.b", "node", "key", "_lang",
+    ]
+    docs = documents((1, text, "s"), (2, None, None), (3, "short", "s"), (3, "short", "s"), (4, "a\nb\nc\na\nb\nc", "s"))
+    docs = docs.select("*", *[F.concat(F.lit("mine "), "doc_id").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES:
+        rows = docs.withColumn("mix_size", F.lit(-1)) if name == "mixing" else docs
+        out = stage(spark, rows, FOLDER)
+        out.write.parquet(str(tmp_path / name))
+        assert out.columns[: len(docs.columns)] == docs.columns and len({c.lower() for c in out.columns}) == len(out.columns)
+        for row in spark.read.parquet(str(tmp_path / name)).collect():
+            assert all(row[n] == f"mine {row.doc_id}" for n in names), (name, row)
