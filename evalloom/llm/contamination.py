@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.functions.wordhash import pieces, run_hashes, words_of
-from evalloom.llm.common import table, text_key
+from evalloom.llm.common import column, matched_rows, table, text_key
 from evalloom.session import cut_lineage
 
 SHINGLE = 5
@@ -193,9 +193,9 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     after their bytes were counted; beyond ``broadcast_bytes`` the same pairs come from joins.
     """
     bodies = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), text_key(text).alias("text_key"), F.lower(F.col(text)).alias("text")
+        column(doc_id).cast("long").alias("doc_id"), text_key(column(text)).alias("text_key"), F.lower(column(text)).alias("text")
     )
-    tests = items.select(F.col(item_id).cast("long").alias("item_id"), F.lower(F.col(item_text)).alias("text"))
+    tests = items.select(column(item_id).cast("long").alias("item_id"), F.lower(column(item_text)).alias("text"))
     size = tests.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     if size <= broadcast_bytes:
         listed = [(r["item_id"], r["text"]) for r in tests.where("text is not null").collect()]
@@ -206,15 +206,11 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that contain an item; all columns are kept."""
-    dirty = (
-        contained_items(docs, items, doc_id, text, **options)
-        .select(F.col("doc_id").alias("_dirty_id"), F.col("text_key").alias("_dirty_key"))
-        .distinct()
-    )
-    keyed = docs.withColumn("_text_key", text_key(text))
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_dirty_id")) & (F.col("_text_key") == F.col("_dirty_key"))
-    return keyed.join(dirty, same, "left_anti").drop("_text_key")
+    """``docs`` without the rows that contain an item; all columns are kept, whatever their names.
+
+    Rows of one id and text go or stay together; null and empty texts, and all rows if there are no items, stay.
+    """
+    return matched_rows(docs, contained_items(docs, items, doc_id, text, **options), doc_id, text, "left_anti")
 
 
 SQL = r"""

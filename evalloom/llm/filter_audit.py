@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import SPACE, table
+from evalloom.llm.common import SPACE, column, table
 
 LEAST_WORDS = 100
 LEAST_DISTINCT = 80  # percent of the words
@@ -45,9 +45,9 @@ def failure_masks(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     join back has one row per text on one side, so Spark splits a text of very many rows. Null and empty texts are one text. Rows without
     id never fail E and make no other row fail; they have no labels. Of several labels of an id, any 1 counts.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(column(text), F.lit(""))
     own = docs.select(
-        F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), body.alias("text")
+        column(doc_id).cast("long").alias("id"), F.coalesce(column(part).cast("string"), F.lit("")).alias("part"), body.alias("text")
     )
     hashes = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), F.col("text")).alias("h2")]
     repeated = (

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalloom.functions.wordhash import pieces
-from evalloom.llm.common import held_out, table, uniform
+from evalloom.llm.common import column, held_out, table, uniform
 
 HIDDEN = 8  # units of each direction
 SEGMENT = 64  # bytes
@@ -208,9 +208,9 @@ def raw_bytes(piece: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def with_letters(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``doc_id, letters, text``: lower-cased text, and whether it has a letter."""
     return docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"),
-        F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"),
-        F.lower(F.col(text)).alias("text"),
+        column(doc_id).cast("long").alias("doc_id"),
+        F.coalesce(column(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"),
+        F.lower(column(text)).alias("text"),
     )
 
 
@@ -221,13 +221,13 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     Of a document at most ``SEGMENTS`` segments are drawn, so what reaches the driver is bounded whatever the texts.
     """
     keys = docs.select(
-        F.col(doc_id).cast("long").alias("_id"), F.col(lang).cast("string").alias("_lang"),
-        F.col(text).rlike(r"\p{L}").alias("_letters"),
+        column(doc_id).cast("long").alias("_id"), column(lang).cast("string").alias("_lang"),
+        column(text).rlike(r"\p{L}").alias("_letters"),
     ).where("_id is not null and _lang is not null and _letters").drop("_letters").where(~held_out("_id"))
     by_draw = W.partitionBy("_lang").orderBy(uniform("_id", SEED), "_id")
     drawn = keys.withColumn("_n", F.row_number().over(by_draw)).where(F.col("_n") <= documents).select("_id", "_lang")
     drawn = drawn.dropDuplicates(["_id"])  # one label for an id that is repeated
-    bodies = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lower(F.col(text)).alias("text"))
+    bodies = docs.select(column(doc_id).cast("long").alias("doc_id"), F.lower(column(text)).alias("text"))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

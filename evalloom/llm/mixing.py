@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import LOOKUP_ROWS, SPACE, join_lookup, table, text_key, uniform, word_count
+from evalloom.llm.common import LOOKUP_ROWS, SPACE, column, fresh, join_lookup, table, text_key, uniform, word_count
 from evalloom.session import cut_lineage
 
 WEIGHTS = (3, 1, 2)  # of the sources in code point order, repeating
@@ -68,9 +68,9 @@ def sized_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     weight = quality_weight(text)
     return docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"),
-        text_key(text).alias("text_key"),
-        F.col(source).cast("string").alias("source"),
+        column(doc_id).cast("long").alias("doc_id"),
+        text_key(column(text)).alias("text_key"),
+        column(source).cast("string").alias("source"),
         word_count(text).alias("size"),
         weight.alias("weight"),
         (-F.log(uniform(doc_id, seed)) / weight).alias("key"),
@@ -128,21 +128,24 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mixture: rows of ``docs`` that give words, with ``mix_size`` and ``mix_taken`` added.
 
     Rows with the same id and text share one decision if they draw alike, so their words are summed over the repeats and
-    each row carries the mean of its repeats rounded down.
+    each row carries the mean of its repeats rounded down. Columns of these two names are replaced; others are kept, whatever their names.
     """
     doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
+    kept = [c for c in docs.columns if c.lower() not in ("mix_size", "mix_taken")]
+    mine, key, other, other_key = fresh([*docs.columns, "mix_size", "mix_taken"], "id", "key", "other_id", "other_key")
     chosen = (
         mix_sources(docs, **options)
-        .groupBy(F.col("doc_id").alias("_mix_id"), F.col("text_key").alias("_mix_key"))
+        .groupBy(F.col("doc_id").alias(other), F.col("text_key").alias(other_key))
         .agg(
             F.max("size").alias("mix_size"),
             F.floor(F.sum("taken") / F.count("*")).cast("long").alias("mix_taken"),
         )
         .where("mix_taken > 0")
     )
-    keyed = docs.withColumn("_mix_text", text_key(text))
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_text") == F.col("_mix_key"))
-    return keyed.join(chosen, same).drop("_mix_id", "_mix_key", "_mix_text")
+    columns = [column(c) for c in kept]
+    keyed = docs.select(*columns, column(doc_id).cast("long").alias(mine), text_key(column(text)).alias(key))
+    same = F.col(mine).eqNullSafe(F.col(other)) & (F.col(key) == F.col(other_key))
+    return keyed.join(chosen, same).select(*columns, "mix_size", "mix_taken")
 
 
 def words_taken(text: Column | str, size: Column | str, taken: Column | str) -> Column:

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import held_out, table, uniform
+from evalloom.llm.common import column, held_out, table, uniform
 from evalloom.llm.linear import sigmoid
 
 CHUNK = 2048  # bytes compressed at once
@@ -120,7 +120,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     draw = uniform("_id", SEED)
     parts = [marked.where(F.col("quality") == v).orderBy(draw, "_id").limit(sample_documents) for v in (0, 1)]
     drawn = parts[0].unionByName(parts[1]).dropDuplicates(["_id"]).withColumn("fits", uniform("_id", SEED + 1) < 0.5)
-    bodies = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    bodies = docs.select(column(doc_id).cast("long").alias("doc_id"), column(text).alias("text"))
     chosen = bodies.join(F.broadcast(drawn), bodies["doc_id"] == drawn["_id"]).where("text is not null")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +167,7 @@ def score_quality(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: s
             score = np.round(model.score(features(batch.column(1).to_pylist(), model.good, model.bad)), 6)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(column(doc_id).cast("long").alias("doc_id"), column(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double")
 
 

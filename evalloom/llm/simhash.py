@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import table, text_key
+from evalloom.llm.common import column, matched_rows, table, text_key
 from evalloom.llm.components import components, local_forest
 from evalloom.session import cut_lineage
 
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
                 [batch.column(0), batch.column(1), pa.array(values, pa.int64())], ["doc_id", "text_key", "fp"]
             )
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(text).alias("text_key"), F.col(text).alias("text"))
+    rows = docs.select(column(doc_id).cast("long").alias("doc_id"), text_key(column(text)).alias("text_key"), column(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
@@ -275,22 +275,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one of smallest id.
+    """``docs`` with one document of each component: the one of smallest id. For users of fingerprints; the pipeline compares shingles.
 
     Repeated rows leave one; of rows that share that id but not the text, the one of smallest text key stays. A component
-    without ids leaves one row. All columns are kept.
+    without ids leaves one row. All columns are kept, whatever their names.
     """
     found = near_duplicates(docs, doc_id, text)
     first = (
-        found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("_group"))
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")).alias("_first"))
-        .select(F.col("_first.doc_id").alias("_keep_id"), F.col("_first.text_key").alias("_keep_key"))
+        found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")).alias("first"))
     )
-    columns = docs.columns
-    keyed = docs.withColumn("_near_key", text_key(text))
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_keep_id")) & (F.col("_near_key") == F.col("_keep_key"))
-    kept = keyed.join(first, same, "left_semi")
-    return kept.dropDuplicates([doc_id, "_near_key"]).select(*columns)
+    return matched_rows(docs, first.select("first.doc_id", "first.text_key"), doc_id, text, "left_semi", once=True)
 
 
 def op8_simhash(spark, sf_dir):

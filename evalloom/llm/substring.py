@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.functions.wordhash import Words, mixed, pieces, run_hashes, words_of
-from evalloom.llm.common import table, text_key
+from evalloom.llm.common import column, table, text_key
 from evalloom.llm.fm_index import FMIndex
 from evalloom.session import cut_lineage
 
@@ -276,8 +276,8 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     shorter than a window lose nothing. Only the two named columns are read.
     """
     rows = docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("did"), text_key(text).alias("text_key"),
-        F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"),
+        F.coalesce(column(doc_id).cast("long"), F.lit(LAST)).alias("did"), text_key(column(text)).alias("text_key"),
+        column(text).alias("text"), column(doc_id).cast("long").alias("doc_id"),
     )
     covered = covered_windows(rows.select("did", "text_key", "text"), **options)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.functions.wordhash import Words, mixed, pieces, powers, words_of
-from evalloom.llm.common import table, text_key, uniform
+from evalloom.llm.common import column, matched_rows, table, text_key, uniform
 from evalloom.llm.contamination import NEUTRAL
 from evalloom.llm.linear import Sparse, fit, sigmoid
 
@@ -83,7 +83,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
                         ["doc_id", "junk", "toxic", "n_words", "feature", "n"],
                     )
 
-    bodies = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lower(F.col(text)).alias("text"))
+    bodies = docs.select(column(doc_id).cast("long").alias("doc_id"), F.lower(column(text)).alias("text"))
     return (
         bodies.join(F.broadcast(drawn), bodies["doc_id"] == drawn["_id"])
         .where("text is not null")
@@ -189,7 +189,7 @@ def score_documents(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text:
                 )
 
     rows = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), text_key(text).alias("text_key"), F.lower(F.col(text)).alias("text")
+        column(doc_id).cast("long").alias("doc_id"), text_key(column(text)).alias("text_key"), F.lower(column(text)).alias("text")
     )
     return rows.mapInArrow(run, "doc_id long, text_key long, " + ", ".join(f"{c} double" for c in columns))
 
@@ -207,16 +207,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without the rejected rows; all columns are kept."""
-    rejected = (
-        toxicity(docs, labels, doc_id, text, **options)
-        .where("rejected")
-        .select(F.col("doc_id").alias("_toxic_id"), F.col("text_key").alias("_toxic_key"))
-        .distinct()
-    )
-    keyed = docs.withColumn("_text_key", text_key(text))
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_toxic_id")) & (F.col("_text_key") == F.col("_toxic_key"))
-    return keyed.join(rejected, same, "left_anti").drop("_text_key")
+    """``docs`` without the rejected rows; all columns are kept, whatever their names. See :func:`toxicity` for nulls and repeats."""
+    rejected = toxicity(docs, labels, doc_id, text, **options).where("rejected")
+    return matched_rows(docs, rejected, doc_id, text, "left_anti")
 
 
 def op4_toxicity(spark, sf_dir):
