@@ -62,6 +62,11 @@ def with_record_types(pages: DataFrame, page_id: str = "page_id", url: str = "ur
     )
 
 
+def header_url(url: str | None) -> str | None:
+    """The URL as a header can hold it."""
+    return None if url is None else quote(url, safe="".join(map(chr, range(33, 127))).replace("%", ""))
+
+
 def record_bytes(page_id, url, payload: bytes, size: int, digest: str, kind: str, refers_to) -> bytes:
     """One WARC/1.1 record as a gzip member. Ids travel as extension fields; null fields are left out."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
@@ -71,7 +76,7 @@ def record_bytes(page_id, url, payload: bytes, size: int, digest: str, kind: str
         ("WARC-Type", kind),
         ("WARC-Record-ID", f"<urn:uuid:{name}>"),
         ("WARC-Date", DATE),
-        ("WARC-Target-URI", None if url is None else quote(url, safe="".join(map(chr, range(33, 127))).replace("%", ""))),
+        ("WARC-Target-URI", header_url(url)),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("X-Payload-Length", size),
         ("X-Page-ID", page_id),
@@ -139,12 +144,12 @@ def read_records(index: DataFrame, folder: str, wanted: Column | None = None, pa
     """The records of the index rows that ``wanted`` selects, from the archives: ``RECORD`` and, if asked for, ``payload``.
 
     Index rows of a stretch of ``read_bytes`` of a file meet in a task, in file order; records less than ``read_gap`` apart are
-    fetched by one read. Length and digest of a response are compared with its own header; a difference is an error. The URL and the
-    digest of the index are not compared with the record, and a revisit is compared with nothing.
+    fetched by one read. Id, URL, digest, size, type and reference of the index row are compared with the record's header, and a response's
+    digest and length with its payload; a difference is an error.
     """
     chosen = index if wanted is None else index.where(wanted)
     ranges = (
-        chosen.select("file", "offset", "length")
+        chosen.select("file", "offset", "length", "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
         .withColumn("stretch", F.floor(F.col("offset") / read_bytes))
         .repartition("file", "stretch")
         .sortWithinPartitions("file", "offset")
@@ -153,13 +158,13 @@ def read_records(index: DataFrame, folder: str, wanted: Column | None = None, pa
     names = [c.split()[0] for c in RECORD.split(", ")] + ["payload"] * payloads
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.binary()] * payloads
 
-    def fetch(system, base: str, group: list[tuple[str, int, int]]) -> pa.RecordBatch:
-        name, start, _ = group[0]
-        stop = max(o + n for _, o, n in group)
+    def fetch(system, base: str, group: list[tuple]) -> pa.RecordBatch:
+        name, start = group[0][:2]
+        stop = max(row[1] + row[2] for row in group)
         with system.open_input_file(f"{base}/{name}") as source:
             data = source.read_at(stop - start, start)
         rows = []
-        for _, offset, length in group:
+        for _, offset, length, *listed in group:
             fields, payload = parse_record(data[offset - start : offset - start + length])
             digest, size = fields["WARC-Payload-Digest"].removeprefix("sha256:"), int(fields["X-Payload-Length"])
             kind = fields["WARC-Type"]
@@ -169,24 +174,28 @@ def read_records(index: DataFrame, folder: str, wanted: Column | None = None, pa
                     raise ValueError(f"{name} at {offset}: the payload is not the one that was written")
                 digest, size = found, len(payload)
             page, other = fields.get("X-Page-ID"), fields.get("X-Refers-To-Page-ID")
-            rows.append((
+            record = (
                 None if page is None else int(page), fields.get("WARC-Target-URI"), size, digest, kind,
-                None if other is None else int(other), *([payload] if payloads else []),
-            ))
+                None if other is None else int(other),
+            )
+            if record != (listed[0], header_url(listed[1]), *listed[2:]):
+                raise ValueError(f"{name} at {offset}: the record is not the one of the index")
+            rows.append((*record, *([payload] if payloads else [])))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = pafs.FileSystem.from_uri(folder)
-        group: list[tuple[str, int, int]] = []
+        group: list[tuple] = []
         for batch in batches:
-            for name, offset, length in zip(*[c.to_pylist() for c in batch.columns]):
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                name, offset, length = row[:3]
                 if group:
                     first, last = group[0], group[-1]
                     near = offset - (last[1] + last[2]) <= read_gap and offset + length - first[1] <= read_bytes
                     if name != first[0] or not near:
                         yield fetch(system, base, group)
                         group = []
-                group.append((name, offset, length))
+                group.append(row)
         if group:
             yield fetch(system, base, group)
 

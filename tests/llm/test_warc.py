@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from evalloom.llm import warc
@@ -67,3 +68,15 @@ def test_record_is_a_gzip_member_of_its_own():
     assert text.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and text.endswith(b"body\r\n\r\n")
     fields, payload = warc.parse_record(member)
     assert payload == b"body" and fields["X-Page-ID"] == "3"
+
+
+def test_swapped_index_rows_are_found(spark):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"page {i}") for i in range(4)], "page_id long, url string, html string")
+    folder = warc.qualified(spark, warc.run_dir(spark, "warc"))
+    index = warc.write_archives(warc.with_record_types(pages), folder)
+    assert warc.read_records(index, folder).count() == 4
+    for name in ("page_id", "url", "payload_digest", "payload_bytes", "record_type", "refers_to"):
+        value = F.lit("other") if dict(index.dtypes)[name] == "string" else F.lit(77).cast("long")
+        wrong = index.withColumn(name, F.when(F.col("page_id") == 2, value).otherwise(F.col(name)))
+        with pytest.raises(Exception, match="not the one of the index"):
+            warc.read_records(wrong, folder).collect()
