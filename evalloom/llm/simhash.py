@@ -247,8 +247,11 @@ def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE, run_length:
                 left, right = local_forest(np.concatenate(a), np.concatenate(b))
                 yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], ["a", "b"])
 
+    # only block numbers meet under a key; the blocks themselves are fetched for each pair
+    numbers = parts.select("key", "block")
+    listed = numbers.join(numbers.withColumnRenamed("block", "block2"), "key").where("block <= block2")
     other = parts.select("key", F.col("block").alias("block2"), F.col("packed").alias("packed2"))
-    pairs = parts.join(other, "key").where("block <= block2").select("packed", "packed2")
+    pairs = listed.join(parts, ["key", "block"]).join(other, ["key", "block2"]).select("packed", "packed2")
     return links.unionByName(pairs.repartition(F.xxhash64("packed", "packed2")).mapInArrow(compare, "a long, b long"))
 
 
