@@ -7,7 +7,7 @@ A shard builds a compressed FM-index of its segments and streams them through ba
 matches over all its words gives the smallest id of a document that holds it. Documents take these intervals back by
 segment and lose the words that they cover.
 
-Repeated anchors travel as a bitmap of fixed size; a false bit only sends more segments to the shards, where words are compared.
+Repeated anchors travel as a bitmap sized for their number, up to a bound; a false bit only sends more segments to the shards, where words are compared.
 A second one tells which documents lose words, so that only their texts are shuffled for the removal. Anchors of very many
 documents are split: their segments become single windows, which go by the hash of the window.
 """
@@ -31,7 +31,8 @@ from evalloom.session import cut_lineage
 
 WINDOW = 13
 SHINGLE = 5
-BITS = 28  # of the bitmap of repeated anchors: 32 MB
+BITS = 30  # of the bitmap of repeated anchors at most: 128 MB
+BITS_PER_ANCHOR = 16  # that it is sized for
 COUNTED_BITS = 40  # of an anchor that are counted; those of the bitmap are the lowest of them
 DOCUMENT_BITS = 26  # of the bitmap of documents that lose words: 8 MB
 SLICE_BITS = 18  # of one row of it
@@ -126,16 +127,17 @@ def collect_bitmaps(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray,
     return maps[0], maps[1], total
 
 
-def anchor_bitmaps(anchors: DataFrame, bits: int, hot: int) -> tuple[bytes, bytes, int]:
-    """Deflated bitmaps of the anchors in several documents, and of the hot ones; and the number of the former.
+def anchor_bitmaps(anchors: DataFrame, bits: int, hot: int) -> tuple[bytes, bytes, int, int]:
+    """Deflated bitmaps of the anchors in several documents, and of the hot ones; the number of the former, and the bits of their map.
 
     There are few hot anchors, so their bitmap is folded to ``HOT_BITS``.
     """
-    repeated = anchors.where("low < high")
+    repeated = cut_lineage(anchors.where("low < high").select("anchor", "n"))  # counted, then marked
+    bits = min(bits, max(HOT_BITS, (BITS_PER_ANCHOR * repeated.count()).bit_length()))
     bit = F.col("anchor").bitwiseAND(F.lit((1 << bits) - 1))
     every, some, total = collect_bitmaps(repeated.select(bit.alias("bit"), (F.col("n") > hot).alias("hot")), bits)
     folded = np.bitwise_or.reduce(some.reshape(-1, 1 << (min(HOT_BITS, bits) - 3)), axis=0)
-    return zlib.compress(every.tobytes(), 1), zlib.compress(folded.tobytes(), 1), total
+    return zlib.compress(every.tobytes(), 1), zlib.compress(folded.tobytes(), 1), total, bits
 
 
 def document_bit(bits: int):
@@ -243,7 +245,7 @@ def shard_lows(distinct: DataFrame, shards: int) -> DataFrame:
 
 def covered_windows(docs: DataFrame, bits: int = BITS, hot: int = HOT, shard_anchors: int = SHARD_ANCHORS) -> DataFrame | None:
     """``did, text_key, starts``: the first words of the windows that a document of smaller id holds too; None without any."""
-    repeated, hots, total = anchor_bitmaps(anchor_counts(docs), bits, hot)
+    repeated, hots, total, bits = anchor_bitmaps(anchor_counts(docs), bits, hot)
     if not total:
         return None
     shared = docs.sparkSession.sparkContext.broadcast((repeated, hots))
@@ -257,7 +259,7 @@ def covered_windows(docs: DataFrame, bits: int = BITS, hot: int = HOT, shard_anc
         F.transform("lows", lambda low, i: F.when(low < F.col("did"), F.col("pos") + i)), lambda p: p.isNotNull()
     )
     hits = places.join(lows, ["h1", "h2"]).select("did", "text_key", starts.alias("starts")).where(F.size("starts") > 0)
-    return cut_lineage(hits.groupBy("did", "text_key").agg(F.flatten(F.collect_list("starts")).alias("starts")))
+    return cut_lineage(hits.groupBy("did", "text_key").agg(F.flatten(F.collect_set("starts")).alias("starts")))
 
 
 def removed_words(n_words: int, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
