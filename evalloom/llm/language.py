@@ -17,7 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalloom.functions.wordhash import pieces
-from evalloom.llm.common import column, held_out, table, uniform
+from evalloom.llm.common import LOOKUP_ROWS, column, held_out, join_lookup, table, uniform
+from evalloom.session import cut_lineage
 
 HIDDEN = 8  # units of each direction
 SEGMENT = 64  # bytes
@@ -224,9 +225,15 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         column(doc_id).cast("long").alias("_id"), column(lang).cast("string").alias("_lang"),
         column(text).rlike(r"\p{L}").alias("_letters"),
     ).where("_id is not null and _lang is not null and _letters").drop("_letters").where(~held_out("_id"))
+    keys = cut_lineage(keys)  # small rows, read twice
+    # a draw below this leaves some more than `documents` rows of a language, so that its window is small however many there are
+    enough = documents + 8 * documents**0.5 + 64
+    counts = cut_lineage(keys.groupBy("_lang").agg(F.count("*").alias("_rows")))
+    near = join_lookup(keys, counts, "_lang", F.col("_id")).where(uniform("_id", SEED) * F.col("_rows") <= enough)
     by_draw = W.partitionBy("_lang").orderBy(uniform("_id", SEED), "_id")
-    drawn = keys.withColumn("_n", F.row_number().over(by_draw)).where(F.col("_n") <= documents).select("_id", "_lang")
-    drawn = drawn.dropDuplicates(["_id"])  # one label for an id that is repeated
+    drawn = near.withColumn("_n", F.row_number().over(by_draw)).where(F.col("_n") <= documents).select("_id", "_lang")
+    drawn = cut_lineage(drawn.groupBy("_id").agg(F.min("_lang").alias("_lang")))  # of several labels of an id the smallest
+    drawn = F.broadcast(drawn) if drawn.count() <= LOOKUP_ROWS else drawn
     bodies = docs.select(column(doc_id).cast("long").alias("doc_id"), F.lower(column(text)).alias("text"))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +254,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
                     )
 
     sample = (
-        bodies.join(F.broadcast(drawn), bodies["doc_id"] == drawn["_id"])  # at most `documents` ids of each language
+        bodies.join(drawn, bodies["doc_id"] == drawn["_id"])
         .where("text is not null")
         .select("doc_id", "_lang", "text")
         .mapInArrow(draw, "doc_id long, lang string, symbols binary")

@@ -119,7 +119,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     )
     draw = uniform("_id", SEED)
     parts = [marked.where(F.col("quality") == v).orderBy(draw, "_id").limit(sample_documents) for v in (0, 1)]
-    drawn = parts[0].unionByName(parts[1]).dropDuplicates(["_id"]).withColumn("fits", uniform("_id", SEED + 1) < 0.5)
+    both = parts[0].unionByName(parts[1]).groupBy("_id").agg(F.min("quality").alias("quality"))  # of several labels the smaller
+    drawn = both.withColumn("fits", uniform("_id", SEED + 1) < 0.5)
     bodies = docs.select(column(doc_id).cast("long").alias("doc_id"), column(text).alias("text"))
     chosen = bodies.join(F.broadcast(drawn), bodies["doc_id"] == drawn["_id"]).where("text is not null")
 

@@ -67,7 +67,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
     ).where("_id is not null and toxic in (0, 1)")
     draw = uniform("_id", SEED)
     parts = [marked.where(F.col("toxic") == v).orderBy(draw, "_id", "junk").limit(rows[v]) for v in (0, 1)]
-    drawn = parts[0].unionByName(parts[1]).dropDuplicates(["_id"])  # bounded by sum(rows), and narrow
+    both = parts[0].unionByName(parts[1])  # bounded by sum(rows), and narrow
+    # of several labels of an id the smallest
+    drawn = both.groupBy("_id").agg(F.min(F.struct("toxic", "junk")).alias("y")).select("_id", "y.junk", "y.toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,16 +124,23 @@ def fit_chain(rows: Sparse, targets: np.ndarray, folds: np.ndarray) -> list:
     return models
 
 
-def severity(rows: Sparse, toxic: np.ndarray) -> np.ndarray:
-    """Toxic rows whose share of marker features is at least the median of the toxic rows."""
-    totals = [rows.back(toxic), rows.back(1.0 - toxic)]
+def severity(rows: Sparse, toxic: np.ndarray, folds: np.ndarray) -> np.ndarray:
+    """Toxic rows whose share of marker features is at least the median of the toxic rows.
+
+    Markers and median of a fold come from the other folds, so the target of a row does not depend on its own label and features alone.
+    """
+    out = np.zeros(len(toxic))
     smooth = 0.5 * SCALE / 100
-    share = [(t + smooth / max(1, rows.width)) / (t.sum() + smooth) for t in totals]
-    marker = (share[0] >= MARKER_ODDS * share[1]).astype(float)
-    density = rows.dot(marker)
-    if not toxic.any():
-        return np.zeros(len(toxic))
-    return ((toxic == 1) & (density >= np.median(density[toxic == 1]))).astype(float)
+    for fold in np.unique(folds):
+        others = folds != fold
+        totals = [rows.back(toxic * others), rows.back((1.0 - toxic) * others)]
+        share = [(t + smooth / max(1, rows.width)) / (t.sum() + smooth) for t in totals]
+        density = rows.dot((share[0] >= MARKER_ODDS * share[1]).astype(float))
+        known = density[others & (toxic == 1)]
+        if len(known):
+            mine = ~others & (toxic == 1)
+            out[mine] = density[mine] >= np.median(known)
+    return out
 
 
 def train_chain(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -155,7 +164,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     folds = mixed(sample["doc_id"].to_numpy().astype(np.uint64)) % np.uint64(FOLDS)
     toxic, junk = sample["toxic"].to_numpy().astype(float), sample["junk"].to_numpy().astype(float)
     del sample, feature, n, column, count, value, kept  # only the kept columns stay in the driver's memory
-    targets = np.column_stack([junk, toxic, severity(rows, toxic)])
+    targets = np.column_stack([junk, toxic, severity(rows, toxic, folds)])
     models = fit_chain(rows, targets, folds)
     weight = np.zeros((len(models), 1 << WIDTH_BITS), dtype=np.float32)
     earlier = np.zeros((len(models), len(models)))
