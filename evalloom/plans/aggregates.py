@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.functions import textscore as ts
@@ -10,11 +13,13 @@ from evalloom.functions.textscore import bleu_stats
 from evalloom.functions.wordhash import BASE, STEP
 from evalloom.operators import aggregates as ag
 from evalloom.operators import bootstrap as bs
+from evalloom.operators import heavy as hv
 from evalloom.operators.scale import exact_median
 from evalloom.plans import likelihood as lkq
 from evalloom.plans import sqltext as q
 from evalloom.plans import textscores as txq
 from evalloom.plans.catalog import query
+from evalloom.session import cut_lineage
 
 
 def r6(c, name):
@@ -445,6 +450,17 @@ def documents_per_word(t):
     return pairs.groupBy("w").agg(F.count("*").alias("n_docs"))
 
 
+@query("document_sketches", "AGG-33 DEC-6", """select w, true as near from (select doc_id, unnest(string_split(lower(text), ' ')) w from documents)
+group by w having count(distinct doc_id) > 20""")
+def document_sketches(t):
+    """Distinct documents per word from sketches of four batches kept as a table: within 5 % of the exact counts."""
+    pairs = t.documents.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
+    batches = [hv.distinct_sketches(pairs.where(F.pmod("doc_id", F.lit(4)) == b), "w", "doc_id") for b in range(4)]
+    kept = cut_lineage(reduce(DataFrame.unionByName, batches))
+    exact = pairs.groupBy("w").agg(F.count_distinct("doc_id").alias("exact")).where("exact > 20")
+    return exact.join(hv.merged_distinct(kept, "w"), "w").select("w", (F.abs(F.col("n") / F.col("exact") - 1) < 0.05).alias("near"))
+
+
 @query("bucket_percent", "AGG-34", f"""select case when n_chars < 4000 then '0-4k' when n_chars < 8000 then '4-8k' else '8k+' end bucket,
   round(100 * avg(greatest(contains(x, 'the')::int, contains(x, 'der')::int)), 2) percent
 from (select n_chars, split_part(regexp_replace(text, '\\A\\n+', ''), chr(10), 1) x from documents) group by 1""".replace("\\\\", "\\"))

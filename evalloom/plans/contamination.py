@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evalloom.functions import tables
 from evalloom.functions.text import capitalize, ngrams, normal_words, stable_hash
+from evalloom.operators import buckets as bk
 from evalloom.operators import decontam as dc
 from evalloom.plans import sqltext as q
 from evalloom.plans.catalog import Tables, query
@@ -95,6 +97,34 @@ def sorted_bucket_rows(t):
     return dc.sorted_buckets(dc.ngram_postings(t.documents, N)).select("doc_id", "ngram")
 
 
+@query("bucketed_ngram_counts", "DEC-4 DEC-5 SNK-6 DEC-6", f"""with {TRAIN} select ngram, count(distinct doc_id) n_docs from train group by ngram
+having count(distinct doc_id) > 1""")
+def bucketed_ngram_counts(t):
+    """Documents per n-gram from a bucketed table, without a shuffle after it was written."""
+    table = bk.write_bucketed(dc.distinct_postings(t.documents, N), "ngrams", 16)
+    return bk.counted(t.spark.table(table), 1)
+
+
+@query("bucketed_overlap", "DEC-4 DEC-8", f"""with {TRAIN}, {EVAL} select item_id, count(*) n_pairs, count(distinct ngram) n_ngrams
+from (select distinct doc_id, ngram from train) join (select distinct item_id, ngram from lookup) using (ngram) group by item_id""")
+def bucketed_overlap(t):
+    """Training and evaluation tables of as many buckets meet bucket by bucket."""
+    train = bk.write_bucketed(dc.distinct_postings(t.documents, N), "train", 16)
+    evals = bk.write_bucketed(dc.distinct_postings(t.benchmark, N, keys=["item_id"]), "evals", 16)
+    both = bk.joined(t.spark.table(train), t.spark.table(evals))
+    return both.groupBy("item_id").agg(F.count("*").alias("n_pairs"), F.count_distinct("ngram").alias("n_ngrams"))
+
+
+@query("ngram_offsets_lateral", "UDF-7 DEC-3", f"""with {SPAN_WORDS}
+select doc_id, count(*) n_ngrams, sum(start)::bigint sum_start, sum(stop)::bigint sum_stop, min(ngram) first_ngram
+from spans group by doc_id""")
+def ngram_offsets_lateral(t):
+    tables.register(t.spark)
+    return t.spark.sql(
+        f"""select doc_id, count(*) n_ngrams, sum(start) sum_start, sum(stop) sum_stop, min(ngram) first_ngram
+        from {{docs}}, lateral ngram_offsets(text, {N}) group by doc_id""", docs=t.documents.select("doc_id", "text"))
+
+
 PAIRS = q.ngram_rows("pairs", "documents", "doc_id", q.normal_words("text"), 3)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evalloom import registry
 from evalloom.functions.text import words
 from evalloom.operators import aggregates as ag
+from evalloom.operators import heavy as hv
 from evalloom.operators import rollup as rp
 from evalloom.operators.requests import paired
 from evalloom.plans import sqltext as q
@@ -228,6 +229,13 @@ def frequent_words(t):
         F.col("n").desc(), "w").limit(50)
 
 
+@query("heavy_words", "TOP-2", f"""select item, n from (select w item, count(*) n from (select unnest({q.words('lower(text)')}) w from documents) group by w
+  order by n desc, item limit 50)""")
+def heavy_words(t):
+    """The same words from frequent-item summaries: a task sends its counters, not every distinct word."""
+    return hv.heavy_hitters(t.documents.select(words(F.lower("text")).alias("w")), "w", 50)
+
+
 if "demo.shout" not in registry.FUNCTIONS:
     registry.register_function("demo.shout")(lambda c: F.concat(F.upper(c), F.lit("!")))
 
