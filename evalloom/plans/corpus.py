@@ -31,6 +31,15 @@ def archive_scan(t):
     )
 
 
+@query("zstd_archive_scan", "SRC-1 SNK-1", "select doc_id, md5(text) digest, source from documents")
+def zstd_archive_scan(t):
+    folder = wr.write_zstd_archive(t.documents, "text", ["doc_id", "source"], wr.new_folder(t.spark, "zstd"))
+    back = rd.read_zstd_archive(t.spark, folder, split_bytes=1 << 20)
+    return back.select(
+        F.col("meta")["doc_id"].cast("long").alias("doc_id"), F.md5("text").alias("digest"), F.col("meta")["source"].alias("source")
+    )
+
+
 @query("list_text_scan", "SRC-1", """select doc_id, md5(replace(text, chr(10), chr(10) || chr(10))) digest from documents""")
 def list_text_scan(t):
     line = F.to_json(F.struct(F.split("text", "\n").alias("text")))

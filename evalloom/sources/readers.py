@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evalloom.functions.text import let
 from evalloom.operators.scale import lookup_sized, positions
 from evalloom.session import cut_lineage
+from evalloom.sources import zstd_lines
 
 SAMPLE_LOG = (
     "task string, model string, doc_id bigint, doc map<string,string>, target string, resps array<array<string>>, "
@@ -17,18 +19,22 @@ SAMPLE_LOG = (
 
 
 def parse_archive_line(line: Column, joiner: str = "\n\n") -> Column:
-    """``struct<text, meta>`` of one archive line: an object with text (string or list) and meta, or a bare string."""
-    bare = F.from_json(F.concat(F.lit('{"v":'), line, F.lit("}")), "v string")["v"]
-    fields = F.from_json(line, "text string, meta map<string,string>")
-    listed = F.from_json(line, "text array<string>")["text"]
-    is_list = F.regexp_like(fields["text"], F.lit(r"\A\[")) & listed.isNotNull()
-    text = F.when(is_list, F.array_join(listed, joiner)).otherwise(fields["text"])
+    """``struct<text, meta>`` of one archive line: an object with text (string or list) and meta, or a bare string.
+
+    The line is parsed once; nested meta is kept as JSON. Lines that are not JSON, or repeat a key, have a null text and no meta.
+    """
     empty = F.create_map().cast("map<string,string>")
-    is_object = F.startswith(F.ltrim(line), F.lit("{"))
-    return F.struct(
-        F.when(is_object, text).otherwise(bare).alias("text"),
-        F.when(is_object, F.coalesce(fields["meta"], empty)).otherwise(empty).alias("meta"),
-    )
+
+    def fields(v: Column) -> Column:
+        listed = F.try_variant_get(v, "$.text", "array<string>")
+        text = F.coalesce(F.array_join(listed, joiner), F.try_variant_get(v, "$.text", "string"))
+        is_object = F.startswith(F.ltrim(line), F.lit("{"))
+        return F.struct(
+            F.when(is_object, text).otherwise(F.try_variant_get(v, "$", "string")).alias("text"),
+            F.coalesce(F.when(is_object, F.try_variant_get(v, "$.meta", "map<string,string>")), empty).alias("meta"),
+        )
+
+    return let(F.try_parse_json(line), fields)
 
 
 def read_archive(spark: SparkSession, path: str, joiner: str = "\n\n") -> DataFrame:
@@ -36,6 +42,13 @@ def read_archive(spark: SparkSession, path: str, joiner: str = "\n\n") -> DataFr
     return spark.read.text(path).select(parse_archive_line(F.col("value"), joiner).alias("d")).select("d.*")
 
 
+def read_zstd_archive(spark: SparkSession, path: str, joiner: str = "\n\n", **options) -> DataFrame:
+    """JSON-lines archive in zstandard frames, several tasks to a file: ``text, meta``."""
+    zstd_lines.register(spark)
+    lines = spark.read.format("zstd_lines").options(**options).load(path)
+    return lines.select(parse_archive_line(F.col("value"), joiner).alias("d")).select("d.*")
+
+
 def split_posting(line: Column) -> Column:
     """``struct<ngram, doc_id>`` of an ``"ngram doc_id"`` line, split at the last space."""
     return F.struct(

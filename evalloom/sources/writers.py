@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalloom.session import run_dir
+from evalloom.sources import zstd_lines
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -21,6 +22,15 @@ def write_archive(docs: DataFrame, text: str, meta: list[str], folder: str, code
     return folder
 
 
+def write_zstd_archive(docs: DataFrame, text: str, meta: list[str], folder: str, **options) -> str:
+    """Archive of ``{text, meta}`` lines in zstandard frames that several tasks can read; appends to ``folder``."""
+    zstd_lines.register(docs.sparkSession)
+    fields = [x for c in meta for x in (F.lit(c), F.col(c).cast("string"))]
+    lines = docs.select(F.to_json(F.struct(F.col(text).alias("text"), F.create_map(*fields).alias("meta"))).alias("value"))
+    lines.write.format("zstd_lines").mode("append").options(**options).save(folder)
+    return folder
+
+
 def write_json_lines(df: DataFrame, folder: str) -> str:
     df.write.mode("errorifexists").json(folder)
     return folder
