@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalloom.functions import shifts as sh
 from evalloom.functions import textscore as ts
 from evalloom.functions.likelihood import argmax
 from evalloom.functions.textscore import bleu_stats
@@ -178,9 +179,15 @@ def corpus_chrf(t):
 
 @query("corpus_ter", "AGG-13")
 def corpus_ter(t):
+    """The edit part of the rate."""
     return txq.pairs(t).agg(r6(ag.corpus_ter("p", "r"), "ter"))
 
 
+@query("corpus_ter_shifts", "AGG-13")
+def corpus_ter_shifts(t):
+    return txq.pairs(t).agg(r6(sh.corpus_ter("p", "r"), "ter"))
+
+
 @query("brier_score", "AGG-14", f"""select round(avg(list_sum([pow(exp(v[i + 1]) / s - (i = g)::int, 2) for i in range(len(v))])), 6) brier
 from (select *, list_sum([exp(x) for x in v]) s from {lkq.V})""")
 def brier_score(t):
