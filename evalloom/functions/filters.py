@@ -450,26 +450,35 @@ def unnormalised_answer(text: Column) -> Column:
     )
 
 
-@F.arrow_udf(T.StringType())
-def last_boxed(texts: pa.Array) -> pa.Array:
+def balanced_head(text: Column) -> Column:
+    """Text up to the brace that closes the first open one; null if none does. One pass over the braces with a running depth."""
+    zero = F.lit(0)
+    start = F.struct(zero.alias("depth"), zero.alias("at"), zero.alias("end"))
+
+    def step(s: Column, piece: Column) -> Column:
+        depth = s["depth"] + F.when(F.endswith(piece, F.lit("{")), 1).otherwise(-1)
+        at = s["at"] + F.length(piece)
+        closed = F.when((s["end"] == 0) & (depth == 0), at).otherwise(s["end"])
+        return F.struct(depth.alias("depth"), at.alias("at"), closed.alias("end"))
+
+    pieces = F.regexp_extract_all(text, F.lit(r"[^{}]*[{}]"), F.lit(0))
+    end = F.aggregate(pieces, start, step, lambda s: s["end"])
+    return let(F.struct(text.alias("t"), end.alias("e")), lambda s: F.when(s["e"] > 0, F.substring(s["t"], F.lit(1), s["e"])))
+
+
+def last_boxed(text: Column) -> Column:
     """Last ``\\boxed{...}`` (or ``\\fbox``) with balanced braces; ``\\boxed x`` up to a dollar sign."""
-    def one(s):
-        if s is None:
-            return None
-        if "\\boxed " in s:
-            return "\\boxed " + s.rsplit("\\boxed ", 1)[1].partition("$")[0]
-        begin = s.rfind("\\boxed")
-        begin = begin if begin >= 0 else s.rfind("\\fbox")
-        if begin < 0:
-            return None
-        depth = 0
-        for m in re.finditer(r"[{}]", s[begin:]):
-            depth += 1 if m.group() == "{" else -1
-            if depth == 0:
-                return s[begin : begin + m.end()]
-        return None
-
-    return pa.array([one(s) for s in texts.to_pylist()], pa.string())
+    def after_last(t: Column, mark: str) -> Column:
+        return F.concat(F.lit(mark), F.substring_index(t, mark, -1))
+
+    def pick(t: Column) -> Column:
+        spaced = F.substring_index(after_last(t, "\\boxed "), "$", 1)
+        braced = F.when(F.contains(t, F.lit("\\boxed")), after_last(t, "\\boxed")).when(
+            F.contains(t, F.lit("\\fbox")), after_last(t, "\\fbox")
+        )
+        return F.when(F.contains(t, F.lit("\\boxed ")), spaced).otherwise(balanced_head(braced))
+
+    return let(text, pick)
 
 
 def unboxed(boxed: Column) -> Column:

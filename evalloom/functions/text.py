@@ -44,6 +44,54 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def prefix_sums(numbers: Column) -> Column:
+    """Running sums of an array of numbers, as longs.
+
+    An accumulated array is copied at each step, so the array is cut into about sqrt(n) parts: sums of the parts first, then the inside of
+    each from its own base. The work is n * sqrt(n) copies at most.
+    """
+    zero = F.lit(0).cast("long")
+
+    def running(values: Column, base: Column) -> Column:
+        start = F.struct(base.alias("sum"), F.array().cast("array<long>").alias("all"))
+
+        def step(held: Column, x: Column) -> Column:
+            total = held["sum"] + x
+            return F.struct(total.alias("sum"), F.array_append(held["all"], total).alias("all"))
+
+        return F.aggregate(values, start, step, lambda held: held["all"])
+
+    def by_parts(s: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(s["v"]) - 1, F.lit(0)), s["w"])
+        parts = F.transform(starts, lambda a: F.slice(s["v"], a + 1, s["w"]))
+        return let(
+            F.struct(parts.alias("p"), running(F.transform(parts, lambda p: F.aggregate(p, zero, lambda t, x: t + x)), zero).alias("ends")),
+            lambda c: F.flatten(F.transform(c["p"], lambda p, i: running(p, F.when(i > 0, F.get(c["ends"], i - 1)).otherwise(zero)))),
+        )
+
+    return let(
+        F.struct(numbers.alias("v"), F.greatest(F.ceil(F.sqrt(F.size(numbers))).cast("int"), F.lit(1)).alias("w")), by_parts
+    )
+
+
+def located_words(c: Column | str) -> Column:
+    """Normalised words with the characters they cover in the text: ``array<struct<word, start, stop>>``; null for null."""
+    pieces = F.regexp_extract_all(col(c), F.lit(f"{SPACE}*{WORD}"), F.lit(0))
+
+    def place(s: Column) -> Column:
+        def word(piece: Column, i: Column) -> Column:
+            bare = strip(piece)
+            stop = F.get(s["ends"], i)
+            return F.struct(
+                drop_punctuation(F.lower(bare)).alias("word"), (stop - F.length(bare)).cast("int").alias("start"),
+                stop.cast("int").alias("stop"),
+            )
+
+        return F.filter(F.transform(s["p"], word), lambda w: w["word"] != "")
+
+    return let(pieces, lambda p: let(F.struct(p.alias("p"), prefix_sums(F.transform(p, F.length)).alias("ends")), place))
+
+
 def strip(c: Column | str) -> Column:
     return substitute(c, (EDGE_SPACE, ""))
 

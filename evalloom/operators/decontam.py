@@ -1,7 +1,5 @@
 """Contamination of a training corpus by evaluation texts: n-gram tables, overlap, statistics and cleaning."""
 
-import re
-import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,10 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from evalloom.functions.bloom import Bloom, bloom_of
-from evalloom.functions.text import let, ngrams, normal_words, plain_words
+from evalloom.functions.text import let, located_words, ngrams, normal_words, plain_words
 from evalloom.functions.wordhash import pieces, run_hashes, words_of
 from evalloom.operators.scale import BROADCAST_ROWS, fits_broadcast, semi_join_sized
 from evalloom.session import cut_lineage
@@ -212,36 +209,20 @@ def overlap_statistics(train: DataFrame, evals: DataFrame, n: int = NGRAM) -> Da
     )
 
 
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def word_bounds(texts: pa.Array) -> pa.Array:
-    """Character offsets of the words that keep a letter after normalisation: all starts, then all ends."""
-    drop = str.maketrans("", "", string.punctuation)
-    flat, offsets = [], [0]
-    for text in texts.to_pylist():
-        kept = [m.span() for m in re.finditer(r"\S+", text or "") if m.group().translate(drop)]
-        flat += [a for a, _ in kept]
-        flat += [b for _, b in kept]
-        offsets.append(len(flat))
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-
-
 def ngram_spans(docs: DataFrame, n: int = NGRAM, text: str = "text", key: str = "doc_id") -> DataFrame:
     """N-grams with the character range they cover in the original text: ``key, pos, ngram, start, stop``."""
-    parts = docs.select(
-        key, ngrams(normal_words(text), n).alias("grams"), word_bounds(F.col(text)).alias("bounds")
-    )
-
-    def ranges(s: Column) -> Column:
-        words = (F.size(s["b"]) / 2).cast("int")
-        return F.transform(
-            s["g"],
-            lambda g, i: F.struct(
-                g.alias("ngram"), F.get(s["b"], i).alias("start"), F.get(s["b"], words + i + (n - 1)).alias("stop")
-            ),
-        )
-
-    spans = let(F.struct(F.col("grams").alias("g"), F.col("bounds").alias("b")), ranges)
-    return parts.select(key, F.posexplode(spans).alias("pos", "g")).select(key, "pos", "g.ngram", "g.start", "g.stop")
+    parts = docs.select(key, located_words(text).alias("w"))
+
+    def runs(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(w) - n)
+        spans = F.transform(starts, lambda i: F.struct(
+            F.concat_ws(" ", *[F.get(w, i + k)["word"] for k in range(n)]).alias("ngram"),
+            F.get(w, i)["start"].alias("start"), F.get(w, i + (n - 1))["stop"].alias("stop"),
+        ))
+        return F.when(F.size(w) >= n, spans)
+
+    spans = parts.select(key, F.posexplode(let(F.col("w"), runs)).alias("pos", "g"))
+    return spans.select(key, "pos", "g.ngram", "g.start", "g.stop")
 
 
 def dirty_ranges(docs: DataFrame, ngram_set: DataFrame, n: int = NGRAM, window: int = WINDOW_TO_REMOVE,

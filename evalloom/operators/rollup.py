@@ -61,6 +61,21 @@ def group_metrics(metrics: DataFrame, members: DataFrame, weight_by_size: bool =
     )
 
 
+def group_report(metrics: DataFrame, members: DataFrame) -> DataFrame:
+    """:func:`group_metrics` at two levels by one shuffle: per group, and over all groups (``group`` is null), per metric and filter.
+
+    ``level`` is 0 for a group and 1 for the total. A task of several groups counts in each of them, and so often in the total.
+    """
+    joined = metrics.join(members, "task").select("group", "metric", "filter", "value", "stderr", "n")
+    names = [F.col(c) for c in ("group", "metric", "filter")]
+    n = F.col("n")
+    report = joined.groupingSets([names, names[1:]], *names).agg(
+        F.grouping("group").cast("int").alias("level"), (F.sum(F.col("value") * n) / F.sum("n")).alias("value"),
+        pooled_stderr(F.col("stderr"), n).alias("stderr"), F.sum("n").alias("n"),
+    )
+    return report
+
+
 def custom_group_metric(metrics: DataFrame, members: DataFrame, combine: Callable[[Column, Column], Column],
                         metric: str) -> DataFrame:
     """User aggregation of the children's values and sizes (arrays in task order), one row per group."""

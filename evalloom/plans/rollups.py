@@ -59,6 +59,18 @@ def group_means(t):
     return out.select("group", F.round("value", 4).alias("value"), F.round("stderr", 4).alias("stderr"), "n")
 
 
+POOLED = """round(sum(value * n) / sum(n), 4) as value,
+  round(sqrt(sum((n - 1) * stderr * stderr * n) / (sum(n) - count(*)) / sum(n)), 4) stderr, sum(n)::bigint n"""
+
+
+@query("group_report", "RLP-1 RLP-2 RLP-3", f"""with {MEMBERS}, rows as (select * from members join {METRICS} using (task))
+select g as "group", metric, "filter", 0 "level", {POOLED} from rows group by g, metric, "filter"
+union all select null, metric, "filter", 1, {POOLED} from rows group by metric, "filter" """)
+def group_report(t):
+    out = rp.group_report(metrics(t), members(t))
+    return out.select("group", "metric", "filter", "level", F.round("value", 4).alias("value"), F.round("stderr", 4).alias("stderr"), "n")
+
+
 @query("unweighted_group_means", "RLP-1", f"""with {MEMBERS} select g as "group", round(avg(value), 4) as value from members join {METRICS} using (task) group by g""")
 def unweighted_group_means(t):
     out = rp.group_metrics(metrics(t), members(t), weight_by_size=False, filters=["none"])
