@@ -15,8 +15,9 @@ def plain(docs, items):
     out = []
     for d, t in docs:
         for i, u in items:
-            want = grams(u)
-            both = len(want & grams(t))
+            n = max(1, min(5, len(re.findall(r"[^\x20\x09-\x0D!-/:-@\[-`{-~]+", u or ""))))
+            want = grams(u, n)
+            both = len(want & grams(t, n))
             if want and both >= math.ceil(round(0.8 * len(want), 9)):
                 out.append((d, i, len(want), both))
     return sorted(out, key=repr)
@@ -33,13 +34,14 @@ WORDS = [f"w{i}" for i in range(300)]
 ITEMS = [
     (1, " ".join(WORDS[:30])), (2, " ".join(WORDS[40:54])), (3, "a b c d"), (4, None), (5, ""), (6, "one two three four five"),
     (6, "one two three four five"), (None, " ".join(WORDS[100:140])), (7, "It's A-test: of, the (punctuation) HERE!"),
-    (8, "x y x y x y x y x y"),
+    (8, "x y x y x y x y x y"), (11, "Gap"), (12, "w3 w4"), (13, "w4 w3"), (3, "a b c d"),
 ]
 DOCS = [
     (10, " ".join(["pad"] * 5000 + WORDS[:30] + ["pad"] * 5000)), (11, " ".join(WORDS[:27] + ["gap"] + WORDS[28:60])),
     (12, " ".join(WORDS[:15])), (13, None), (14, ""), (15, "ONE two,three;four\nfive"), (16, "one two three four"),
     (None, " ".join(WORDS)), (17, "it s a test of the punctuation here"), (18, "x y x y x y"), (19, " ".join(WORDS[:30])),
     (19, " ".join(WORDS[:30])), (20, " ".join(WORDS[:20] + ["g"] * 50 + WORDS[14:30])),
+    (21, "x a, b! C d y"), (22, "a b c e"), (23, "d c b a"), (24, "w3"), (25, "a b c d"),
 ]
 
 
