@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from html import unescape
+from html.entities import html5
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from evalloom.functions.text import (
     SPACE,
@@ -96,10 +94,57 @@ def detokenize_general(c: Column | str) -> Column:
     return substitute(c, *GENERAL_RULES)
 
 
-@F.arrow_udf(T.StringType())
-def html_unescaped(texts: pa.Array) -> pa.Array:
-    """Every named and numeric HTML entity replaced."""
-    return pa.array([None if x is None else unescape(x) for x in texts.to_pylist()], pa.string())
+ENTITY = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+LEGACY = {name: value for name, value in html5.items() if not name.endswith(";")}  # known without a semicolon
+LONGEST_LEGACY = max(map(len, LEGACY))
+# What numeric references to C1 controls, NUL and carriage return stand for.
+CONTROLS = dict(zip(range(0x80, 0xA0), bytes(range(0x80, 0xA0)).decode("cp1252", "replace"))) | {
+    0x81: "\x81", 0x8D: "\x8d", 0x8F: "\x8f", 0x90: "\x90", 0x9D: "\x9d", 0x00: "\ufffd", 0x0D: "\r",
+}
+
+
+def string_map(values: dict) -> Column:
+    return F.create_map(*[x for pair in values.items() for x in map(F.lit, pair)])
+
+
+def code_point(number: Column) -> Column:
+    """The character of a code point; nothing for code points that no text may hold."""
+    held = F.try_element_at(string_map(CONTROLS), number.try_cast("int"))
+    nowhere = number.between(0x1, 0x8) | number.between(0xE, 0x1F) | number.between(0x7F, 0x9F) | number.between(0xFDD0, 0xFDEF) | (
+        (number % 0x10000 >= 0xFFFE) | (number == 0xB)
+    )
+    shown = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    outside = number.between(0xD800, 0xDFFF) | (number > 0x10FFFF) | number.isNull()
+    return F.when(held.isNotNull(), held).when(outside, F.lit("\ufffd")).when(nowhere, F.lit("")).otherwise(shown)
+
+
+def entity_text(entity: Column) -> Column:
+    """What an entity stands for; unknown names stay, and names known without a semicolon count as a prefix."""
+    by_letter: dict[str, dict[str, str]] = {}  # so that a look-up searches the names of one letter
+    for name, value in html5.items():
+        by_letter.setdefault(name[0], {})[name] = value
+    letters = F.create_map(*[x for first, names in by_letter.items() for x in (F.lit(first), string_map(names))])
+    body = F.substring(entity, 2, 40)
+    number = F.coalesce(
+        F.conv(F.nullif(F.regexp_extract(entity, "&#[xX]([0-9a-fA-F]{1,15})(?:;|$)", 1), F.lit("")), 16, 10),
+        F.nullif(F.regexp_extract(entity, "&#([0-9]{1,18})(?:;|$)", 1), F.lit("")),
+    ).cast("long")
+    named = F.try_element_at(F.try_element_at(letters, F.substring(body, 1, 1)), body)
+    prefix = F.coalesce(*[
+        F.concat(F.try_element_at(string_map({k: v for k, v in LEGACY.items() if len(k) == n}), F.substring(body, 1, n)),
+                 F.substring(body, n + 1, 40))
+        for n in range(LONGEST_LEGACY, 1, -1)
+    ])
+    return F.when(F.startswith(body, F.lit("#")), code_point(number)).otherwise(F.coalesce(named, prefix, entity))
+
+
+def html_unescaped(c: Column | str) -> Column:
+    """Every named and numeric HTML entity replaced: the text is split at entities, and each is put in place of itself."""
+    text = col(c)
+    found = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), entity_text)
+    rest = F.split(text, ENTITY, -1)
+    joined = F.array_join(F.flatten(F.zip_with(rest, found, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
 def repair_encoding(c: Column | str) -> Column:

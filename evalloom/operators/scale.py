@@ -36,6 +36,12 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
     return found["n"] <= max_rows and (found["bytes"] or 0) <= max_bytes
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by ``key`` if they lie in fewer pieces than the session has cores, as one small file does; else ``df`` itself."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def semi_join_sized(left: DataFrame, keys: DataFrame, on: str | list[str], spread: Column,
                     max_rows: int = BROADCAST_ROWS, anti: bool = False) -> DataFrame:
     """``left`` rows whose ``on`` is (not) among ``keys``.

@@ -9,23 +9,22 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evalloom.operators.scale import spread
+
 
 class Tables:
     """Input tables of one data folder, read lazily by attribute."""
 
-    def __init__(self, spark: SparkSession, folder: str, spread: int = 0):
-        """``spread``: partitions to deal the corpus into, for a bench whose corpus is one file; 0 reads it as it lies."""
+    def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
-        self.spread = spread
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
     @property
     def documents(self) -> DataFrame:
-        docs = self.spark.read.parquet(self.path("documents"))
-        return docs.repartition(self.spread, "doc_id") if self.spread else docs
+        return spread(self.spark.read.parquet(self.path("documents")), "doc_id")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

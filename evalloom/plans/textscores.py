@@ -330,6 +330,25 @@ def math_equality(t):
     return t.orders.select("o_orderkey", ts.math_equal(reply, gold).alias("same"))
 
 
+@query("math_expressions", "SC-46", """select l_orderkey, l_linenumber, (case l_linenumber % 4 when 0 then q = l_suppkey % 50 + 1
+  when 1 then q = l_partkey % 50 + 1 and l_linenumber = l_suppkey % 7 + 1 when 2 then d = t else p = c end)::int::double same
+from (select *, l_quantity::bigint q, round(l_discount * 100)::bigint d, round(l_tax * 100)::bigint t,
+  floor(l_extendedprice)::bigint p, floor(l_extendedprice)::bigint + (l_partkey % 2) c from lineitem)""")
+def math_expressions(t):
+    """Quantities, fractions, rates and prices of the lines as TeX, against other columns in another notation."""
+    whole = lambda c: F.floor(c).cast("long").cast("string")
+    rate = lambda c: F.lpad(F.round(F.col(c) * 100).cast("int").cast("string"), 2, "0")
+    kind, q, line = F.col("l_linenumber") % 4, whole("l_quantity"), F.col("l_linenumber").cast("string")
+    price = F.floor("l_extendedprice").cast("long")
+    reply = F.when(kind == 0, F.concat(F.lit("x = "), q)).when(kind == 1, F.concat(q, F.lit("/"), line)).when(
+        kind == 2, F.concat(F.lit("."), rate("l_discount"))
+    ).otherwise(F.concat(F.lit("\\$"), price.cast("string")))
+    gold = F.when(kind == 0, (F.col("l_suppkey") % 50 + 1).cast("string")).when(
+        kind == 1, F.concat(F.lit("\\dfrac{"), (F.col("l_partkey") % 50 + 1).cast("string"), F.lit("}{"), (F.col("l_suppkey") % 7 + 1).cast("string"), F.lit("}"))
+    ).when(kind == 2, F.concat(F.lit("0."), rate("l_tax"))).otherwise((price + F.col("l_partkey") % 2).cast("string"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", ts.math_equivalent(reply, gold).alias("same"))
+
+
 @query("guarded_scores", "SC-47", f"""select conv_id, turn, round(case when length(p) < 400 or length(r) < 100 then 'nan'::double
   when f = 0 then 1e-5 else f end, 6) score from (select conv_id, turn, p, r, {f1_sql('a', 'b')} f from {TOKENS})""")
 def guarded_scores(t):
