@@ -174,14 +174,37 @@ def count_of(tokens: Column, token: Column) -> Column:
     return F.size(tokens) - F.size(F.array_remove(tokens, token))
 
 
+COUNTED = 4000  # items of both arrays up to which counting beats sorting
+
+
+def numbered(tokens: Column) -> Column:
+    """The strings of an array made distinct: the k-th of equal ones has k added. So multisets become sets; in no particular order."""
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        first = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+
+        def spell(f: Column) -> Column:
+            def run(at: Column, j: Column) -> Column:
+                last = F.coalesce(F.get(f, j + 1), n) - at - 1
+                return F.transform(F.sequence(F.lit(0), last), lambda k: F.concat(F.get(s, at), F.lit(" "), k.cast("string")))
+
+            return F.flatten(F.transform(f, run))
+
+        return F.when(n > 0, let(first, spell)).otherwise(F.array().cast("array<string>"))
+
+    return let(F.array_sort(tokens), runs)
+
+
 def multiset_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two string arrays."""
+    """Size of the multiset intersection of two string arrays.
+
+    Short arrays are counted by tight loops, an item at a time; beyond ``COUNTED`` items they are sorted and hashed, with the same result.
+    """
     def shared(p: Column) -> Column:
         x, y = p["a"], p["b"]
-        return F.aggregate(
-            F.array_intersect(x, y),
-            F.lit(0),
-            lambda acc, t: acc + F.least(count_of(x, t), count_of(y, t)),
+        counted = F.aggregate(
+            F.array_intersect(x, y), F.lit(0), lambda acc, t: acc + F.least(count_of(x, t), count_of(y, t))
         )
+        return F.when(F.size(x) + F.size(y) <= COUNTED, counted).otherwise(F.size(F.array_intersect(numbered(x), numbered(y))))
 
     return let(F.struct(a.alias("a"), b.alias("b")), shared)

@@ -13,12 +13,14 @@ from pyspark.sql import types as T
 
 from evalloom.functions.filters import all_numbers, math_answer, number_value
 from evalloom.functions.text import (
+    COUNTED,
     PUNCTUATION,
     SPACE,
     count_of,
     drop_punctuation,
     let,
     multiset_overlap,
+    numbered,
     ngrams,
     replace_all,
     squeeze,
@@ -363,13 +365,17 @@ def bleu_stats(pred: Column, references: Column, order: int = 4) -> Column:
     """``struct<test, ref, guess[], correct[]>``: lengths, n-gram counts and clipped matches of one row."""
     def stats(s: Column) -> Column:
         def clipped(n: int) -> Column:
-            return let(
-                F.struct(ngrams(s["t"], n).alias("t"), F.transform(s["r"], lambda r: ngrams(r, n)).alias("r")),
-                lambda g: F.aggregate(
+            def matches(g: Column) -> Column:
+                counted = F.aggregate(
                     F.array_intersect(g["t"], F.flatten(g["r"])), F.lit(0).cast("long"),
                     lambda a, x: a + F.least(count_of(g["t"], x), F.array_max(F.transform(g["r"], lambda r: count_of(r, x)))),
-                ),
-            )
+                )
+                # of several references the union of numbered n-grams has the largest count of each
+                known = F.flatten(F.transform(g["r"], numbered))
+                hashed = F.size(F.array_intersect(numbered(g["t"]), known)).cast("long")
+                return F.when(F.size(g["t"]) + F.size(F.flatten(g["r"])) <= COUNTED, counted).otherwise(hashed)
+
+            return let(F.struct(ngrams(s["t"], n).alias("t"), F.transform(s["r"], lambda r: ngrams(r, n)).alias("r")), matches)
 
         return F.struct(
             F.size(s["t"]).cast("long").alias("test"),
