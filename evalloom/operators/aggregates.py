@@ -460,14 +460,20 @@ def dict_metrics(df: DataFrame, metrics: str, aggregation: str, group: list[str]
 # --- regression and bootstrap ----------------------------------------------------------------------------------------
 
 
-def least_squares(df: DataFrame, target: str, terms: dict[str, Column]) -> DataFrame:
-    """Ordinary least squares with intercept: ``term, coefficient``.
+def least_squares(df: DataFrame, target: str, terms: dict[str, Column], scaled: tuple[str, ...] = ()) -> DataFrame:
+    """Ordinary least squares with intercept: ``term, coefficient``. Rows with a null in any term are left out.
 
-    One aggregate collects the normal equations (a few numbers); they are solved on the driver.
+    Terms named in ``scaled`` are standardised over the rows that stay. One aggregate collects the normal equations (a few numbers); they are solved on the driver.
     """
     names = ["intercept", *terms]
     xs = [F.lit(1.0), *[c.cast("double") for c in terms.values()]]
     prepared = df.select(*[x.alias(f"x{i}") for i, x in enumerate(xs)], F.col(target).cast("double").alias("y")).dropna()
+    if scaled:
+        places = [f"x{names.index(name)}" for name in scaled]
+        moments = prepared.agg(*[f(p).alias(f"{i}{p}") for p in places for i, f in enumerate((F.avg, F.stddev_samp))]).first()
+        for p in places:
+            prepared = prepared.withColumn(p, F.try_divide(F.col(p) - F.lit(moments[f"0{p}"]), F.lit(moments[f"1{p}"])))
+        prepared = prepared.dropna()
     k = len(xs)
     cells = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i in range(k) for j in range(i, k)]
     cells += [F.sum(F.col(f"x{i}") * F.col("y")) for i in range(k)]

@@ -344,13 +344,33 @@ def regression_slope(t):
     return fit.where("term = 'x'").select(r6(F.abs("coefficient"), "slope"))
 
 
-@query("treatment_regression", "AGG-29")
+def solved_sql(rows: str, xs: list[str], names: list[str], y: str) -> str:
+    """Least squares by elimination on the normal equations, a step of it per sub-query; the first term is the intercept."""
+    k = len(xs)
+    columns = [*xs, y]
+    out = "select " + ", ".join(f"sum(({xs[i]})::double * ({columns[j]})) a{i}_{j}" for i in range(k) for j in range(k + 1)) + f" from {rows}"
+    for p in range(k):
+        cells = [
+            f"a{i}_{j} / a{p}_{p} a{i}_{j}" if i == p else f"a{i}_{j} - a{i}_{p} / a{p}_{p} * a{p}_{j} a{i}_{j}"
+            for i in range(k) for j in range(k + 1)
+        ]
+        out = f"select {', '.join(cells)} from ({out})"
+    listed = ", ".join(f"{{'term': '{name}', 'c': a{i}_{k}}}" for i, name in enumerate(names))
+    return f"select x.term, round(x.c, 4) coefficient from (select unnest([{listed}]) x from ({out}))"
+
+
+LINES = """(select *, (l_quantity - avg(l_quantity) over ()) / stddev_samp(l_quantity) over () age from lineitem)"""
+
+
+@query("treatment_regression", "AGG-29", solved_sql(
+    LINES, ["1", "(l_returnflag = 'A')::int", "(l_returnflag = 'R')::int", "(l_linestatus = 'F')::int", "age"],
+    ["intercept", "l_returnflag=A", "l_returnflag=R", "l_linestatus=F", "age"], "l_extendedprice"))
 def treatment_regression(t):
     terms = {
-        **ag.treatment("l_returnflag", "N", ["A", "N", "R"]), **ag.treatment("l_linestatus", "O", ["F", "O"]),
-        "age": ag.standardised(t.lineitem, "l_quantity"),
+        **ag.treatment("l_returnflag", "N", ["A", "N", "R"]), **ag.treatment("l_linestatus", "O", ["F", "O"]), "age": F.col("l_quantity"),
     }
-    return ag.least_squares(t.lineitem, "l_extendedprice", terms).select("term", F.round("coefficient", 4).alias("coefficient"))
+    fit = ag.least_squares(t.lineitem, "l_extendedprice", terms, ("age",))
+    return fit.select("term", F.round("coefficient", 4).alias("coefficient"))
 
 
 @query("treatment_contrast", "AGG-29", """select round(avg(l_tax) filter (where l_returnflag = 'A') - avg(l_tax) filter (where l_returnflag = 'N'), 6) a,

@@ -176,3 +176,15 @@ def test_pass_at_k_and_words(one):
     assert one(ag.pass_at_k(F.lit(5), F.lit(2), 2)) == pytest.approx(1 - 3 / 10)
     assert one(ag.pass_at_k(F.lit(3), F.lit(0), 2)) == 0.0
     assert one(words(F.lit("  a b  c\n"))) == ["a", "b", "c"]
+
+
+def test_regression_scales_after_nulls_are_dropped(spark):
+    """A row without a group takes no part in the mean of the age either."""
+    from evalloom.operators import aggregates as ag
+
+    rows = [("a", 1.0, 3.0), ("b", 2.0, 5.0), ("a", 3.0, 4.5), ("b", 6.0, 9.0), (None, 1000.0, 7.0)]
+    df = spark.createDataFrame(rows, "g string, age double, y double")
+    terms = {"b": (F.col("g") == "b").cast("double"), "age": F.col("age")}
+    got = {r.term: r.coefficient for r in ag.least_squares(df, "y", terms, ("age",)).collect()}
+    want = {r.term: r.coefficient for r in ag.least_squares(df.where("g is not null"), "y", terms, ("age",)).collect()}
+    assert got == want and set(got) == {"intercept", "b", "age"}
