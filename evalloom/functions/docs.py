@@ -44,6 +44,7 @@ DIALOGUE_RULES = (
     (" ,", ","),
     (" .", "."),
 )
+# The three WIKI lists, in order.
 WIKI_BEFORE = (
     (" @-@ ", "-"),
     (" @,@ ", ","),
@@ -72,6 +73,7 @@ WIKI_AFTER = (
     (" N ", " 1 "),
     (" 's", "'s"),
 )
+# Fixed values.
 GENERAL_RULES = (
     (rf"{SPACE}+([.,;:!?)])", "$1"),
     (rf"({SPACE}+|^)\({SPACE}+([^)]+){SPACE}+\)", "$1($2)"),

@@ -5,10 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from evalloom.functions.docs import ROMAN, letter
 from evalloom.functions.text import (
@@ -21,6 +19,7 @@ from evalloom.functions.text import (
 )
 
 INVALID = "[invalid]"
+# Fixed value.
 ANSWER_PATTERN = r"#### (\-?[0-9\.\,]+)"
 
 
@@ -67,6 +66,7 @@ def regex(responses: Column, pattern: str = ANSWER_PATTERN, select: int = 0, fal
     return each(responses, pick)
 
 
+# Fixed value.
 POS_PATTERN = r"\('([^']*)', '([^']*)'\)"
 
 
@@ -288,6 +288,7 @@ def word_sort(responses: Column, prompt: Column) -> Column:
     return each(responses, order)
 
 
+# Fixed value.
 FENCED = r"(?s)```(?:[0-9A-Za-z_]+)?\n?(.*?)\n?```"
 
 
@@ -298,6 +299,7 @@ def code_block(text: Column) -> Column:
     return F.coalesce(primed, plain, F.lit(""))
 
 
+# Fixed value.
 FINAL_LIST = r"Final Answer:\s*\[(.*)\]"
 
 
@@ -318,6 +320,7 @@ def final_list_error(text: Column, strict: bool = True) -> Column:
     return ~F.exists(F.slice(lines, -1, 1) if strict else lines, lambda x: F.regexp_like(x, F.lit(FINAL_LIST)))
 
 
+# Fixed value.
 MARKED_ANSWER = r"(?:Answer|answer|A|回答)\s*[:：]\s*(.+)"
 
 
@@ -440,6 +443,7 @@ def math_answer(text: Column) -> Column:
     )
 
 
+# Fixed value.
 FINAL_PHRASE = r"Final Answer: The final answer is(.*?). I hope it is correct."
 
 
@@ -538,6 +542,7 @@ def last_integer(text: Column) -> Column:
     return F.when(value == F.floor(value), value.cast("long"))
 
 
+# Fixed value.
 NUMBER_FORMS = (
     r"-?\b\d{1,3}(?:,\d{3})+\b",
     r"-?\d+(?:\.\d+)?[eE][+-]?\d+",

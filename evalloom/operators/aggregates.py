@@ -463,7 +463,8 @@ def dict_metrics(df: DataFrame, metrics: str, aggregation: str, group: list[str]
 def least_squares(df: DataFrame, target: str, terms: dict[str, Column], scaled: tuple[str, ...] = ()) -> DataFrame:
     """Ordinary least squares with intercept: ``term, coefficient``. Rows with a null in any term are left out.
 
-    Terms named in ``scaled`` are standardised over the rows that stay. One aggregate collects the normal equations (a few numbers); they are solved on the driver.
+    Terms named in ``scaled`` are standardised over the rows that stay. One aggregate collects the normal equations (a few numbers);
+    they are solved on the driver.
     """
     names = ["intercept", *terms]
     xs = [F.lit(1.0), *[c.cast("double") for c in terms.values()]]

@@ -4,8 +4,6 @@ import random
 from html import unescape
 from html.entities import html5
 
-from pyspark.sql import functions as F
-
 from evalloom.functions.docs import html_unescaped
 
 
