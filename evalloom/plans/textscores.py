@@ -372,6 +372,27 @@ def open_matches(t):
     return t.orders.select("o_orderkey", ts.open_match(reply, golds).alias("hit"))
 
 
+@query("open_price_matches", "SC-50", """select o_orderkey, (case when o_orderkey % 2 = 0 then cents % 10 = 0 or cents % 100 < 10 and cents >= 100000
+  else o_custkey % 3 = 0 end)::int::double as hit
+from (select *, round(o_totalprice * 100)::bigint cents from orders)""")
+def open_price_matches(t):
+    """Prices with thousands commas against prices of one decimal, and plain prices against the next or the same one.
+
+    A number with commas also counts without its decimals.
+    """
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    dollars = F.floor(cents / 100).cast("long")
+    tail = F.lpad((cents % 100).cast("string"), 2, "0")
+    even = F.col("o_orderkey") % 2 == 0
+    reply = F.when(even, said("We add.\nSo the result is ", F.format_number(dollars, 0), ".", tail)).otherwise(
+        said("So the result is ", dollars, ".", tail)
+    )
+    gold = F.when(even, said(dollars, ".", F.substring(tail, 1, 1))).otherwise(
+        said(dollars + F.when(F.col("o_custkey") % 3 == 0, 0).otherwise(1), ".", tail)
+    )
+    return t.orders.select("o_orderkey", ts.open_match(reply, F.array(gold)).alias("hit"))
+
+
 @query("best_span_alignment", "SC-25", f"""select conv_id, turn, case when conv_id % 2 = 0 then greatest(em, 0) else 1.0 end::double em,
   case when conv_id % 2 = 0 then f1 else 1.0 end::double f1 from (
   select conv_id, turn, (list_sort(a) = list_sort(b))::int::double em, round_even(case when s = 0 then 0 else
