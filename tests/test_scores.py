@@ -188,3 +188,17 @@ def test_regression_scales_after_nulls_are_dropped(spark):
     got = {r.term: r.coefficient for r in ag.least_squares(df, "y", terms, ("age",)).collect()}
     want = {r.term: r.coefficient for r in ag.least_squares(df.where("g is not null"), "y", terms, ("age",)).collect()}
     assert got == want and set(got) == {"intercept", "b", "age"}
+
+
+def test_complementary_error_function(spark):
+    import math
+
+    from evalloom.operators import rollup as rp
+
+    values = [0.0, 1e-9, 0.1, 0.5, 1.0, 2.0, 2.49, 2.5, 2.51, 3.0, 5.0, 8.0, 20.0]
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").select("x", rp.erfc(F.col("x")).alias("e")).collect()
+    for r in rows:
+        if r.x is None:
+            assert r.e is None
+        else:
+            assert abs(r.e - math.erfc(r.x)) <= 1e-14 and (r.x < 2.5 or abs(r.e / math.erfc(r.x) - 1) < 1e-12)
