@@ -32,7 +32,7 @@ from evalloom.session import cut_lineage
 WINDOW = 13
 SHINGLE = 5
 BITS = 30  # of the bitmap of repeated anchors at most: 128 MB
-BITS_PER_ANCHOR = 16  # that it is sized for
+BITS_PER_ANCHOR = 64  # that it is sized for
 COUNTED_BITS = 40  # of an anchor that are counted; those of the bitmap are the lowest of them
 DOCUMENT_BITS = 26  # of the bitmap of documents that lose words: 8 MB
 SLICE_BITS = 18  # of one row of it
