@@ -12,10 +12,11 @@ from evalloom.operators.decontam import NGRAM, ngram_postings, with_bucket
 
 
 def file_stream(spark: SparkSession, folder: str, schema, only: str | None = None, files_per_batch: int = 1000) -> DataFrame:
-    """Parquet files of a folder as a stream; ``only`` is a file name pattern."""
+    """Parquet files of a folder as a stream; ``only`` is a pattern of entries of the folder, each a file or a folder of files."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if only:
-        reader = reader.option("pathGlobFilter", only)
+        # a stream takes a single file only by a pattern, and a name without signs is made one
+        folder = f"{folder}/{only if set(only) & set('*?[{') else f'{only[:-1]}[{only[-1]}]'}"
     return reader.parquet(folder)
 
 
