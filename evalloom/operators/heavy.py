@@ -8,6 +8,7 @@ exactly in a second pass.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +109,11 @@ def heavy_hitters(items: DataFrame, item: str, k: int, size: int = SIZE) -> Data
     return counted.orderBy(F.desc("n"), "item").limit(k)
 
 
+def precision_for(error: float, deviations: float = 6.5) -> int:
+    """Precision at which an estimate is off by more than ``error`` only beyond that many standard deviations, of 1.04 / 2 ** (precision / 2)."""
+    return max(4, min(21, ceil(2 * log2(deviations * 1.04 / error))))
+
+
 def distinct_sketches(pairs: DataFrame, key: str, value: str, precision: int = 12) -> DataFrame:
     """``key, sketch`` of the distinct ``value`` per key: one batch of a table that grows by batches."""
     return pairs.groupBy(key).agg(F.hll_sketch_agg(value, precision).alias("sketch"))

@@ -482,7 +482,8 @@ group by w having count(distinct doc_id) > 20""")
 def document_sketches(t):
     """Distinct documents per word from sketches of four batches kept as a table: within 5 % of the exact counts."""
     pairs = t.documents.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
-    batches = [hv.distinct_sketches(pairs.where(F.pmod("doc_id", F.lit(4)) == b), "w", "doc_id") for b in range(4)]
+    precise = hv.precision_for(0.05)  # every word has to be within it, however many there are
+    batches = [hv.distinct_sketches(pairs.where(F.pmod("doc_id", F.lit(4)) == b), "w", "doc_id", precise) for b in range(4)]
     kept = cut_lineage(reduce(DataFrame.unionByName, batches))
     exact = pairs.groupBy("w").agg(F.count_distinct("doc_id").alias("exact")).where("exact > 20")
     return exact.join(hv.merged_distinct(kept, "w"), "w").select("w", (F.abs(F.col("n") / F.col("exact") - 1) < 0.05).alias("near"))
