@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evalloom.functions import shifts as sh
 from evalloom.functions import textscore as ts
 from evalloom.functions.likelihood import argmax
+from evalloom.functions.numbers import rounded
 from evalloom.functions.textscore import bleu_stats
 from evalloom.functions.wordhash import BASE, STEP
 from evalloom.operators import aggregates as ag
@@ -24,7 +25,7 @@ from evalloom.session import cut_lineage
 
 
 def r6(c, name):
-    return F.round(c, 6).alias(name)
+    return rounded(c, 6).alias(name)
 
 
 @query("mean_scores", "AGG-1", "select event_type, round(avg(value), 6) mean, count(*) n from events group by 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalloom.functions import likelihood as lk
+from evalloom.functions.numbers import rounded
 from evalloom.plans.catalog import query
 
 V = "(select vec_id, label g, [-abs(x::double) for x in embedding] v, [-abs(x::double) for x in list_reverse(embedding)] u from embeddings)"
@@ -19,7 +20,7 @@ def scores(t):
 
 
 def r6(c, name):
-    return F.round(c, 6).alias(name)
+    return rounded(c, 6).alias(name)
 
 
 @query("acc", "SC-1 TOP-3", f"select vec_id, ({ARG.format('v')} = g)::int::double as acc, {ARG.format('v')}::bigint best from {V}")

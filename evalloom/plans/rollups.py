@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalloom import registry
+from evalloom.functions.numbers import rounded
 from evalloom.functions.text import words
 from evalloom.operators import aggregates as ag
 from evalloom.operators import heavy as hv
@@ -15,7 +16,7 @@ from evalloom.plans.catalog import query
 
 
 def r6(c, name):
-    return F.round(c, 6).alias(name)
+    return rounded(c, 6).alias(name)
 
 
 EDGES = """(select 'r' || n_regionkey::varchar parent, 'n' || n_nationkey::varchar child from nation

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalloom.functions import textscore as ts
+from evalloom.functions.numbers import rounded
 from evalloom.functions.text import words
 from evalloom.plans import sqltext as q
 from evalloom.plans.catalog import query
@@ -21,7 +22,7 @@ def pairs(t):
 
 
 def r6(c, name):
-    return F.round(c, 6).alias(name)
+    return rounded(c, 6).alias(name)
 
 
 PARTS = "split_part(p, '.', 1)"
