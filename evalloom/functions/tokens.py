@@ -16,21 +16,21 @@ SPECIAL_IDS = {"<|startoftext|>": 199998, "<|endoftext|>": 199999, "<|return|>":
 COMPACT_VOCABULARY = N_BYTES + LAST_SPECIAL - FIRST_SPECIAL + 1
 
 
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def byte_ids(payload: pa.Array) -> pa.Array:
-    """Bytes of each value as integers; one widening copy per batch, no work per row."""
+@F.arrow_udf(T.ArrayType(T.ByteType()))
+def signed_bytes(payload: pa.Array) -> pa.Array:
+    """Bytes of each value as signed bytes: the same buffer, so that a batch takes no more memory than its text."""
     payload = payload.cast(pa.large_binary())
     nulls = payload.is_null() if payload.null_count else None
     bounds = np.frombuffer(payload.buffers()[1], dtype=np.int64)[payload.offset : payload.offset + len(payload) + 1]
     body = payload.buffers()[2]
-    raw = np.frombuffer(body, dtype=np.uint8)[bounds[0] : bounds[-1]] if body is not None else np.empty(0, np.uint8)
+    raw = np.frombuffer(body, dtype=np.int8)[bounds[0] : bounds[-1]] if body is not None else np.empty(0, np.int8)
     offsets = pa.array((bounds - bounds[0]).astype(np.int32))
-    return pa.ListArray.from_arrays(offsets, pa.array(raw.astype(np.int32)), mask=nulls)
+    return pa.ListArray.from_arrays(offsets, pa.array(raw), mask=nulls)
 
 
 def byte_tokens(text: Column | str) -> Column:
     """UTF-8 bytes of the text as token ids 0..255."""
-    return byte_ids(F.encode(col(text), "UTF-8"))
+    return F.transform(signed_bytes(F.encode(col(text), "UTF-8")), lambda x: x.cast("int").bitwiseAND(255))
 
 
 def parsed_tokens(text: Column | str) -> Column:
