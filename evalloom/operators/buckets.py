@@ -7,8 +7,9 @@ exchange, and a look-up of one n-gram reads one bucket.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.session import run_dir
@@ -16,22 +17,30 @@ from evalloom.session import run_dir
 BUCKETS = 500
 
 
-def write_bucketed(postings: DataFrame, name: str, buckets: int = BUCKETS, key: str = "ngram") -> str:
-    """Write ``postings`` as a table of ``buckets`` buckets by ``key``, sorted inside; the name of the table, new for each call.
+def write_bucketed(postings: DataFrame, name: str, buckets: int = BUCKETS, key: str = "ngram", within: tuple[str, ...] = (),
+                   folder: str | None = None, shape: Callable[[DataFrame], DataFrame] | None = None, **options) -> str:
+    """Write ``postings`` as a table of ``buckets`` buckets by ``key``, sorted inside by it and ``within``; the name of the table, new for each call.
 
-    Rows are dealt by the function that buckets use, so a bucket is one sorted file. The files lie in the shared folder.
+    Rows are dealt by the function that buckets use, so a bucket is one sorted file. The files lie in the shared folder. ``shape`` is applied
+    to the dealt rows before they are sorted; it must keep the key.
     """
     spark = postings.sparkSession
     full = f"{name}_{uuid.uuid4().hex[:12]}"
-    dealt = postings.repartition(buckets, key).sortWithinPartitions(key)
-    writer = dealt.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", run_dir(spark, name))
+    dealt = postings.repartition(buckets, key)
+    dealt = (shape(dealt) if shape else dealt).sortWithinPartitions(key, *within)
+    writer = dealt.write.bucketBy(buckets, key).sortBy(key, *within).format("parquet").option("path", folder or run_dir(spark, name)).options(**options)
     writer.saveAsTable(full)
     return full
 
 
-def counted(table: DataFrame, more_than: int, key: str = "ngram") -> DataFrame:
-    """Keys in more than ``more_than`` rows of a bucketed table, with their rows: one pass over the buckets."""
-    return table.groupBy(key).agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > more_than)
+def bucket_count(spark: SparkSession, least: int = 16) -> int:
+    """Buckets for a table as large as the data: the partitions that the session shuffles into."""
+    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def counted(table: DataFrame, more_than: int, key: str = "ngram", *more: str) -> DataFrame:
+    """Keys (with ``more`` columns) in more than ``more_than`` rows of a table bucketed by ``key``, with their rows: one pass over the buckets."""
+    return table.groupBy(key, *more).agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > more_than)
 
 
 def joined(left: DataFrame, right: DataFrame, key: str = "ngram", how: str = "inner") -> DataFrame:
