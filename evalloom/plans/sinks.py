@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalloom.functions import tokens as tk
+from evalloom.operators import buckets as bk
 from evalloom.operators import decontam as dc
 from evalloom.operators import packing as pk
 from evalloom.operators import rollup as rp
+from evalloom.operators import runs as rn
 from evalloom.plans import corpus as cq
 from evalloom.plans.catalog import query
 from evalloom.plans.contamination import TRAIN
@@ -87,8 +89,8 @@ def system_export(t):
 @query("ngram_package", "SNK-6 DEC-5", f"""with {TRAIN}, d as (select distinct doc_id, ngram from train)
 select count(*) n_postings, count(distinct ngram) n_ngrams, 13::bigint ngram_size from d""")
 def ngram_package(t):
-    postings = dc.sorted_buckets(dc.distinct_postings(t.documents), 16)
-    folder = wr.write_ngram_package(postings, wr.new_folder(t.spark, "package"), dc.NGRAM)
+    folder = wr.new_folder(t.spark, "package")
+    table = wr.write_marked_package(rn.ngram_runs(t.documents, dc.NGRAM), folder, dc.NGRAM, bk.bucket_count(t.spark))
     size = t.spark.read.json(f"{folder}/info").first()["ngram_size"]
-    back = t.spark.read.parquet(f"{folder}/buckets")
-    return back.agg(F.count("*").alias("n_postings"), F.count_distinct("ngram").alias("n_ngrams")).withColumn("ngram_size", F.lit(size).cast("long"))
+    back = t.spark.table(table).groupBy("mark", "ngram").agg(F.count("*").alias("n"))  # equal n-grams lie in one bucket: no shuffle
+    return back.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_postings"), F.count("*").alias("n_ngrams")).withColumn("ngram_size", F.lit(size).cast("long"))

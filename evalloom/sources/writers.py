@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evalloom.operators import buckets as bk
+from evalloom.operators import runs as rn
 from evalloom.session import run_dir
 from evalloom.sources import zstd_lines
 
@@ -96,3 +98,16 @@ def write_ngram_package(sorted_postings: DataFrame, folder: str, n: int) -> str:
     info = sorted_postings.sparkSession.range(1).select(F.lit("dataset ngrams").alias("title"), F.lit(n).alias("ngram_size"))
     info.coalesce(1).write.mode("errorifexists").json(f"{folder}/info")
     return folder
+
+
+def write_marked_package(runs: DataFrame, folder: str, n: int, buckets: int) -> str:
+    """Package of the n-grams of ``runs`` in compressed buckets by mark, sorted by mark and n-gram, with the info row; the table of its buckets.
+
+    Runs are dealt and spelled out afterwards, so an n-gram is not moved word by word.
+    """
+    table = bk.write_bucketed(
+        runs, "package", buckets, "mark", ("ngram", "doc_id"), f"{folder}/buckets", lambda dealt: rn.spelled(dealt, n), compression="zstd"
+    )
+    info = runs.sparkSession.range(1).select(F.lit("dataset ngrams").alias("title"), F.lit(n).alias("ngram_size"))
+    info.coalesce(1).write.mode("errorifexists").json(f"{folder}/info")
+    return table
