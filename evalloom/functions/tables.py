@@ -1,6 +1,6 @@
 """Table functions for SQL: one row in, many rows out, by name.
 
-``register(spark)`` makes them known as ``ngram_offsets(text, n)`` and ``option_swaps(choices, gold)`` for ``LATERAL``, and
+``register(spark)`` makes them known as ``ngram_offsets(text, n)``, ``ngram_totals(text, n)`` and ``option_swaps(choices, gold)`` for ``LATERAL``, and
 ``conversation_spans(TABLE(...) PARTITION BY conversation ORDER BY turn)`` over partitions. Rows travel in Arrow batches.
 """
 
@@ -31,6 +31,19 @@ class NgramOffsets:
             yield i, " ".join(w for w, _, _ in run), run[0][1], run[-1][2]
 
 
+class NgramTotals(NgramOffsets):
+    """Number, sums of the offsets and the smallest of a text's n-grams in one row; null and short texts give no row."""
+
+    def eval(self, text: str, n: int) -> Iterator[tuple]:
+        count = starts = stops = 0
+        first = None
+        for _, ngram, start, stop in super().eval(text, n):
+            count, starts, stops = count + 1, starts + start, stops + stop
+            first = ngram if first is None or ngram < first else first
+        if count:
+            yield count, starts, stops, first
+
+
 class OptionSwaps:
     """A copy of the choices for every label, with the correct option at that label; none without choices or with a label outside."""
 
@@ -56,6 +69,7 @@ class ConversationSpans:
 
 FUNCTIONS = {
     "ngram_offsets": (NgramOffsets, "pos int, ngram string, start int, stop int"),
+    "ngram_totals": (NgramTotals, "n_ngrams bigint, sum_start bigint, sum_stop bigint, first_ngram string"),
     "option_swaps": (OptionSwaps, "place int, choices array<string>"),
     "conversation_spans": (ConversationSpans, "conv_id bigint, turn bigint, start bigint, stop bigint"),
 }
