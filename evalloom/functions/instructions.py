@@ -169,7 +169,7 @@ def follows(response: Column, i: Column, prompt: Column, ids: list[str] | None =
 
 
 def loose_variants(response: Column) -> Column:
-    """The response, without its first, last or both lines, each also without asterisks: eight texts."""
+    """The response, without its first, last or both lines, each also without asterisks: up to eight different texts, without blank ones."""
     def build(lines: Column) -> Column:
         n = F.size(lines)
         join = lambda a: strip(F.array_join(a, "\n"))
@@ -179,7 +179,8 @@ def loose_variants(response: Column) -> Column:
             join(F.slice(lines, F.lit(1), n - 1)),
             join(F.slice(lines, F.lit(2), F.greatest(n - 2, F.lit(0)))),
         ]
-        return F.array(*texts, *[F.replace(x, F.lit("*"), F.lit("")) for x in texts])
+        # equal texts are checked once, and blank ones follow nothing
+        return F.filter(F.array_distinct(F.array(*texts, *[F.replace(x, F.lit("*"), F.lit("")) for x in texts])), lambda x: strip(x) != "")
 
     return let(F.split(response, "\n"), build)
 
