@@ -225,6 +225,38 @@ def ngram_spans(docs: DataFrame, n: int = NGRAM, text: str = "text", key: str =
     return spans.select(key, "pos", "g.ngram", "g.start", "g.stop")
 
 
+def span_totals(docs: DataFrame, n: int = NGRAM, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``key, n_ngrams, sum_start, sum_stop, first_ngram`` over :func:`ngram_spans`; keys without n-grams have no row.
+
+    A text is added up where it is read, so what is sorted and shuffled is a row per text, not a row per n-gram. Only n-grams that
+    begin with the smallest first word are spelled out.
+    """
+    def added(words: Column, field: str) -> Column:
+        return F.aggregate(words, F.lit(0).cast("long"), lambda total, s: total + s[field])
+
+    def totals(w: Column) -> Column:
+        count = F.size(w) - (n - 1)
+        heads = F.slice(w, F.lit(1), count)
+        # a blank ends the word, as in the n-gram: it stands before letters but after control characters
+        head = lambda word: F.concat(word, F.lit(" ")) if n > 1 else word
+
+        def smallest(least: Column) -> Column:
+            at = F.filter(F.sequence(F.lit(0), count - 1), lambda i: head(F.get(w, i)["word"]) == least)
+            return F.array_min(F.transform(at, lambda i: F.concat_ws(" ", *[F.get(w, i + k)["word"] for k in range(n)])))
+
+        return F.when(count > 0, F.struct(
+            count.cast("long").alias("n_ngrams"), added(heads, "start").alias("sum_start"),
+            added(F.slice(w, F.lit(n), count), "stop").alias("sum_stop"),
+            let(F.array_min(F.transform(heads, lambda s: head(s["word"]))), smallest).alias("first_ngram"),
+        ))
+
+    rows = docs.select(key, let(located_words(text), totals).alias("s"))
+    summed = rows.groupBy(key).agg(
+        *[F.sum(f"s.{c}").alias(c) for c in ("n_ngrams", "sum_start", "sum_stop")], F.min("s.first_ngram").alias("first_ngram")
+    )
+    return summed.where("n_ngrams > 0")
+
+
 def dirty_ranges(docs: DataFrame, ngram_set: DataFrame, n: int = NGRAM, window: int = WINDOW_TO_REMOVE,
                  key: str = "doc_id", text: str = "text") -> DataFrame:
     """Merged character ranges ``[start, stop)`` to remove from each matched document.
