@@ -22,6 +22,9 @@ MINIMUM_SLICE = 200
 TOO_DIRTY = 10
 # rows of two 64-bit keys that may be broadcast (about 60 bytes each)
 KEY_ROWS = 4_000_000
+HELD = 1 << 20  # n-grams that a task combines before it deals them
+TASK_BYTES = 96 << 20  # of text whose n-grams a task deals; larger partitions are dealt anew, or the shuffle would spill
+TEXT_BYTES = 6 << 20  # of text whose n-grams are counted in one partition
 FILTER_BITS = 22  # of the table that most n-grams without a hit are turned away by
 
 
@@ -59,24 +62,66 @@ def hashed_postings(docs: DataFrame, n: int = NGRAM, text: str = "text", key: st
     No n-gram is spelled out; what leaves the pass is 16 bytes per n-gram.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, piece in pieces(batch.column(0)):
-                words = words_of(piece)
-                one, inside = run_hashes(words, n)
-                two, _ = run_hashes(words, n, salt=1)
-                at = np.flatnonzero(inside)
-                if distinct and len(at):
-                    doc = words.doc[at]
-                    order = np.lexsort([one[at], doc])
-                    at, doc = at[order], doc[order]
-                    at = at[np.concatenate([[True], (one[at[1:]] != one[at[:-1]]) | (doc[1:] != doc[:-1])])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64))], ["k1", "k2"]
-                )
+        for one, two in hashed_pieces(batches, n, distinct):
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["k1", "k2"])
 
     return docs.select(plain_words(text).alias("text")).mapInArrow(run, "k1 long, k2 long")
 
 
+def hashed_pieces(batches: Iterator[pa.RecordBatch], n: int, distinct: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Two hashes per n-gram of some texts at a time."""
+    for batch in batches:
+        for _, piece in pieces(batch.column(0)):
+            words = words_of(piece)
+            one, inside = run_hashes(words, n)
+            two, _ = run_hashes(words, n, salt=1)
+            at = np.flatnonzero(inside)
+            if distinct and len(at):
+                doc = words.doc[at]
+                order = np.lexsort([one[at], doc])
+                at, doc = at[order], doc[order]
+                at = at[np.concatenate([[True], (one[at[1:]] != one[at[:-1]]) | (doc[1:] != doc[:-1])])]
+            yield one[at], two[at]
+
+
+def combined(one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
+    """``k1, k2, copies`` of some n-grams, equal ones in one row."""
+    order = np.lexsort([two, one])
+    one, two = one[order], two[order]
+    first = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+    copies = np.diff(np.append(first, len(one)))
+    columns = [pa.array(c) for c in (one[first].view(np.int64), two[first].view(np.int64), copies)]
+    return pa.RecordBatch.from_arrays(columns, ["k1", "k2", "copies"])
+
+
+def counted_hashes(docs: DataFrame, n: int, text: str = "text", key: str = "doc_id", distinct: bool = True, held: int = HELD,
+                   text_bytes: int = TEXT_BYTES, second: bool = True) -> DataFrame:
+    """``k1, k2, copies``: the hashes of :func:`hashed_postings`, each once, with the number of its rows; by ``k1`` alone without ``second``.
+
+    A task combines ``held`` n-grams at a time, so its memory does not grow with its input and a hash that is everywhere is dealt few
+    times. Hashes are dealt before they are counted, to one partition per ``text_bytes`` of text, so that counting fits in memory.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ones, twos, size = [], [], 0
+        for one, two in hashed_pieces(batches, n, distinct):
+            ones.append(one)
+            twos.append(two if second else np.zeros_like(one))
+            size += len(one)
+            if size >= held:
+                yield combined(np.concatenate(ones), np.concatenate(twos))
+                ones, twos, size = [], [], 0
+        if size:
+            yield combined(np.concatenate(ones), np.concatenate(twos))
+
+    keys = ["k1", "k2"] if second else ["k1"]
+    total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // text_bytes))
+    if docs.rdd.getNumPartitions() * TASK_BYTES < total:
+        docs = docs.select(key, text).repartition(-(-total // TASK_BYTES), key)
+    rows = docs.select(plain_words(text).alias("text")).mapInArrow(run, "k1 long, k2 long, copies long").select(*keys, "copies")
+    return rows.repartition(parts, *keys).groupBy(*keys).agg(F.sum("copies").alias("copies"))
+
+
 def gram_keys(grams: DataFrame, n: int) -> DataFrame:
     """``k1`` of each n-gram of ``ngram``, as :func:`hashed_postings` gives it; text that is not ``n`` words has no row."""
 
@@ -199,7 +244,7 @@ def overlap_statistics(train: DataFrame, evals: DataFrame, n: int = NGRAM) -> Da
     lookup = hashed_postings(evals, n, key=evals.columns[0]).distinct().withColumn("hit", F.lit(True))
     if fits_broadcast(lookup, KEY_ROWS):
         lookup = F.broadcast(lookup)
-    unique = hashed_postings(train, n, distinct=False).groupBy("k1", "k2").agg(F.count("*").alias("copies"))
+    unique = counted_hashes(train, n, distinct=False)
     marked = unique.join(lookup, ["k1", "k2"], "left")
     return marked.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("total_ngrams"),

@@ -47,3 +47,16 @@ def test_empty_sides(corpus):
     assert dc.matched_postings(docs, grams.limit(0)).count() == 0
     assert dc.matched_postings(docs.limit(0), grams).count() == 0
     assert dc.matched_postings(docs.withColumn("text", F.lit(None).cast("string")), grams).count() == 0
+
+
+def test_hashes_are_dealt_before_they_are_counted(corpus, spark):
+    """The counts of the plain grouping for any number of n-grams held and text dealt, without a table of all hashes in front of the shuffle."""
+    docs, _ = corpus
+    plain = rows(dc.hashed_postings(docs, 3, distinct=False).groupBy("k1", "k2").agg(F.count("*")))
+    once = rows(dc.hashed_postings(docs, 3).groupBy("k1").agg(F.count("*")))
+    for held, size in ((1, 1 << 14), (1 << 20, 1 << 30)):
+        assert rows(dc.counted_hashes(docs, 3, distinct=False, held=held, text_bytes=size)) == plain
+        assert rows(dc.counted_hashes(docs, 3, held=held, text_bytes=size, second=False)) == once
+    plan = dc.counted_hashes(docs, 3)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.rindex("HashAggregate") < plan.index("Exchange") < plan.index("MapInArrow")
+    assert dc.counted_hashes(docs.limit(0), 3).count() == 0
