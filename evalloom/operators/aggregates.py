@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 from evalloom.functions.text import strip, substitute, words
 from evalloom.functions.textscore import bleu_stats, qa_normal, token_f1
 from evalloom.operators.bootstrap import bootstrap_error
-from evalloom.operators.scale import lookup_sized
 
 NAN = float("nan")
 
@@ -153,15 +152,25 @@ def group_exact(df: DataFrame, group: list[str], right: Column) -> DataFrame:
     )
 
 
-def group_reference_scores(df: DataFrame, group: str, pos: str, pred: str, reference: str) -> DataFrame:
-    """``em`` over all predictions against any reference of the group, ``f1`` of each group's first prediction."""
-    rows = df.select(group, pos, qa_normal(F.col(pred)).alias("_p"), qa_normal(F.col(reference)).alias("_t"))
-    targets = rows.select(group, F.col("_t").alias("_p")).distinct().withColumn("_hit", F.lit(1))
-    em = rows.groupBy(group, "_p").agg(F.count("*").alias("_n")).join(targets, [group, "_p"], "left").agg(
-        (F.sum(F.when(F.col("_hit") == 1, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("em")
+def group_reference_scores(df: DataFrame, group: str, pos: str, pred: str, reference: str, normal: bool = False) -> DataFrame:
+    """``em`` over all predictions against any reference of the group, ``f1`` of each group's first prediction.
+
+    With ``normal`` the texts are normalised already, as ``qa_normal`` does it, so that a text of many rows can be normalised once.
+    Each group meets its first prediction once; partitions of a group that is much larger than others are split by Spark.
+    """
+    text = F.col if normal else lambda c: qa_normal(F.col(c))
+    rows = df.select(group, pos, text(pred).alias("_p"), text(reference).alias("_t"))
+    sides = F.array(
+        F.struct(F.col("_p").alias("text"), F.lit(1).alias("n"), F.lit(0).alias("hit")),
+        F.struct(F.col("_t").alias("text"), F.lit(0).alias("n"), F.lit(1).alias("hit")),
+    )
+    cells = rows.select(group, F.explode(sides).alias("_s")).groupBy(group, "_s.text").agg(
+        F.sum("_s.n").alias("_n"), F.max("_s.hit").alias("_hit")
     )
+    hit = (F.col("_hit") == 1) & F.col(group).isNotNull() & F.col("text").isNotNull()
+    em = cells.agg((F.sum(F.when(hit, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("em"))
     first = rows.groupBy(group).agg(F.min_by("_p", F.struct(pos, "_p")).alias("_first"))
-    scored = lookup_sized(rows.select(group, "_t").distinct(), first, [group], F.col("_t"))
+    scored = rows.select(group, "_t").join(first, group)
     f1 = scored.groupBy(group).agg(F.max(token_f1(words("_first"), words("_t"))).alias("_f")).agg(F.avg("_f").alias("f1"))
     both = em.select("em", F.lit(None).cast("double").alias("f1")).unionByName(f1.select(F.lit(None).cast("double").alias("em"), "f1"))
     return both.agg(F.max("em").alias("em"), F.max("f1").alias("f1"))

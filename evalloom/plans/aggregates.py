@@ -11,7 +11,7 @@ from evalloom.functions import shifts as sh
 from evalloom.functions import textscore as ts
 from evalloom.functions.likelihood import argmax
 from evalloom.functions.numbers import rounded
-from evalloom.functions.textscore import bleu_stats
+from evalloom.functions.textscore import bleu_stats, qa_normal
 from evalloom.functions.wordhash import BASE, STEP
 from evalloom.operators import aggregates as ag
 from evalloom.operators import bootstrap as bs
@@ -131,11 +131,14 @@ fst as (select g, arg_min(p, pos || ' ' || p) a from (select g, lpad(pos::varcha
 f as (select n.g, max({txq.f1_sql(q.words('a'), q.words('t'))}) f from n join fst using (g) group by n.g)
 select round(em, 6) em, round((select avg(f) from f), 6) f1 from em""")
 def group_reference_scores(t):
-    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("l_orderkey").alias("g"), (F.col("l_linenumber").cast("long") * 1000000 + F.col("l_partkey")).alias("pos"),
-        F.concat(F.lit("the "), "p_type").alias("p"), F.concat_ws(" ", "p_name", "p_type").alias("r"),
+    """A part's texts are normalised once, not on each of its lines."""
+    texts = t.part.select(
+        "p_partkey", qa_normal(F.concat(F.lit("the "), "p_type")).alias("p"), qa_normal(F.concat_ws(" ", "p_name", "p_type")).alias("r")
     )
-    out = ag.group_reference_scores(rows, "g", "pos", "p", "r")
+    rows = t.lineitem.join(texts, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_orderkey").alias("g"), (F.col("l_linenumber").cast("long") * 1000000 + F.col("l_partkey")).alias("pos"), "p", "r"
+    )
+    out = ag.group_reference_scores(rows, "g", "pos", "p", "r", normal=True)
     return out.select(r6(F.col("em"), "em"), r6(F.col("f1"), "f1"))
 
 

@@ -202,3 +202,20 @@ def test_complementary_error_function(spark):
             assert r.e is None
         else:
             assert abs(r.e - math.erfc(r.x)) <= 1e-14 and (r.x < 2.5 or abs(r.e / math.erfc(r.x) - 1) < 1e-12)
+
+
+def test_group_reference_scores_of_normal_texts(spark):
+    """Texts normalised beforehand give the scores of raw ones; null texts and null groups hit nothing."""
+    from evalloom.functions.textscore import qa_normal
+    from evalloom.operators import aggregates as ag
+
+    rows = [(1, 2, "The cat", "a dog"), (1, 1, "big dog", "Cat!"), (2, 1, None, None), (2, 2, "x", "y x"), (None, 1, "z", "z"), (3, 1, "", "the")]
+    df = spark.createDataFrame(rows, "g int, pos int, p string, r string")
+    clean = df.select("g", "pos", qa_normal(F.col("p")).alias("p"), qa_normal(F.col("r")).alias("r"))
+    clean = spark.createDataFrame(clean.collect(), df.schema)
+    raw = ag.group_reference_scores(df, "g", "pos", "p", "r")
+    ready = ag.group_reference_scores(clean, "g", "pos", "p", "r", normal=True)
+    assert raw.first() == ready.first()
+    assert raw.first().em == pytest.approx(2 / 6)  # "cat", and the empty text
+    plan = ready._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan.lower() and "salt" not in plan
