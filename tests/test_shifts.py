@@ -57,6 +57,15 @@ def test_against_plain_distance_and_single_moves():
             assert got >= min(best, got)
 
 
+def test_distances_of_many_at_once():
+    """Rows of one call have the distances of single calls, whichever side is shorter; empty sides included."""
+    rng = np.random.default_rng(3)
+    for n, m in ((0, 4), (5, 0), (7, 3), (3, 7), (6, 6), (1, 1)):
+        preds, gold = rng.integers(0, 4, (9, n)), rng.integers(0, 4, m)
+        want = [plain_distance(p.tolist(), gold.tolist()) for p in preds]
+        assert sh.distances(preds, gold).tolist() == want == [sh.distance(p, gold) for p in preds]
+
+
 def test_column(spark):
     from evalloom.functions.shifts import corpus_ter
 
