@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from evalloom.operators import buckets as bk
@@ -36,3 +38,18 @@ def test_counts_of_runs_need_no_shuffle(spark):
     assert bk.exchanges(counts) == 0
     want = dc.distinct_postings(docs, 3).groupBy("ngram").agg(F.count("*").alias("n_docs")).where("n_docs > 1")
     assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_sorted_buckets_of_runs(spark):
+    """All n-grams, those of an n-gram in one bucket, buckets in order and sorted inside a partition; runs are moved, not n-grams."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(9 if i % 2 else 400)}" for _ in range(120))) for i in range(40)] + [(40, None), (41, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = dc.sorted_run_buckets(docs, 5, 6, text_bytes=2000)
+    parts = [tuple(r) for r in found.select(F.spark_partition_id(), "bucket", "ngram", "doc_id").collect()]
+    plain = sorted(map(tuple, dc.ngram_postings(docs, 5).select("ngram", "doc_id").collect()))
+    assert sorted(r[2:] for r in parts) == plain
+    assert parts == sorted(parts) and [r[1] for r in parts] == sorted(r[1] for r in parts)
+    assert len({r[1:3] for r in parts}) == len({g for g, _ in plain})
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")
