@@ -10,26 +10,47 @@ from evalloom.functions.text import stable_hash
 from evalloom.operators.scale import running_start
 
 
-def pack_flat(docs: DataFrame, tokens: str, length: Column, block_size: int, key: str = "doc_id") -> DataFrame:
-    """Concatenate documents in key order and cut every ``block_size`` tokens: ``block_id, tokens``.
+def flat_pieces(docs: DataFrame, tokens: str | Column, length: Column, block_size: int, key: str = "doc_id") -> DataFrame:
+    """What each document gives to each block of the concatenation in key order: ``block_id, at, piece``.
 
-    Offsets are two-level running sums of lengths; then each document is cut locally and only the pieces of one block meet.
+    Offsets are two-level running sums of lengths; then each document is cut locally. ``tokens`` given as an expression over ``docs`` are made
+    after the documents got their offsets, so that only what they are made of is shuffled.
     """
     placed = running_start(docs.withColumn("_len", length.cast("long")), key, F.col("_len"), "_at")
+    placed = placed.select("_at", "_len", (F.col(tokens) if isinstance(tokens, str) else tokens).alias("_tokens"))
     first = F.floor(F.col("_at") / block_size)
     last = F.floor((F.col("_at") + F.col("_len") - 1) / block_size)
     pieces = placed.where("_len > 0").withColumn("block_id", F.explode(F.sequence(first, last)))
     begin = F.greatest(F.lit(0), F.col("block_id") * block_size - F.col("_at"))
     stop = F.least(F.col("_len"), (F.col("block_id") + 1) * block_size - F.col("_at"))
-    piece = F.slice(F.col(tokens), (begin + 1).cast("int"), (stop - begin).cast("int"))
+    piece = F.slice(F.col("_tokens"), (begin + 1).cast("int"), (stop - begin).cast("int"))
+    return pieces.select("block_id", (F.col("_at") + begin).alias("at"), piece.alias("piece"))
+
+
+def pack_flat(docs: DataFrame, tokens: str | Column, length: Column, block_size: int, key: str = "doc_id") -> DataFrame:
+    """Concatenate documents in key order and cut every ``block_size`` tokens: ``block_id, tokens``. Only the pieces of one block meet."""
+    return joined_pieces(flat_pieces(docs, tokens, length, block_size, key), ["block_id"])
+
+
+def joined_pieces(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks from the pieces of :func:`flat_pieces`: ``keys..., tokens``."""
     return (
-        pieces.select("block_id", (F.col("_at") + begin).alias("at"), piece.alias("piece"))
-        .groupBy("block_id")
+        pieces.groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("pieces"))
-        .select("block_id", F.flatten("pieces.piece").alias("tokens"))
+        .select(*keys, F.flatten("pieces.piece").alias("tokens"))
     )
 
 
+def pack_shards(docs: DataFrame, tokens: str | Column, length: Column, block_size: int, blocks_per_shard: int, val_blocks: int,
+                key: str = "doc_id") -> DataFrame:
+    """Blocks of :func:`pack_flat` with the names of :func:`assign_shards`: ``split, shard, block_id, tokens``.
+
+    Pieces are dealt by shard, a bounded run of blocks, so blocks are put together where their shard is written.
+    """
+    pieces = assign_shards(flat_pieces(docs, tokens, length, block_size, key), blocks_per_shard, val_blocks)
+    return joined_pieces(pieces.repartition("split", "shard"), ["split", "shard", "block_id"])
+
+
 FRAGMENTS = "shard long, doc_id long, block_no long, at int, start int, length int"
 
 

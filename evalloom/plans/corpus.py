@@ -267,8 +267,8 @@ PLACED = """placed as (select doc_id, octet_length(encode(text)) + 2 n, coalesce
 select g // {BLOCK} block_id, count(*) n, sum(token)::bigint total,
   sum(token * (g % {BLOCK} % 997 + 1))::bigint weighted from tokens group by 1""")
 def flat_blocks(t):
-    docs = t.documents.select("doc_id", tk.wrap(tk.byte_tokens("text")).alias("tokens"), tk.wrapped_length("text").alias("n"))
-    blocks = pk.pack_flat(docs, "tokens", F.col("n"), BLOCK)
+    docs = t.documents.select("doc_id", "text", tk.wrapped_length("text").alias("n"))
+    blocks = pk.pack_flat(docs, tk.wrap(tk.byte_tokens("text")), F.col("n"), BLOCK)
     return token_summary(blocks, "tokens", "block_id")
 
 
@@ -350,8 +350,8 @@ select block_id, case when block_id < 4 then 'val' else 'train' end split,
   case when block_id < 4 then 'val_000000' else 'train_' || lpad(((block_id - 4) // 100 + 1)::varchar, 6, '0') end shard
 from b""")
 def shard_assignment(t):
-    docs = t.documents.select("doc_id", tk.wrap(tk.byte_tokens("text")).alias("tokens"), tk.wrapped_length("text").alias("n"))
-    return pk.assign_shards(pk.pack_flat(docs, "tokens", F.col("n"), BLOCK), 100, 4).select("block_id", "split", "shard")
+    docs = t.documents.select("doc_id", "text", tk.wrapped_length("text").alias("n"))
+    return pk.assign_shards(pk.pack_flat(docs, tk.wrap(tk.byte_tokens("text")), F.col("n"), BLOCK), 100, 4).select("block_id", "split", "shard")
 
 
 SUM_TEXT = """'[' || (l_partkey % 100)::varchar || '] + [' || (l_suppkey % 100)::varchar || '] = ['

@@ -22,9 +22,9 @@ select case when block_id < 4 then 'val' else 'train' end split,
   case when block_id < 4 then 'val_000000' else 'train_' || lpad(((block_id - 4) // 100 + 1)::varchar, 6, '0') end shard,
   count(*) n_blocks, sum(n)::bigint n_tokens, sum(total)::bigint total from b group by 1, 2""")
 def token_shards(t):
-    docs = t.documents.select("doc_id", tk.wrap(tk.byte_tokens("text")).alias("tokens"), tk.wrapped_length("text").alias("n"))
-    blocks = pk.assign_shards(pk.pack_flat(docs, "tokens", F.col("n"), cq.BLOCK), 100, 4)
-    back = t.spark.read.parquet(wr.write_token_shards(blocks, wr.new_folder(t.spark, "shards")))
+    docs = t.documents.select("doc_id", "text", tk.wrapped_length("text").alias("n"))
+    blocks = pk.pack_shards(docs, tk.wrap(tk.byte_tokens("text")), F.col("n"), cq.BLOCK, 100, 4)
+    back = t.spark.read.parquet(wr.write_token_shards(blocks, wr.new_folder(t.spark, "shards"), dealt=True))
     total = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x)
     return back.groupBy("split", "shard").agg(
         F.count("*").alias("n_blocks"), F.sum(F.size("tokens").cast("long")).alias("n_tokens"), F.sum(total).alias("total")

@@ -38,11 +38,11 @@ def write_json_lines(df: DataFrame, folder: str) -> str:
     return folder
 
 
-def write_token_shards(blocks: DataFrame, folder: str) -> str:
-    """Blocks laid out as ``split=/shard=``; a shard is a bounded run of blocks, sorted by block."""
+def write_token_shards(blocks: DataFrame, folder: str, dealt: bool = False) -> str:
+    """Blocks laid out as ``split=/shard=``; a shard is a bounded run of blocks, sorted by block. ``dealt`` blocks lie together by shard already."""
+    rows = blocks if dealt else blocks.repartitionByRange("split", "shard", "block_id")
     (
-        blocks.repartitionByRange("split", "shard", "block_id")
-        .sortWithinPartitions("split", "shard", "block_id")
+        rows.sortWithinPartitions("split", "shard", "block_id")
         .write.mode("errorifexists")
         .partitionBy("split", "shard")
         .parquet(folder)

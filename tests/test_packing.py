@@ -6,7 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evalloom.functions import tokens as tk
+from evalloom.operators import packing as pk
 from evalloom.operators import prefix_packing as pp
+from evalloom.sources import writers as wr
 
 
 def plain(rows, block_size, threshold):
@@ -59,3 +62,20 @@ def test_blocks_hold_every_token(spark):
     blocks = pp.whole_blocks(docs, placed, "t", 32, -1)
     row = blocks.select(F.min(F.size("tokens")), F.max(F.size("tokens")), F.sum(F.size(F.filter("tokens", lambda x: x > 0)))).first()
     assert tuple(row) == (32, 32, docs.agg(F.sum(F.size("t"))).first()[0])
+
+
+def test_shards_are_packed_where_they_are_written(spark, tmp_path):
+    """The blocks of the plain way; texts, not tokens, meet their offsets, and pieces are dealt once."""
+    rows = [(i, "x" * ((i * 37) % 90)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", tk.wrapped_length("text"))
+    made = tk.wrap(tk.byte_tokens("text"))
+    plain = pk.assign_shards(pk.pack_flat(docs.withColumn("tokens", made), "tokens", F.col("n"), 32), 5, 4)
+    shards = pk.pack_shards(docs, made, F.col("n"), 32, 5, 4)
+    names = ["split", "shard", "block_id", "tokens"]
+    key = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+    assert key(shards.select(names).collect()) == key(plain.select(names).collect())
+    back = spark.read.parquet(wr.write_token_shards(shards, str(tmp_path / "shards"), dealt=True))
+    assert key(back.select(names).collect()) == key(plain.select(names).collect())
+    plan = shards._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") + plan.count("Repartition ") == 1
+    assert plan.index("ArrowEvalPython") < plan.index("Join")
