@@ -1,11 +1,17 @@
-"""Logistic regression in numpy over sparse rows; for bounded training samples."""
+"""Logistic regression in numpy over sparse rows; for bounded training samples.
+
+Every pass over the rows goes in blocks, so that a fit on the driver needs little memory beside the rows themselves.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 
+BLOCK = 1 << 16  # entries of the rows that one step of a pass takes, or one row of more
+
 
 class Sparse(NamedTuple):
     """Rows as in CSR form; column numbers below ``width``."""
@@ -15,19 +21,53 @@ class Sparse(NamedTuple):
     value: np.ndarray
     width: int
 
+    def blocks(self) -> Iterator[tuple[slice, slice]]:
+        """Rows and their entries, ``BLOCK`` entries at most unless a row has more."""
+        low, rows = 0, len(self.start) - 1
+        while low < rows:
+            high = max(low + 1, int(np.searchsorted(self.start, self.start[low] + BLOCK, side="right")) - 1)
+            yield slice(low, high), slice(int(self.start[low]), int(self.start[high]))
+            low = high
+
     def take(self, rows: np.ndarray) -> Sparse:
         lengths = np.diff(self.start)[rows]
         begin = np.concatenate([[0], np.cumsum(lengths)])
-        flat = np.repeat(self.start[rows] - begin[:-1], lengths) + np.arange(begin[-1])
-        return Sparse(begin, self.column[flat], self.value[flat], self.width)
+        out = Sparse(begin, np.empty(begin[-1], self.column.dtype), np.empty(begin[-1], self.value.dtype), self.width)
+        for some, to in out.blocks():
+            flat = np.repeat(self.start[rows[some]] - begin[some], lengths[some]) + np.arange(to.start, to.stop)
+            out.column[to], out.value[to] = self.column[flat], self.value[flat]
+        return out
+
+    def scaled(self, factor: np.ndarray) -> Sparse:
+        """The rows with each column's values times its factor."""
+        value = np.empty_like(self.value)
+        for _, part in self.blocks():
+            value[part] = self.value[part] * factor[self.column[part]]
+        return self._replace(value=value)
 
     def dot(self, weight: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(self.value * weight[self.column], dtype=float)])
-        return total[self.start[1:]] - total[self.start[:-1]]
+        out, before = np.empty(len(self.start) - 1), 0.0
+        for some, part in self.blocks():
+            total = np.cumsum(np.append(before, self.value[part] * weight[self.column[part]]), dtype=float)
+            at = self.start[some.start : some.stop + 1] - part.start
+            out[some] = total[at[1:]] - total[at[:-1]]
+            before = total[-1]
+        return out
 
     def back(self, residual: np.ndarray) -> np.ndarray:
-        spread = np.repeat(residual, np.diff(self.start)) * self.value
-        return np.bincount(self.column, weights=spread, minlength=self.width)
+        out = np.zeros(self.width)
+        for some, part in self.blocks():
+            lengths = np.diff(self.start[some.start : some.stop + 1])
+            np.add.at(out, self.column[part], np.repeat(residual[some], lengths) * self.value[part])
+        return out
+
+    def holders(self, rows: np.ndarray) -> np.ndarray:
+        """Number of entries of each column in the marked rows."""
+        out = np.zeros(self.width)
+        for some, part in self.blocks():
+            inside = np.repeat(rows[some], np.diff(self.start[some.start : some.stop + 1]))
+            out += np.bincount(self.column[part][inside], minlength=self.width)
+        return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -47,8 +87,7 @@ def log_ratios(rows: Sparse, target: np.ndarray, smooth: float = 0.5) -> np.ndar
     """Log of how much likelier a row of the class has each column than another row."""
     rates = []
     for label in (1.0, 0.0):
-        holders = np.bincount(rows.column, weights=np.repeat(target == label, np.diff(rows.start)), minlength=rows.width)
-        rates.append((holders + smooth) / ((target == label).sum() + 2 * smooth))
+        rates.append((rows.holders(target == label) + smooth) / ((target == label).sum() + 2 * smooth))
     return np.log(rates[0] / rates[1])
 
 
@@ -57,8 +96,7 @@ def fit(rows: Sparse, dense: np.ndarray, target: np.ndarray, decay: float = 1e-4
     """Full-batch Adam on the mean log loss with L2 decay, over columns scaled by their log ratios (which are part of the weights
     returned), so that columns that tell nothing about the class stay near 0. A target of one class gives that class always."""
     ratio = log_ratios(rows, target)
-    scaled = rows._replace(value=(rows.value * ratio[rows.column]).astype(rows.value.dtype))
-    model = descend(scaled, dense, target, decay, steps, rate)
+    model = descend(rows.scaled(ratio), dense, target, decay, steps, rate)
     return model._replace(weight=model.weight * ratio)
 
 

@@ -32,6 +32,7 @@ WIDEST_GAP = 6  # bytes between words that the shape feature tells apart
 SCALE = 50.0  # of the share of a document's words that a feature has
 LEAST_DOCUMENTS = 3  # sample documents that a feature must occur in, and at least this share of the sample
 LEAST_SHARE = 0.002
+SAMPLE_BLOCK = 128  # rows of the sample that become columns at once
 MARKER_ODDS = 8.0
 FOLDS = 3
 THRESHOLD = 0.3
@@ -143,27 +144,41 @@ def severity(rows: Sparse, toxic: np.ndarray, folds: np.ndarray) -> np.ndarray:
     return out
 
 
+def frequent_columns(sample: pa.Table, order: np.ndarray, place: np.ndarray, width: int, entries: int) -> Sparse:
+    """Rows of the sample in that order, with the columns that have a ``place``; read some rows at a time."""
+    start = np.zeros(len(order) + 1, dtype=np.int64)
+    column, value = np.empty(entries, np.int32), np.empty(entries, np.float32)
+    for low in range(0, len(order), SAMPLE_BLOCK):
+        some = sample.select(["feature", "n", "n_words"]).take(pa.array(order[low : low + SAMPLE_BLOCK])).combine_chunks()
+        feature, n = some["feature"].combine_chunks(), some["n"].combine_chunks()
+        lengths = feature.value_lengths().to_numpy()
+        words = np.repeat(np.maximum(some["n_words"].to_numpy(), 1), lengths)
+        at = place[feature.flatten().to_numpy()]
+        kept = at >= 0
+        row = np.repeat(np.arange(len(lengths)), lengths)[kept]
+        first = start[low]
+        start[low + 1 : low + 1 + len(lengths)] = first + np.cumsum(np.bincount(row, minlength=len(lengths)))
+        part = slice(first, start[low + len(lengths)])
+        column[part], value[part] = at[kept], (SCALE * n.flatten().to_numpy() / words)[kept]
+    return Sparse(start, column, value, width)
+
+
 def train_chain(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 sample_rows: tuple[int, int] = SAMPLE_ROWS) -> Chain:
     """Fit the chain on at most ``sum(sample_rows)`` labelled documents (their counts reach the driver, not their texts)."""
     sample = labelled_sample(docs, labels, doc_id, text, sample_rows).toArrow()
     order = np.lexsort([sample["n_words"].to_numpy(), sample["toxic"].to_numpy(), sample["doc_id"].to_numpy()])
-    sample = sample.take(pa.array(order)).combine_chunks()
-    feature, n = sample["feature"].combine_chunks(), sample["n"].combine_chunks()
-    start = np.concatenate([[0], np.cumsum(sample["feature"].combine_chunks().value_lengths().to_numpy())]).astype(np.int64)
-    column, count = feature.flatten().to_numpy(), n.flatten().to_numpy()
-    words = np.maximum(sample["n_words"].to_numpy(), 1)
-    value = (SCALE * count / np.repeat(words, np.diff(start))).astype(np.float32)
-    least = max(LEAST_DOCUMENTS, LEAST_SHARE * len(words))
-    frequent = np.flatnonzero(np.bincount(column, minlength=1 << WIDTH_BITS) >= least)
+    holders = np.zeros(1 << WIDTH_BITS, dtype=np.int64)
+    for part in sample["feature"].iterchunks():
+        np.add.at(holders, part.flatten().to_numpy(), 1)
+    frequent = np.flatnonzero(holders >= max(LEAST_DOCUMENTS, LEAST_SHARE * len(order)))
     place = np.full(1 << WIDTH_BITS, -1, dtype=np.int32)
     place[frequent] = np.arange(len(frequent), dtype=np.int32)
-    kept = place[column] >= 0
-    lengths = np.add.reduceat(np.append(kept, 0), np.minimum(start[:-1], len(kept))) * (np.diff(start) > 0)
-    rows = Sparse(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), place[column[kept]], value[kept], len(frequent))
+    rows = frequent_columns(sample, order, place, len(frequent), int(holders[frequent].sum()))
+    sample = sample.select(["doc_id", "junk", "toxic"]).take(pa.array(order))
+    pa.default_memory_pool().release_unused()  # only the kept columns stay in the driver's memory
     folds = mixed(sample["doc_id"].to_numpy().astype(np.uint64)) % np.uint64(FOLDS)
     toxic, junk = sample["toxic"].to_numpy().astype(float), sample["junk"].to_numpy().astype(float)
-    del sample, feature, n, column, count, value, kept  # only the kept columns stay in the driver's memory
     targets = np.column_stack([junk, toxic, severity(rows, toxic, folds)])
     models = fit_chain(rows, targets, folds)
     weight = np.zeros((len(models), 1 << WIDTH_BITS), dtype=np.float32)

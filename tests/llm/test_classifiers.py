@@ -1,5 +1,7 @@
 """Toxicity, language and quality: held-out accuracy, bounds of the samples, and odd rows."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +143,22 @@ def test_labels_of_held_out_rows_are_never_read(corpus):
     other = docs.withColumn("lang", F.when(held_out("doc_id"), F.lit("zz")).otherwise(F.col("lang")))
     _, names = language.learn(other, documents=5, steps=1)
     assert "zz" not in names
+
+
+def test_fit_on_the_driver_needs_little_beside_its_rows():
+    """Steps over blocks: the values scaled once, and no other copy of a column of the rows."""
+    rng = np.random.default_rng(8)
+    start = np.concatenate([[0], np.cumsum(rng.integers(0, 2000, 2000))])
+    rows = linear.Sparse(start, rng.integers(0, 5000, start[-1]).astype(np.int32), rng.random(start[-1]).astype(np.float32), 5000)
+    target = (np.arange(2000) % 3 == 0).astype(float)
+    tracemalloc.start()
+    model = linear.fit(rows, np.zeros((2000, 0)), target, steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < rows.value.nbytes + (8 << 20) < 3 * rows.value.nbytes
+    whole = np.concatenate([[0.0], np.cumsum(rows.value * model.weight[rows.column], dtype=float)])
+    assert np.array_equal(rows.dot(model.weight), whole[start[1:]] - whole[start[:-1]])
+    spread = np.repeat(target, np.diff(start)) * rows.value
+    assert np.array_equal(rows.back(target), np.bincount(rows.column, weights=spread, minlength=5000))
+    some = rows.take(np.array([5, 3, 1999, 0]))
+    assert np.array_equal(some.value, np.concatenate([rows.value[start[i] : start[i + 1]] for i in (5, 3, 1999, 0)]))
