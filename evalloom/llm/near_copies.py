@@ -1,14 +1,17 @@
-"""Near copies by the Jaccard similarity of their shingles: min-hash bands give candidates, shingle sets decide.
+"""Near copies by the Jaccard similarity of their shingles: Golay keys of a SimHash and min-hash bands give candidates, shingle sets decide.
 
-A SimHash of 64 bits cannot serve a similarity of 0.8: there about ten bits differ, and keys that reach ten bits match nearly
-everything. Here a text is the set of the hashes of its ``SHINGLE``-word runs; equal sets are one node. Each node has ``BANDS`` keys, each of
-``ROWS`` minimum hashes. A pair of similarity ``s`` shares none of them with a chance of ``(1 - s ** ROWS) ** BANDS``, which is
-1.3e-7 at 0.8 and less above.
+A text is the set of the hashes of its ``SHINGLE``-word runs; equal sets are one node. Its SimHash is the majority of that set. Nodes whose
+fingerprints differ in at most four bits share a Golay key (see :mod:`evalloom.llm.simhash`); each is compared with one that such keys link to it.
 
-Nodes of one key make a bucket. First each node is compared with one node, the smallest that a bucket of it holds; so a large group of
-near copies costs one comparison per node. Then buckets that these links do not join are searched in pieces of bounded size. Nodes with a
-partner that passes a screen (sizes, and ``SIGNATURE`` bytes of minimum hashes) get their texts, and a task compares the pairs of its piece that
-nothing joins yet. It gives out a forest, so links never outnumber nodes. Every link is verified on the whole shingle sets.
+Four bits are a similarity of about 0.96. At 0.8 about ten bits differ, and keys that reach ten bits match nearly everything; so what is left
+comes from bands. Each node has ``BANDS`` keys, each of ``ROWS`` minimum hashes. A pair of similarity ``s`` shares none of them with a
+chance of ``(1 - s ** ROWS) ** BANDS``, which is 1.3e-7 at 0.8 and less above.
+
+Nodes of one key make a bucket. First each node is compared with one node, the smallest that a bucket of it holds, unless the Golay keys gave that
+pair; so a large group of near copies costs two comparisons per node at most. Then buckets that these links do not join are searched in pieces
+of bounded size. Nodes with a partner that passes a screen (sizes, and ``SIGNATURE`` bytes of minimum hashes) get their texts, and a task
+compares the pairs of its piece that nothing joins yet. It gives out a forest, so links never outnumber nodes. Every link is verified on the
+whole shingle sets.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from evalloom.functions.wordhash import mixed, pieces, run_hashes, words_of
 from evalloom.llm.common import column, matched_rows, text_key
 from evalloom.llm.components import components
-from evalloom.llm.simhash import LOWER
+from evalloom.llm.simhash import LOWER, fingerprint_links, majority
 from evalloom.llm.substring import collect_bitmaps, has_bit
 from evalloom.session import cut_lineage
 
@@ -90,24 +93,43 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def text_nodes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, text_key, node, bands`` per row of ``doc_id, text_key, text``; no bands for sets of one shingle, which are equal or apart."""
+    """``doc_id, text_key, node, fp, bands`` per row of ``doc_id, text_key, text``: the fingerprint and the min-hash keys of the shingle set.
+
+    Sets of one shingle have neither; they are equal or apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, piece in pieces(batch.column(2)):
                 sets = shingle_sets(piece, shingle)
-                bands = [None] * len(sets)
+                prints, bands = [None] * len(sets), [None] * len(sets)
                 some = [i for i, s in enumerate(sets) if len(s) > 1]
                 if some:
                     for i, keys in zip(some, band_keys(minima([sets[i] for i in some], BANDS * ROWS))):
-                        bands[i] = keys
+                        prints[i], bands[i] = majority(sets[i]), keys
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, len(piece)), batch.column(1).slice(low, len(piece)),
-                     pa.array([node_of(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                    ["doc_id", "text_key", "node", "bands"],
+                     pa.array([node_of(s) for s in sets], pa.int64()), pa.array(prints, pa.int64()),
+                     pa.array(bands, pa.list_(pa.int64()))],
+                    ["doc_id", "text_key", "node", "fp", "bands"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, node long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_key long, node long, fp long, bands array<long>")
+
+
+def golay_candidates(nodes: DataFrame) -> DataFrame:
+    """``a, b``, ``a`` smaller, one row per ``b`` at most: pairs of ``node, fp`` that SimHash takes for near copies.
+
+    A node meets the smallest node of its fingerprint. That one meets the smallest of the smaller nodes whose fingerprints
+    :func:`evalloom.llm.simhash.fingerprint_links` links to its own by Golay keys.
+    """
+    prints = cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
+    links = fingerprint_links(prints.select("fp"))
+    one = prints.select(F.col("fp").alias("a"), F.col("rep").alias("one"))
+    two = prints.select(F.col("fp").alias("b"), F.col("rep").alias("two"))
+    met = links.distinct().join(one, "a").join(two, "b").select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"))
+    same = nodes.join(prints, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    return cut_lineage(met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(same))
 
 
 def buckets(keyed: DataFrame) -> DataFrame:
@@ -306,15 +328,17 @@ def similar_roots(docs: DataFrame, found: DataFrame, shingle: int = SHINGLE, sim
                   block: int = BLOCK) -> DataFrame:
     """``node, root`` for the nodes that are linked to a smaller one. ``found`` is :func:`text_nodes` of ``docs``."""
     banded = found.where("bands is not null")
-    distinct = banded.select("node", "bands").dropDuplicates(["node"])
+    distinct = banded.select("node", "fp", "bands").dropDuplicates(["node"])
+    close = golay_candidates(distinct.select("node", "fp"))
     shared = cut_lineage(buckets(distinct.select(F.explode("bands").alias("key"), "node")))
     texts = banded.groupBy("node").agg(F.min("text_key").alias("text_key"))
-    bodies = node_bodies(docs, texts.join(shared.select("node").distinct(), "node"), shingle)
+    asked = shared.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    bodies = node_bodies(docs, texts.join(asked, "node"), shingle)
     star = shared.where("node <> rep").groupBy(F.col("node").alias("b")).agg(F.min("rep").alias("a")).select("a", "b")
-    links = star_links(star, bodies, shingle, similarity)
+    links = star_links(close.unionByName(star).distinct(), bodies, shingle, similarity)
     # the end of two links is label enough: it only has to be in the node's component
-    up = links.select(F.col("b").alias("node"), F.col("a").alias("one"))
-    upper = links.select(F.col("b").alias("one"), F.col("a").alias("two"))
+    up = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("one"))
+    upper = up.select(F.col("node").alias("one"), F.col("one").alias("two"))
     labels = up.join(upper, "one", "left").select("node", F.coalesce("two", "one").alias("root"))
     labelled = cut_lineage(
         shared.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))

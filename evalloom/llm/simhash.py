@@ -34,6 +34,15 @@ RUN = 4096  # fingerprints of one key compared in one piece; longer runs are com
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed number."""
+    ones = np.zeros(64, dtype=np.int64)
+    for low in range(0, len(hashes), 1 << 16):
+        bits = np.unpackbits(hashes[low : low + (1 << 16)].view(np.uint8), bitorder="little")
+        ones += bits.reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Majority bits of the XXH64 of the text's shingles, as a signed number; 0 without words."""
     words = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
@@ -46,9 +55,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         ends = list(accumulate([len(w) + 1 for w in words]))
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b - 1], SEED) for a, b in zip([0, *ends], ends[shingle - 1:])]
-    packed = np.array(hashes, dtype=np.uint64)
-    ones = np.unpackbits(packed.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+    return majority(np.array(hashes, dtype=np.uint64))
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from evalloom.llm import near_copies, simhash
+from evalloom.llm.common import text_key
 
 
 def shingle_set(text):
@@ -113,3 +114,39 @@ def test_bands_find_pairs_at_the_threshold():
 def test_sets_of_a_slice():
     sets = near_copies.shingle_sets(pa.array([b"A b c d e f", b"", b"a b", b"a B"], pa.large_binary()))
     assert [len(s) for s in sets] == [2, 0, 1, 1] and sets[2][0] == sets[3][0]
+
+
+def test_golay_keys_link_close_fingerprints(spark, documents):
+    """With bands that no two texts share, links come from the Golay keys of the fingerprints, and the shingle sets still decide."""
+    rng = random.Random(6)
+    texts = []
+    for family in range(12):
+        base = [f"w{rng.randrange(9000)}" for _ in range(900)]
+        texts.append(base)
+        for changes in (1, 2, 4):
+            other = list(base)
+            for at in rng.sample(range(900), changes):
+                other[at] = f"x{at}"
+            texts.append(other)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = documents(*rows).select("doc_id", text_key("text").alias("text_key"), "text")
+    found = near_copies.text_nodes(docs).withColumn("bands", F.array("node"))
+    fps = {r.node: r.fp for r in found.collect()}
+    close = [(a, b) for a in fps for b in fps if a < b and ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() <= simhash.DISTANCE]
+    label = {n: n for n in fps}
+    for _ in fps:
+        for a, b in close:
+            label[a] = label[b] = min(label[a], label[b])
+    expected = {n: r for n, r in label.items() if n != r}
+    linked = {r.node: r.root for r in near_copies.similar_roots(docs, found).collect()}
+    assert all(label[n] == label[r] for n, r in linked.items())
+    assert len(linked) >= 0.8 * len(expected) > 15  # one candidate per node; bands give the rest
+    assert near_copies.similar_roots(docs, found, similarity=0.9999).count() == 0
+
+
+def test_golay_candidates_are_no_more_than_nodes(spark):
+    fps = [0, 0, 0, 1, 3, 1 << 40, (1 << 40) + 31, -1]
+    nodes = spark.createDataFrame(list(enumerate(fps, 10)), "node long, fp long")
+    rows = [(r.a, r.b) for r in near_copies.golay_candidates(nodes).collect()]
+    assert all(a < b for a, b in rows) and {(10, 11), (10, 12)} <= set(rows)
+    assert sorted(b for _, b in rows) == [11, 12, 13, 14, 15, 16]
