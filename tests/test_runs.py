@@ -53,3 +53,38 @@ def test_sorted_buckets_of_runs(spark):
     assert len({r[1:3] for r in parts}) == len({g for g, _ in plain})
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert plan.index("Generate") < plan.index("Exchange")
+
+
+def test_runs_travel_packed(spark):
+    """Runs that are sorted are dealt compressed: less is moved than the text has bytes, and nothing is read to find the ranges but a sample."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.array_join(F.transform(
+        F.sequence(F.lit(1), F.lit(300)), lambda i: F.concat(F.lit("word"), (F.xxhash64(i, "id") % 500).cast("string"))), " ").alias("text")).localCheckpoint()
+    text = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    found = dc.sorted_run_buckets(docs, 13, 20)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "rangepartitioning" not in plan
+    assert found.count() == dc.ngram_postings(docs, 13).count()
+    rows = [r["size"] for r in packed_rows(docs, 13)]
+    assert sum(rows) < 0.8 * 3 * text
+
+
+def packed_rows(docs, n):
+    runs = rn.ngram_runs(docs, n, distinct=False).select(F.lit(0).alias("part"), "words")
+    return runs.mapInArrow(lambda batches: rn.packed(batches), rn.PACKED).select(F.octet_length("runs").alias("size")).collect()
+
+
+def test_sorted_buckets_of_a_passage_everywhere(spark):
+    """One passage in all texts fills many partitions; keys are strings, some null; rows, order and buckets stay right."""
+    passage = " ".join(f"é{k}" for k in range(12))
+    rows = [(f"k{i}" if i % 9 else None, f"{passage} z{i % 4} {passage}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "name string, body string")
+    plain = sorted(map(repr, dc.ngram_postings(docs, 5, "body", ["name"]).select("ngram", "name").collect()))
+    for buckets in (1, 40):
+        found = dc.sorted_run_buckets(docs, 5, buckets, "body", "name", 2000)
+        assert found.columns == ["name", "bucket", "ngram"]
+        parts = [tuple(r) for r in found.select(F.spark_partition_id(), "bucket", "ngram", "name").collect()]
+        key = lambda r: (*r[:3], r[3] is not None, r[3] or "")
+        assert [key(r) for r in parts] == sorted(map(key, parts)) and [r[1] for r in parts] == sorted(r[1] for r in parts)
+        assert sorted(map(repr, found.select("ngram", "name").collect())) == plain
+        assert len({r[1:3] for r in parts}) == len({r[2] for r in parts})
+        assert len({r[0] for r in parts}) > 4
